@@ -35,3 +35,14 @@ def may_contain(words: np.ndarray, key: Column) -> Column:
     at = slot(key, log_bits)
     word = F.get(F.lit(words), F.floor(at / 64).cast("int"))
     return F.call_function("getbit", word, F.pmod(at, F.lit(64)))  == 1
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str, log_bits: int = LOG_BITS) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``keys``; rows with a null key stay.
+
+    Rows whose bit is unset pass at the scan; only the others go through the anti join, so wide rows hardly move.
+    """
+    words = bitmap_of(keys, key, log_bits)
+    maybe = F.coalesce(may_contain(words, F.col(key)), F.lit(False))
+    checked = rows.where(maybe).join(keys.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")
+    return rows.where(~maybe).unionByName(checked)

@@ -1,40 +1,35 @@
 """A fixed-size membership filter in front of a large shuffle.
 
 The keys of a small side set bits in a bitmap of ``2 ** log_bits`` bits; rows of the large side whose bit is unset
-cannot have a partner and are dropped at the scan. The bitmap has the same size for any input, and a full one only
-lets more rows through to the join that follows, which stays exact.
+cannot have a partner and are decided at the scan. The bitmap has the same size for any input, is built by a
+pre-aggregated sum in Spark and reaches the scan as a scalar subquery of one row. A full bitmap only lets more rows
+through to the join that follows, which stays exact.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.plans.scratch import materialize
+
 LOG_BITS = 20
 
 
-def slot(key: Column, log_bits: int = LOG_BITS) -> Column:
+def _slot(key: Column, log_bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << log_bits)).cast("int")
 
 
-def bitmap_of(keys: DataFrame, key: str, log_bits: int = LOG_BITS) -> np.ndarray:
-    """The bitmap as 64-bit words: at most ``2 ** (log_bits - 6)`` pre-aggregated rows reach the driver."""
-    at = slot(F.col(key), log_bits)
+def may_contain(keys: DataFrame, key: str, of: Column, log_bits: int = LOG_BITS) -> Column:
+    """Whether the bit of ``of`` is set by column ``key`` of ``keys``; false for null. Evaluated in the JVM."""
+    at = _slot(F.col(key), log_bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)))
-    rows = keys.select((F.floor(at / 64)).cast("int").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    words = np.zeros(1 << (log_bits - 6), dtype=np.int64)
-    for w, b in rows:
-        words[w] = b
-    return words
-
-
-def may_contain(words: np.ndarray, key: Column) -> Column:
-    """Whether the bit of ``key`` is set; evaluated in the JVM against one array literal."""
-    log_bits = 6 + len(words).bit_length() - 1
-    at = slot(key, log_bits)
-    word = F.get(F.lit(words), F.floor(at / 64).cast("int"))
-    return F.call_function("getbit", word, F.pmod(at, F.lit(64)))  == 1
+    words = keys.where(F.col(key).isNotNull()).select(F.shiftright(at, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    every = keys.sparkSession.range(1 << (log_bits - 6), numPartitions=1).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+    listed = every.agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("x"))
+    bits = materialize(listed.select(F.transform("x", lambda x: x["b"]).alias("bits")), "bitmap")
+    slot = _slot(of, log_bits)
+    return of.isNotNull() & (F.call_function("getbit", F.get(bits.scalar(), F.shiftright(slot, 6)), F.pmod(slot, F.lit(64))) == 1)
 
 
 def without(rows: DataFrame, keys: DataFrame, key: str, log_bits: int = LOG_BITS) -> DataFrame:
@@ -42,7 +37,14 @@ def without(rows: DataFrame, keys: DataFrame, key: str, log_bits: int = LOG_BITS
 
     Rows whose bit is unset pass at the scan; only the others go through the anti join, so wide rows hardly move.
     """
-    words = bitmap_of(keys, key, log_bits)
-    maybe = F.coalesce(may_contain(words, F.col(key)), F.lit(False))
+    maybe = may_contain(keys, key, F.col(key), log_bits)
     checked = rows.where(maybe).join(keys.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")
     return rows.where(~maybe).unionByName(checked)
+
+
+def left_join(rows: DataFrame, small: DataFrame, key: str, log_bits: int = LOG_BITS) -> DataFrame:
+    """``rows`` left join ``small`` on ``key``; rows whose bit is unset get nulls at the scan and never move."""
+    maybe = may_contain(small, key, F.col(key), log_bits)
+    added = [f for f in small.schema.fields if f.name != key]
+    joined = rows.where(maybe).join(small.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").drop("_key")
+    return joined.unionByName(rows.where(~maybe).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added]))

@@ -141,8 +141,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = materialize(ends.join(nodes.select("node", "digest", "n", "doc_id"), "node"), "near-wanted")
-    words = bitmap.bitmap_of(wanted, "doc_id")
-    read = docs.select("doc_id", "text").where(F.coalesce(bitmap.may_contain(words, F.col("doc_id")), F.lit(True)))
+    read = docs.select("doc_id", "text").where(F.col("doc_id").isNull() | bitmap.may_contain(wanted, "doc_id", F.col("doc_id")))
     sets = read.select("text").mapInArrow(_full_sets, "digest binary, shingles array<bigint>")
     sets = sets.join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "shingles")
     sets = materialize(sets, "near-sets")

@@ -52,7 +52,7 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(source, target, weight): links between different hosts, counted; summed per task before they move."""
-    hrefs = pages.select(host_of(F.col("url")).alias("source"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), 1)).alias("href"))
+    hrefs = pages.select(host_of(F.col("url")).alias("source"), F.explode_outer(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), 1)).alias("href"))
     whole = F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), F.col("href"))).otherwise(F.col("href"))
     edges = hrefs.select("source", host_of(whole).alias("target")).where("source <> '' and target <> '' and source <> target")
     return edges.groupBy("source", "target").agg(F.count("*").alias("weight"))

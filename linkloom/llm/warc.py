@@ -73,32 +73,20 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def plan_records(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
-    """page_id, url, html, digest, size, record_type, refers_to; hot groups are pre-aggregated and split by AQE."""
+def plan_revisits(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
+    """(page_id, digest, first) of every revisit record. Only ids and digests move; groups are pre-aggregated."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    firsts = (
-        pages.select("page_id", html.alias("html"))
-        .select("page_id", F.sha2("html", 256).alias("d"), F.octet_length("html").alias("size"))
-        .where(F.col("size") >= min_revisit)
-        .groupBy("d")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("d", "first")
-    )
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(firsts, F.col("digest") == F.col("d"), "left").select(
-        "page_id", "url", "html", "digest", "size",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first")).alias("refers_to"),
-    )
+    rows = pages.select("page_id", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size")).where(F.col("size") >= min_revisit)
+    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
+    found = rows.join(firsts, F.col("digest") == F.col("d")).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    return found.select("page_id", "digest", "first").distinct()
 
 
 def _write_shards(root: str, roll_bytes: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _open_fs(root)
         store.create_dir(base, recursive=True)
-        attempt, out, rows, last, roll = uuid.uuid4().hex, None, [], None, 0
+        attempt, out, rows, last, roll, mark = uuid.uuid4().hex, None, [], None, 0, None
 
         def close() -> None:
             nonlocal out
@@ -109,11 +97,15 @@ def _write_shards(root: str, roll_bytes: int):
 
         for batch in batches:
             for r in batch.itertuples(index=False):
-                shard = int(r.shard)
-                page, first = (None if pd.isna(x) else int(x) for x in (r.page_id, r.refers_to))
+                shard, page = int(r.shard), None if pd.isna(r.page_id) else int(r.page_id)
+                if not r.written:
+                    mark = (page, r.digest, None if pd.isna(r.first) else int(r.first))
+                    continue
                 # The url is None or NaN where it is null, depending on how the batch was converted.
-                url = r.url if isinstance(r.url, str) else None
-                data = gzip_member(build_record(page, url, r.html.encode(), r.digest, int(r.size), r.record_type, first))
+                url, payload = r.url if isinstance(r.url, str) else None, r.html.encode()
+                again = mark is not None and mark[:2] == (page, r.digest)
+                kind, first = ("revisit", mark[2]) if again else ("response", None)
+                data = gzip_member(build_record(page, url, payload, r.digest, len(payload), kind, first))
                 if shard != last:
                     close()
                     last, roll = shard, 0
@@ -157,9 +149,13 @@ def write_archives(pages: DataFrame, root: str, shard_width: int = 2000, roll_by
     """
     spark = pages.sparkSession
     shard = F.coalesce(F.floor(F.col("page_id") / shard_width), F.lit(-1)).cast("long")
-    planned = plan_records(pages, min_revisit).withColumn("shard", shard)
+    html = F.coalesce(F.col("html"), F.lit(""))
+    rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.lit(None).cast("long").alias("first"), F.lit(True).alias("written"))
+    # A mark sorts right before the page that it turns into a revisit, so the texts move once, for the range sort.
+    marks = plan_revisits(pages, min_revisit).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first", F.lit(False).alias("written"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = planned.repartition(tasks, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url")
+    dealt = rows.unionByName(marks).withColumn("shard", shard).repartition(tasks, "shard")
+    dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "written", "url")
     written = materialize(dealt.mapInPandas(_write_shards(root, roll_bytes), FILE_SCHEMA), "warc-written")
     committed = written.repartition(tasks, "name").mapInPandas(_commit_files(root), FILE_SCHEMA).drop("temporary")
     path = f"{root}/manifest"

@@ -1,15 +1,445 @@
-"""The registry of queries over the driver's tables and their DuckDB SQL."""
+"""The registry of queries over the driver's tables and their DuckDB SQL.
+
+Every query runs over whole tables. A limit stands only where it is the feature: top-k retrieval and keyset pages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from linkloom.functions import vector as V
+from linkloom.operators import graph, retrieval, scoring, text_tables
+from linkloom.sources import site
+from linkloom.sources.site import search_rows, site_links, site_pages, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None, site_tables: bool = True) -> Callable[[Query], Query]:
+    """Registers a query under its function name; ``sql`` may use the tables of ``site.SQL``."""
 
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = f"WITH {site.SQL} {sql}" if site_tables else sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+# Retrieval and vectors
+
+
+@query("""
+, scored AS (
+  SELECT t.page AS target, s.page AS source, round(list_dot_product(t.vector, s.vector) / (sqrt(list_dot_product(t.vector, t.vector)) * sqrt(list_dot_product(s.vector, s.vector))), 6) AS similarity
+  FROM site_pages t JOIN site_pages s ON t.language = s.language AND t.page <> s.page
+  LEFT JOIN (SELECT DISTINCT source, target FROM site_links) l ON l.source = s.page AND l.target = t.page WHERE l.source IS NULL)
+SELECT target, source, CAST(rank AS INTEGER) AS rank, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY similarity DESC, source) AS rank FROM scored) WHERE rank <= 10""")
+def candidate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.nearest_eligible(site_pages(spark, sf_dir), site_links(spark, sf_dir))
+
+
+def _link_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = site_pages(spark, sf_dir)
+    a = pages.select(F.col("page").alias("source"), "language", F.col("vector").alias("va"))
+    b = pages.select(F.col("page").alias("target"), F.col("language").alias("lb"), F.col("vector").alias("vb"))
+    edges = site_links(spark, sf_dir).select("source", "target").distinct()
+    pairs = edges.join(a, "source").join(b, "target").where("language = lb")
+    return pairs.select("source", "target", "language", F.round(V.cosine("va", "vb"), 6).alias("similarity"))
+
+
+_LINK_COSINES = """
+, pairs AS (SELECT DISTINCT source, target FROM site_links),
+cosines AS (
+  SELECT p.source, p.target, a.language, round(list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector))), 6) AS similarity
+  FROM pairs p JOIN site_pages a ON a.page = p.source JOIN site_pages b ON b.page = p.target WHERE a.language = b.language)"""
+
+
+@query(f"{_LINK_COSINES} SELECT * FROM cosines")
+def link_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _link_cosines(spark, sf_dir)
+
+
+@query(f"{_LINK_COSINES} SELECT language, count(*) AS links, round(quantile_cont(similarity, 0.25), 6) AS floor FROM cosines GROUP BY language")
+def language_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _link_cosines(spark, sf_dir).groupBy("language").agg(F.count("*").alias("links"), F.round(F.expr("percentile(similarity, 0.25)"), 6).alias("floor"))
+
+
+@query("""
+, parts AS (SELECT hub, page, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM site_pages WHERE hub >= 0)
+SELECT hub, CAST(i - 1 AS INTEGER) AS at, round(avg(x), 6) AS mean FROM parts GROUP BY hub, i""")
+def hub_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = site_pages(spark, sf_dir).where("hub >= 0").select("hub", F.posexplode("vector").alias("at", "x"))
+    return parts.groupBy("hub", "at").agg(F.round(F.avg("x"), 6).alias("mean"))
+
+
+@query("SELECT page, round(sqrt(list_dot_product(vector, vector)), 6) AS norm FROM site_pages")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_pages(spark, sf_dir).select("page", F.round(V.norm("vector"), 6).alias("norm"))
+
+
+# Link graph
+
+
+@query("""
+, edges AS (SELECT DISTINCT source, target FROM site_links WHERE source IN (SELECT page FROM site_pages) AND target IN (SELECT page FROM site_pages))
+SELECT p.page, (SELECT count(*) FROM edges e WHERE e.target = p.page) AS inbound, (SELECT count(*) FROM edges e WHERE e.source = p.page) AS outbound FROM site_pages p""")
+def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.structure(site_links(spark, sf_dir), site_pages(spark, sf_dir))
+
+
+@query("SELECT target, count(*) AS inlinks FROM site_links WHERE target NOT IN (SELECT page FROM site_pages) GROUP BY target")
+def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.placeholders(site_links(spark, sf_dir), site_pages(spark, sf_dir))
+
+
+@query("SELECT l.target, p.language, l.anchor, count(*) AS links FROM site_links l JOIN site_pages p ON p.page = l.source GROUP BY ALL")
+def inbound_anchor_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.inbound_anchors(site_links(spark, sf_dir), site_pages(spark, sf_dir))
+
+
+@query("""
+SELECT (SELECT count(*) FROM site_pages) AS pages, count(*) AS links, count(DISTINCT source) AS linking,
+  CAST(sum(CASE WHEN anchor = 'read more' THEN 1 ELSE 0 END) AS BIGINT) AS generic, CAST(sum(CASE WHEN target IN (SELECT page FROM site_pages) THEN 0 ELSE 1 END) AS BIGINT) AS dangling FROM site_links""")
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = site_pages(spark, sf_dir).select(F.col("page").alias("target"), F.lit(True).alias("known"))
+    links = site_links(spark, sf_dir).join(pages, "target", "left")
+    return links.agg(
+        pages.agg(F.count("*")).scalar().alias("pages"), F.count("*").alias("links"), F.count_distinct("source").alias("linking"),
+        F.count_if(F.col("anchor") == "read more").alias("generic"), F.count_if(F.col("known").isNull()).alias("dangling"),
+    )
+
+
+@query("""
+, edges AS (SELECT DISTINCT source, target FROM site_links WHERE target IN (SELECT page FROM site_pages)),
+deg AS (SELECT p.page, (SELECT count(*) FROM edges e WHERE e.target = p.page) AS inbound FROM site_pages p)
+SELECT page, inbound, CASE WHEN inbound > 0 THEN 'linked' WHEN page % 5 > 0 THEN 'template_only' ELSE 'orphan' END AS label FROM deg""")
+def orphan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.structure(site_links(spark, sf_dir), site_pages(spark, sf_dir))
+    return found.select("page", "inbound", graph.orphan_label(F.col("inbound"), F.col("page") % 5).alias("label"))
+
+
+def _depth_sql(levels: int = 12) -> str:
+    steps = ["edges AS (SELECT DISTINCT source, target FROM site_links WHERE target IN (SELECT page FROM site_pages))", "d0 AS (SELECT page, 0 AS depth FROM site_pages WHERE page = 0)"]
+    for i in range(1, levels + 1):
+        steps.append(f"d{i} AS (SELECT * FROM d{i - 1} UNION ALL SELECT DISTINCT e.target, {i} FROM edges e JOIN d{i - 1} r ON r.page = e.source AND r.depth = {i - 1} WHERE e.target NOT IN (SELECT page FROM d{i - 1}))")
+    return f", {', '.join(steps)} SELECT p.page, CAST(r.depth AS INTEGER) AS depth FROM site_pages p LEFT JOIN d{levels} r ON r.page = p.page"
+
+
+@query(_depth_sql())
+def crawl_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.crawl_depth(site_links(spark, sf_dir), site_pages(spark, sf_dir), 0)
+
+
+def _rank_sql(steps: int = 5) -> str:
+    parts = [
+        "edges AS (SELECT DISTINCT source, target FROM site_links)", "nodes AS (SELECT page FROM site_pages UNION SELECT target FROM edges)",
+        "outs AS (SELECT source, count(*) AS n FROM edges GROUP BY source)", "size AS (SELECT count(*) AS n FROM nodes)", "r0 AS (SELECT page, 1.0 / n AS rank FROM nodes, size)",
+    ]
+    for i in range(1, steps + 1):
+        loose = f"(SELECT coalesce(sum(rank), 0.0) FROM r{i - 1} WHERE page NOT IN (SELECT source FROM outs))"
+        got = f"(SELECT e.target, sum(r.rank / o.n) AS got FROM edges e JOIN outs o ON o.source = e.source JOIN r{i - 1} r ON r.page = e.source GROUP BY e.target)"
+        parts.append(f"r{i} AS (SELECT x.page, 0.15 / s.n + 0.85 * (coalesce(g.got, 0.0) + {loose} / s.n) AS rank FROM nodes x CROSS JOIN size s LEFT JOIN {got} g ON g.target = x.page)")
+    return f", {', '.join(parts)} SELECT page, round(rank, 9) AS rank FROM r{steps}"
+
+
+@query(_rank_sql())
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pagerank(site_links(spark, sf_dir), site_pages(spark, sf_dir), steps=5).select("page", F.round("rank", 9).alias("rank"))
+
+
+@query("""
+SELECT x.hub_a, x.hub_b, x.links, x.linking_pages, a.size AS size_a, b.size AS size_b, round(x.links / (a.size * b.size), 6) AS density FROM (
+  SELECT a.hub AS hub_a, b.hub AS hub_b, count(*) AS links, count(DISTINCT l.source) AS linking_pages
+  FROM (SELECT DISTINCT source, target FROM site_links) l JOIN site_pages a ON a.page = l.source JOIN site_pages b ON b.page = l.target
+  WHERE a.hub >= 0 AND b.hub >= 0 AND a.hub <> b.hub AND a.language = b.language GROUP BY a.hub, b.hub) x
+JOIN (SELECT hub, count(*) AS size FROM site_pages GROUP BY hub) a ON a.hub = x.hub_a JOIN (SELECT hub, count(*) AS size FROM site_pages GROUP BY hub) b ON b.hub = x.hub_b""")
+def hub_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.hub_pairs(site_links(spark, sf_dir), site_pages(spark, sf_dir))
+
+
+@query("""
+WITH part AS (SELECT page, keyword FROM (SELECT page, keyword, count(*) OVER (PARTITION BY keyword) AS k FROM (SELECT DISTINCT l_suppkey AS page, l_partkey AS keyword FROM lineitem)) WHERE k <= 40)
+SELECT a.page AS a, b.page AS b, count(*) AS shared FROM part a JOIN part b ON a.keyword = b.keyword AND a.page < b.page GROUP BY a.page, b.page""", site_tables=False)
+def keyword_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_partkey").alias("keyword"))
+    return graph.keyword_projection(rows, 40)
+
+
+# Percentiles
+
+
+@query("SELECT c_custkey, round((rank() OVER (ORDER BY c_acctbal) - 1) / count(*) OVER (), 6) AS percentile FROM (SELECT * FROM customer)", site_tables=False)
+def percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(graph.share_below("c_acctbal"), 6).alias("percentile"))
+
+
+@query("""
+SELECT c_custkey, round((rank() OVER (PARTITION BY c_nationkey ORDER BY v) + (count(*) OVER (PARTITION BY c_nationkey, v) - 1) / 2.0) / count(*) OVER (PARTITION BY c_nationkey), 6) AS percentile
+FROM (SELECT c_custkey, c_nationkey, floor(c_acctbal / 100) AS v FROM customer)""", site_tables=False)
+def average_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 100).alias("v"))
+    return rows.select("c_custkey", F.round(graph.average_rank("v", ["c_nationkey"]), 6).alias("percentile"))
+
+
+# Text
+
+
+@query("""
+SELECT line, count(*) AS documents, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM (
+  SELECT DISTINCT doc_id, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE length(line) >= 20 GROUP BY line""", site_tables=False)
+def line_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_tables.line_shares(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("""
+SELECT doc_id, body_hash, count(*) OVER w AS copies, min(doc_id) OVER w AS canonical FROM (SELECT doc_id, sha256(text) AS body_hash, lang FROM documents)
+QUALIFY count(*) OVER w > 1 WINDOW w AS (PARTITION BY body_hash, lang)""", site_tables=False)
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_tables.duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+@query("SELECT doc_id, sha256(text) AS body_hash FROM documents", site_tables=False)
+def body_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("body_hash"))
+
+
+@query()
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_tables.sentences(F.col("text")).alias("s"))
+    return docs.select("doc_id", F.posexplode_outer("s").alias("at", "sentence")).where("sentence is not null")
+
+
+@query("""
+SELECT name, count(*) AS urls FROM (SELECT DISTINCT page_id, split_part(part, '=', 1) AS name FROM (
+  SELECT page_id, unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) AS part FROM pages)) WHERE name <> '' GROUP BY name""", site_tables=False)
+def url_query_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_tables.query_parameters(table(spark, sf_dir, "pages"))
+
+
+@query("SELECT page_id, regexp_matches(url, '(?i)[?&](page|paged|p|start|offset)=') AS paginated, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages", site_tables=False)
+def url_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", text_tables.is_pagination(F.col("url")).alias("paginated"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"))
+
+
+@query()
+def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.functions.url import url_key
+
+    return table(spark, sf_dir, "pages").select("page_id", url_key(F.col("url")).alias("url_key"))
+
+
+# Search metrics
+
+
+@query("""
+SELECT CAST(floor(least(position, 100.0) + 0.5) AS INTEGER) AS at, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, round(sum(clicks) / sum(impressions), 6) AS ctr
+FROM search_rows GROUP BY 1""")
+def ctr_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.observed_ctr(search_rows(spark, sf_dir))
+
+
+@query()
+def ctr_opportunity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search_rows(spark, sf_dir)
+    seen = [(r["at"], r["impressions"], r["clicks"]) for r in scoring.observed_ctr(rows).collect()]  # 100 positions at most
+    curve = F.array(*[F.lit(c) for c in scoring.monotone_curve(seen)])
+    return rows.select("page", "query", F.round(scoring.opportunity(F.col("impressions"), F.col("position"), curve), 6).alias("opportunity"))
+
+
+@query("SELECT page, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, round(sum(impressions * position) / sum(impressions), 6) AS avg_position, count(*) AS query_count FROM search_rows GROUP BY page")
+def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = F.sum(F.col("impressions") * F.col("position")) / F.sum("impressions")
+    return search_rows(spark, sf_dir).groupBy("page").agg(
+        F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.round(mean, 6).alias("avg_position"), F.count("*").alias("query_count")
+    )
+
+
+@query("SELECT page, query, impressions, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY impressions DESC, query) AS rank FROM search_rows) WHERE rank <= 3")
+def ranked_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = Window.partitionBy("page").orderBy(F.col("impressions").desc(), "query")
+    rows = search_rows(spark, sf_dir).withColumn("rank", F.row_number().over(by))
+    return rows.where("rank <= 3").select("page", "query", "impressions", "rank")
+
+
+# Scores and ranks
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair features from line items: an order is a source, its parts are targets."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("source"), F.col("l_linenumber").cast("long").alias("target"),
+        F.floor("l_quantity").alias("f1"), F.when(F.col("l_discount") > 0.02, F.floor(F.col("l_discount") * 100 + 0.5)).alias("f2"),
+    )
+
+
+_PAIRS = """
+WITH pairs AS (SELECT l_orderkey AS source, CAST(l_linenumber AS BIGINT) AS target, floor(l_quantity) AS f1, CASE WHEN l_discount > 0.02 THEN floor(l_discount * 100 + 0.5) END AS f2 FROM lineitem),
+ranked AS (SELECT *, (rank() OVER (PARTITION BY source ORDER BY f1) + (count(*) OVER (PARTITION BY source, f1) - 1) / 2.0) / count(*) OVER (PARTITION BY source) AS p1,
+  CASE WHEN f2 IS NOT NULL THEN (rank() OVER (PARTITION BY source, f2 IS NULL ORDER BY f2) + (count(*) OVER (PARTITION BY source, f2) - 1) / 2.0) / count(*) OVER (PARTITION BY source, f2 IS NULL) END AS p2 FROM pairs),
+scored AS (SELECT source, target, round(100 * (0.7 * p1 + 0.3 * coalesce(p2, 0)) / (0.7 + CASE WHEN p2 IS NULL THEN 0 ELSE 0.3 END), 6) AS score FROM ranked)"""
+
+
+@query(f"{_PAIRS} SELECT * FROM scored", site_tables=False)
+def baseline_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.weighted_score(_pairs(spark, sf_dir), "source", {"f1": 0.7, "f2": 0.3}).select("source", "target", "score")
+
+
+@query(f"""{_PAIRS}, placed AS (SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, source, target) AS place, count(*) OVER () AS n FROM scored)
+SELECT source, target, score, CAST(place AS BIGINT) AS place, CASE WHEN place <= ceil(n * 0.1) THEN 1 WHEN place <= ceil(n * 0.4) THEN 2 ELSE 3 END AS tier FROM placed""", site_tables=False)
+def score_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.weighted_score(_pairs(spark, sf_dir), "source", {"f1": 0.7, "f2": 0.3}).select("source", "target", "score")
+    return scoring.tiers(scored, "score", ["source", "target"])
+
+
+@query(f"{_PAIRS} SELECT source, target, score, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC NULLS LAST, target) AS INTEGER) AS rank_in_source FROM scored", site_tables=False)
+def rank_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.weighted_score(_pairs(spark, sf_dir), "source", {"f1": 0.7, "f2": 0.3}).select("source", "target", "score")
+    return scored.withColumn("rank_in_source", F.row_number().over(Window.partitionBy("source").orderBy(F.col("score").desc_nulls_last(), "target")))
+
+
+@query(f"{_PAIRS} SELECT CAST(least(floor(score / 10), 9) AS BIGINT) AS bin, count(*) AS pairs, round(min(score), 6) AS low, round(max(score), 6) AS high FROM scored GROUP BY 1", site_tables=False)
+def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.weighted_score(_pairs(spark, sf_dir), "source", {"f1": 0.7, "f2": 0.3})
+    bin_ = F.least(F.floor(F.col("score") / 10), F.lit(9).cast("long")).alias("bin")
+    return scored.groupBy(bin_).agg(F.count("*").alias("pairs"), F.round(F.min("score"), 6).alias("low"), F.round(F.max("score"), 6).alias("high"))
+
+
+@query("SELECT l_suppkey AS page, round(quantile_cont(l_quantity, 0.9), 6) AS cutoff FROM lineitem GROUP BY l_suppkey", site_tables=False)
+def outbound_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("page")).agg(F.round(F.expr("percentile(l_quantity, 0.9)"), 6).alias("cutoff"))
+
+
+# Audit
+
+
+@query("""
+, totals AS (SELECT target, anchor, count(*) AS links, sum(count(*)) OVER (PARTITION BY target) AS total FROM site_links GROUP BY target, anchor)
+SELECT target, anchor, links, CAST(total AS BIGINT) AS total, round(links / total, 6) AS share FROM totals WHERE total >= 3 AND links / total > 0.5""")
+def over_optimised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = site_links(spark, sf_dir).groupBy("target", "anchor").agg(F.count("*").alias("links"))
+    per = per.withColumn("total", F.sum("links").over(Window.partitionBy("target"))).withColumn("share", F.round(F.col("links") / F.col("total"), 6))
+    return per.where((F.col("total") >= 3) & (F.col("links") / F.col("total") > 0.5))
+
+
+@query("""
+, edges AS (SELECT l.source, l.position, l.target, l.anchor, p.page AS known, CASE l.target % 10 WHEN 3 THEN 301 WHEN 7 THEN 404 ELSE 200 END AS status FROM site_links l LEFT JOIN site_pages p ON p.page = l.target)
+SELECT source, position, CASE WHEN status BETWEEN 300 AND 399 THEN 'redirected' WHEN status >= 400 THEN 'broken' WHEN known IS NULL THEN 'placeholder' WHEN anchor = 'read more' THEN 'generic_anchor' ELSE 'ok' END AS issue FROM edges""")
+def link_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = site_pages(spark, sf_dir).select(F.col("page").alias("target"), F.lit(True).alias("known"))
+    status = F.when(F.col("target") % 10 == 3, 301).when(F.col("target") % 10 == 7, 404).otherwise(200)
+    edges = site_links(spark, sf_dir).join(known, "target", "left").withColumn("status", status)
+    issue = F.when(F.col("status").between(300, 399), "redirected").when(F.col("status") >= 400, "broken").when(F.col("known").isNull(), "placeholder")
+    return edges.select("source", "position", issue.when(F.col("anchor") == "read more", "generic_anchor").otherwise("ok").alias("issue"))
+
+
+@query("""
+, counted AS (SELECT source, position, target, count(*) OVER (PARTITION BY source) AS links, row_number() OVER (PARTITION BY source ORDER BY position) - 1 AS place FROM site_links)
+SELECT source, position, round((source % 100) / 100.0 * (1 - place / links) * (1 - (target % 100) / 100.0), 6) AS equity FROM counted""")
+def equity_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = Window.partitionBy("source")
+    rows = site_links(spark, sf_dir).withColumn("links", F.count("*").over(by)).withColumn("at", F.row_number().over(by.orderBy("position")) - 1)
+    return rows.select("source", "position", F.round(F.col("source") % 100 / 100 * (1 - F.col("at") / F.col("links")) * (1 - F.col("target") % 100 / 100), 6).alias("equity"))
+
+
+# Evaluation
+
+
+@query("""
+, rows AS (SELECT n_chars % 50 AS score, quality AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+per AS (SELECT score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS q FROM rows GROUP BY score),
+won AS (SELECT p, q, p * (coalesce(sum(q) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2.0) AS w FROM per)
+SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(q) AS BIGINT) AS negatives, round(sum(w) / (sum(p) * sum(q)), 6) AS auc FROM won""")
+def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return scoring.auc(rows.select((F.col("n_chars") % 50).alias("score"), F.col("quality").alias("label")), "score", "label")
+
+
+@query("""
+WITH rows AS (SELECT l_orderkey AS source, l_linenumber AS item, l_linenumber % 3 AS label, l_quantity AS score FROM lineitem),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, item) AS r, row_number() OVER (PARTITION BY source ORDER BY label DESC, item) AS i FROM rows),
+sums AS (SELECT source, sum(CASE WHEN r <= 3 THEN (power(2, label) - 1) / log2(r + 1) ELSE 0 END) AS dcg, sum(CASE WHEN i <= 3 THEN (power(2, label) - 1) / log2(i + 1) ELSE 0 END) AS ideal,
+  sum(CASE WHEN r <= 3 AND label > 0 THEN 1 ELSE 0 END) AS hits, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) AS wanted FROM ranked GROUP BY source)
+SELECT source, round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 6) AS ndcg, round(hits / 3, 6) AS precision, round(CASE WHEN wanted > 0 THEN hits / wanted ELSE 0 END, 6) AS recall FROM sums""", site_tables=False)
+def ranking_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("item"), (F.col("l_linenumber") % 3).alias("label"), F.col("l_quantity").alias("score"))
+    return scoring.ranking_measures(rows, "source", "score", "label", "item", 3)
+
+
+@query("""
+WITH v AS (SELECT c_nationkey + 1 AS x FROM customer), r AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM v)
+SELECT round(2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1) / max(n), 6) AS gini FROM r""", site_tables=False)
+def gini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.gini(table(spark, sf_dir, "customer").select((F.col("c_nationkey") + 1).alias("x")), "x")
+
+
+@query("SELECT url, CASE WHEN substr(sha256('fold' || chr(9) || url), 1, 4) < '3333' THEN 'held_out' ELSE 'train' END AS split FROM site_pages")
+def split_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.substring(F.sha2(F.concat(F.lit("fold\t"), F.col("url")), 256), 1, 4)
+    return site_pages(spark, sf_dir).select("url", F.when(key < "3333", "held_out").otherwise("train").alias("split"))
+
+
+@query("SELECT c_custkey, CAST(ntile(5) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS INTEGER) AS band FROM customer", site_tables=False)
+def label_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.ntile(5).over(by).alias("band"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1", site_tables=False)
+def latest_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = text_tables.latest_per(table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
+    return rows.select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+# Output
+
+
+@query("SELECT source, position, target, substr(sha256('tenant' || chr(31) || 'add' || chr(31) || CAST(source AS VARCHAR) || chr(31) || CAST(target AS VARCHAR) || chr(31) || CAST(position AS VARCHAR)), 1, 16) AS id FROM site_links")
+def recommendation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.concat_ws("\x1f", F.lit("tenant"), F.lit("add"), *[F.col(c).cast("string") for c in ("source", "target", "position")])
+    return site_links(spark, sf_dir).select("source", "position", "target", F.substring(F.sha2(parts, 256), 1, 16).alias("id"))
+
+
+@query("SELECT source, position, target FROM site_links WHERE source > 20 OR (source = 20 AND position > 3) ORDER BY source, position LIMIT 50")
+def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_tables.keyset_page(site_links(spark, sf_dir).select("source", "position", "target"), ["source", "position"], (20, 3), 50)
+
+
+@query("""
+, counted AS (SELECT source, count(*) AS outbound FROM site_links GROUP BY source)
+SELECT p.page, CAST(greatest(0, least(12, greatest(1, length(p.body) // 500)) - coalesce(c.outbound, 0)) AS BIGINT) AS budget FROM site_pages p LEFT JOIN counted c ON c.source = p.page""")
+def link_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = site_links(spark, sf_dir).groupBy(F.col("source").alias("page")).agg(F.count("*").alias("outbound"))
+    room = F.least(F.lit(12).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.length("body") / 500)))
+    pages = site_pages(spark, sf_dir).join(out, "page", "left")
+    return pages.select("page", F.greatest(F.lit(0).cast("long"), room - F.coalesce("outbound", F.lit(0))).alias("budget"))
+
+
+@query("""
+SELECT language, count(*) AS pages, count(DISTINCT hub) AS hubs, CAST(sum(CASE WHEN hub < 0 THEN 1 ELSE 0 END) AS BIGINT) AS noise, round(avg(length(body)), 6) AS mean_length FROM site_pages GROUP BY language""")
+def site_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_pages(spark, sf_dir).groupBy("language").agg(
+        F.count("*").alias("pages"), F.count_distinct("hub").alias("hubs"), F.count_if(F.col("hub") < 0).alias("noise"), F.round(F.avg(F.length("body")), 6).alias("mean_length")
+    )
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", site_tables=False)
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour"))
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -209,7 +209,7 @@ def line_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, body_hash, count(*) OVER w AS copies, min(doc_id) OVER w AS canonical FROM (SELECT doc_id, sha256(text) AS body_hash, lang FROM documents)
-QUALIFY count(*) OVER w > 1 WINDOW w AS (PARTITION BY body_hash, lang)""", site_tables=False)
+WINDOW w AS (PARTITION BY body_hash, lang) QUALIFY count(*) OVER w > 1""", site_tables=False)
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_tables.duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
@@ -351,11 +351,11 @@ def link_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 , counted AS (SELECT source, position, target, count(*) OVER (PARTITION BY source) AS links, row_number() OVER (PARTITION BY source ORDER BY position) - 1 AS place FROM site_links)
-SELECT source, position, round((source % 100) / 100.0 * (1 - place / links) * (1 - (target % 100) / 100.0), 6) AS equity FROM counted""")
+SELECT source, position, round((source % 100) / 100.0 * (1 - place / links) * (1 - (target % 100) / 100.0), 9) AS equity FROM counted""")
 def equity_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("source")
     rows = site_links(spark, sf_dir).withColumn("links", F.count("*").over(by)).withColumn("at", F.row_number().over(by.orderBy("position")) - 1)
-    return rows.select("source", "position", F.round(F.col("source") % 100 / 100 * (1 - F.col("at") / F.col("links")) * (1 - F.col("target") % 100 / 100), 6).alias("equity"))
+    return rows.select("source", "position", F.round(F.col("source") % 100 / 100 * (1 - F.col("at") / F.col("links")) * (1 - F.col("target") % 100 / 100), 9).alias("equity"))
 
 
 # Evaluation

@@ -27,8 +27,8 @@ PERCENT = 75
 
 def _sets(rows: DataFrame, key: str) -> DataFrame:
     """(key, shingles) of rows with a key; words are a column of their own before they are hashed."""
-    cut = rows.where(F.col(key).isNotNull()).select(key, T.words(F.lower("text")).alias("_words"))
-    return cut.select(key, T.shingle_set(F.col("_words")).alias("shingles"))
+    cut = rows.where(F.col(key).isNotNull()).select(key, T.pinned(T.words(F.lower("text"))).alias("_words"))
+    return cut.select(key, T.pinned(T.shingle_set(F.col("_words"))).alias("shingles"))
 
 
 def item_sketches(sets: DataFrame, percent: int = PERCENT) -> DataFrame:

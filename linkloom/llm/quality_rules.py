@@ -55,7 +55,7 @@ RULES = (
 )
 
 
-def _repeat_positions(pairs: Column, width: int) -> Column:
+def _repeat_positions(pairs: Column) -> Column:
     """Sorted positions of windows that occur twice or more. ``pairs`` (hash, position) is sorted: equal hashes adjoin."""
     none = F.array(F.lit(None).cast("bigint"))
     hashes = pairs["h"]
@@ -80,7 +80,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     kept = [F.col(c) for c in keep]
     first = docs.select(
         *kept,
-        T.words(F.col("text")).alias("_words"),
+        T.pinned(T.words(F.col("text"))).alias("_words"),
         lines.alias("_lines"),
         count("[^#*$%&|<>]+").cast("long").alias("n_symbols"),
         count("[^\\p{Lu}]+").cast("long").alias("n_upper"),
@@ -92,12 +92,12 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.size(F.array_distinct("_words")).cast("long").alias("n_distinct_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        T.window_hashes(F.col("_words"), width).alias("_windows"),
+        T.pinned(T.window_hashes(F.col("_words"), width)).alias("_windows"),
     ).drop("_words", "_lines")
     # Most texts repeat no window; only the others are sorted.
     pairs = F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    third = second.withColumn("_pairs", pairs).drop("_windows")
-    third = third.withColumn("_at", F.when(F.col("_pairs").isNotNull(), _repeat_positions(F.col("_pairs"), width))).drop("_pairs")
+    third = second.withColumn("_pairs", T.pinned(pairs)).drop("_windows")
+    third = third.withColumn("_at", T.pinned(F.when(F.col("_pairs").isNotNull(), _repeat_positions(F.col("_pairs"))))).drop("_pairs")
     gaps = F.zip_with(
         F.slice("_at", 1, F.greatest(F.size("_at") - 1, F.lit(0))),
         F.slice("_at", 2, F.greatest(F.size("_at") - 1, F.lit(0))),

@@ -14,6 +14,15 @@ SPLIT = "[ \\t-\\r]+"
 SHINGLE = 5
 
 
+def pinned(column: Column) -> Column:
+    """``column``, computed once per row where it stands.
+
+    Catalyst copies the definition of a column into filters above it, and from there into lambdas, which would compute it
+    again for every element. It leaves alone what is not deterministic.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def words(text: Column) -> Column:
     """Array of the words of ``text``; empty for null and for text without words."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

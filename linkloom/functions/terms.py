@@ -1,0 +1,58 @@
+"""Keys of search terms and anchor texts. NFKC and case folding have no Spark expression, so these run in Arrow batches."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Anchors that say nothing about their target.
+GENERIC = frozenset(
+    "click|click here|here|read more|more|learn more|see more|view more|details|more details|find out more|this page|link|website|continue|next|previous|back|home|"
+    "hier|hier klicken|mehr|mehr erfahren|mehr lesen|weiterlesen|weiter|zurück|details ansehen|ici|cliquez ici|en savoir plus|lire la suite|plus|suivant|précédent|accueil".split("|")
+)
+
+
+def term(text: str | None) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text or "").casefold().split())
+
+
+def anchor(text: str | None) -> str:
+    """The term without invisible characters and without punctuation, arrows or symbols at its ends; ``#`` and ``+`` stay."""
+    seen = "".join(c for c in text or "" if unicodedata.category(c) != "Cf")
+    key = term(seen)
+    edge = lambda c: c not in "#+$" and (unicodedata.category(c)[0] == "P" or unicodedata.category(c) in ("So", "Sm", "Sk") or c.isspace())
+    a, b = 0, len(key)
+    while a < b and edge(key[a]):
+        a += 1
+    while b > a and edge(key[b - 1]):
+        b -= 1
+    return key[a:b] or key
+
+
+def is_generic(text: str | None) -> bool:
+    key = anchor(text)
+    return key in GENERIC or not re.search(r"[^\W\d_]", key)
+
+
+def _vector(function, kind: T.DataType):
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(function)
+
+    return F.pandas_udf(run, kind)
+
+
+def term_key(column: Column) -> Column:
+    return _vector(term, T.StringType())(column)
+
+
+def anchor_key(column: Column) -> Column:
+    return _vector(anchor, T.StringType())(column)
+
+
+def generic_anchor(column: Column) -> Column:
+    return _vector(is_generic, T.BooleanType())(column)

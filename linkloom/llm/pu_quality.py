@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from linkloom.llm.sampling import labelled_sample, plain_sample
 
 _MARKS = string.punctuation
+WIDTH = 14 + len(_MARKS)
 
 
 def statistics(text: str) -> list[float]:
@@ -36,7 +37,7 @@ def statistics(text: str) -> list[float]:
     words = text.split()
     n, chars = len(words), len(text)
     if not n:
-        return [0.0] * (14 + len(_MARKS))
+        return [0.0] * WIDTH
     inked = sum(map(len, words))
     lengths = [len(w) for w in words]
     distinct, lines = len(set(words)), [x for x in text.split("\n") if x.strip()]
@@ -56,13 +57,13 @@ def statistics(text: str) -> list[float]:
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = np.array([statistics(t) for t in batch["text"]], dtype=np.float32).reshape(len(batch), -1)
+        rows = np.array([statistics(t) for t in batch["text"]], dtype=np.float32).reshape(len(batch), WIDTH)
         yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [r.tobytes() for r in rows]})
 
 
 def _gather(rows: DataFrame) -> np.ndarray:
     found = rows.mapInPandas(_features, "doc_id bigint, x binary").toPandas().sort_values(["doc_id", "x"])
-    return np.frombuffer(b"".join(found["x"]), dtype=np.float32).reshape(len(found), -1).astype(float)
+    return np.frombuffer(b"".join(found["x"]), dtype=np.float32).reshape(len(found), WIDTH).astype(float)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -134,7 +135,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if "weights" in model and len(batch):
-                x = np.array([statistics(t) for t in batch["text"]]).reshape(len(batch), -1)
+                x = np.array([statistics(t) for t in batch["text"]]).reshape(len(batch), WIDTH)
                 out = _sigmoid(_design(x, model["mean"], model["scale"]) @ model["weights"])
             else:
                 out = np.full(len(batch), 0.5)

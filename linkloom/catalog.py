@@ -245,9 +245,62 @@ def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", url_key(F.col("url")).alias("url_key"))
 
 
+@query("""
+SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN n_chars < 200 THEN 'short' WHEN regexp_matches(text, '[#$%&*]{3}') THEN 'noisy' ELSE 'usable' END AS state FROM documents""", site_tables=False)
+def corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    state = F.when(text.isNull() | (text == ""), "empty").when(F.col("n_chars") < 200, "short").when(text.rlike("[#$%&*]{3}"), "noisy")
+    return table(spark, sf_dir, "documents").select("doc_id", state.otherwise("usable").alias("state"))
+
+
+@query("""
+, words AS (SELECT page, language, hub, list_distinct(list_filter(string_split(lower(substr(body, 1, 400)), ' '), lambda x: length(x) >= 4)) AS terms FROM site_pages),
+pairs AS (SELECT DISTINCT source, target FROM site_links)
+SELECT p.source, p.target, CAST(len(list_intersect(a.terms, b.terms)) AS INTEGER) AS shared,
+  round(CASE WHEN len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms)) > 0 THEN len(list_intersect(a.terms, b.terms)) / (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))) ELSE 0.0 END, 6) AS jaccard,
+  CASE WHEN a.hub = -1 OR b.hub = -1 THEN false ELSE a.hub = b.hub END AS same_hub, a.language = b.language AS same_language
+FROM pairs p JOIN words a ON a.page = p.source JOIN words b ON b.page = p.target""")
+def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = F.array_distinct(F.filter(F.split(F.lower(F.substring("body", 1, 400)), " "), lambda x: F.length(x) >= 4))
+    words = site_pages(spark, sf_dir).select("page", "language", "hub", terms.alias("terms"))
+    a = words.select(F.col("page").alias("source"), F.col("language").alias("la"), F.col("hub").alias("ha"), F.col("terms").alias("ta"))
+    b = words.select(F.col("page").alias("target"), F.col("language").alias("lb"), F.col("hub").alias("hb"), F.col("terms").alias("tb"))
+    pairs = site_links(spark, sf_dir).select("source", "target").distinct().join(a, "source").join(b, "target")
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("ta", "tb")))
+    union = F.size("ta") + F.size("tb") - F.col("shared")
+    same_hub = F.when((F.col("ha") == -1) | (F.col("hb") == -1), False).otherwise(F.col("ha") == F.col("hb"))
+    jaccard = F.round(F.when(union > 0, F.col("shared") / union).otherwise(0.0), 6)
+    return pairs.select("source", "target", "shared", jaccard.alias("jaccard"), same_hub.alias("same_hub"), (F.col("la") == F.col("lb")).alias("same_language"))
+
+
 # Search metrics
 
 
+@query("""
+SELECT page, query, source, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY page ORDER BY priority, impressions DESC, query) AS rank FROM (
+    SELECT page, query, 'search' AS source, 2 AS priority, impressions FROM search_rows UNION ALL SELECT c_custkey, c_mktsegment, 'strategic', 1, 0 FROM customer WHERE c_custkey <= 100)) WHERE rank <= 4""")
+def merged_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search_rows(spark, sf_dir).select("page", "query", F.lit("search").alias("source"), F.lit(2).alias("priority"), "impressions")
+    own = table(spark, sf_dir, "customer").where("c_custkey <= 100").select(
+        F.col("c_custkey").alias("page"), F.col("c_mktsegment").alias("query"), F.lit("strategic").alias("source"), F.lit(1).alias("priority"), F.lit(0).cast("long").alias("impressions")
+    )
+    by = Window.partitionBy("page").orderBy("priority", F.col("impressions").desc(), "query")
+    return found.unionByName(own).withColumn("rank", F.row_number().over(by)).where("rank <= 4").select("page", "query", "source", "rank")
+
+
+@query("""
+, daily AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2),
+seen AS (SELECT *, avg(n) OVER w AS mean, count(*) OVER w AS days FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+SELECT CAST(day AS VARCHAR) AS day, event_type, n, round(n / mean, 6) AS ratio FROM seen WHERE days >= 3 AND abs(n / mean - 1) > 0.25""")
+def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("event_type").orderBy("day").rowsBetween(-7, -1)
+    seen = daily.withColumn("mean", F.avg("n").over(before)).withColumn("days", F.count("*").over(before))
+    alert = (F.col("days") >= 3) & (F.abs(F.col("n") / F.col("mean") - 1) > 0.25)
+    return seen.where(alert).select(F.col("day").cast("string").alias("day"), "event_type", "n", F.round(F.col("n") / F.col("mean"), 6).alias("ratio"))
+
+
 @query("""
 SELECT CAST(floor(least(position, 100.0) + 0.5) AS INTEGER) AS at, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, round(sum(clicks) / sum(impressions), 6) AS ctr
 FROM search_rows GROUP BY 1""")
@@ -278,6 +331,19 @@ def ranked_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("rank <= 3").select("page", "query", "impressions", "rank")
 
 
+@query("""
+, centroids AS (SELECT hub, i, avg(x) AS m FROM (SELECT hub, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM site_pages WHERE hub >= 0) GROUP BY hub, i),
+parts AS (SELECT page, hub, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM site_pages WHERE hub >= 0),
+cosines AS (SELECT p.page, p.hub, round(sum(p.x * c.m) / sqrt(sum(p.x * p.x) * sum(c.m * c.m)), 6) AS cosine FROM parts p JOIN centroids c ON c.hub = p.hub AND c.i = p.i GROUP BY p.page, p.hub)
+SELECT hub, page, cosine FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY cosine DESC, page) AS n FROM cosines) WHERE n = 1""")
+def hub_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = site_pages(spark, sf_dir).where("hub >= 0").select("page", "hub", F.posexplode("vector").alias("at", "x"))
+    centroids = parts.groupBy("hub", "at").agg(F.avg("x").alias("m"))
+    cosine = F.round(F.sum(F.col("x") * F.col("m")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("m") * F.col("m"))), 6)
+    scored = parts.join(centroids, ["hub", "at"]).groupBy("hub", "page").agg(cosine.alias("cosine"))
+    return text_tables.latest_per(scored, ["hub"], [F.col("cosine").desc(), F.col("page")])
+
+
 # Scores and ranks
 
 

@@ -117,18 +117,22 @@ def disclosing(hits: DataFrame, near: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of pairs at ``GENERALISE`` or more; counts run over all documents."""
     support = near.select("entity", "term", "body").distinct().groupBy("entity", "term").agg(F.count("*").alias("texts"))
     pairs = near.select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count("*").alias("joint"))
-    pairs = materialize(pairs.join(support.where(F.col("texts") >= MIN_TEXTS), ["entity", "term"]).drop("texts"), "pii-pairs")
+    mentioned = near.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
+    # A term is in at least as many documents as mention it near any entity; that bounds its disclosure from above, so
+    # common words leave before the count over the corpus.
+    least = near.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    total = F.lit(float(hits.count()))
+    info = F.log(total / F.col("df_entity"))
+    disclosure = lambda df: F.when(info > 0, F.log(F.col("joint") * total / (F.col("df_entity") * F.col(df))) / info).otherwise(0.0)
+    pairs = pairs.join(support.where(F.col("texts") >= MIN_TEXTS), ["entity", "term"]).join(mentioned, "entity").join(least, "term")
+    pairs = materialize(pairs.where(disclosure("least") >= GENERALISE).select("entity", "term", "joint", "df_entity"), "pii-pairs")
     wanted = materialize(pairs.select("term").distinct(), "pii-terms")
     if wanted.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
     # The outer form, since for the inner one Catalyst would run the pattern a second time as a filter.
     terms = docs.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TERM), F.lit(0)))).alias("term"))
     df = terms.join(wanted, "term").groupBy("term").agg(F.count("*").alias("df_term"))
-    mentioned = near.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    total = hits.count()
-    info = F.log(F.lit(float(total)) / F.col("df_entity"))
-    gain = F.log(F.col("joint") * F.lit(float(total)) / (F.col("df_entity") * F.col("df_term")))
-    scored = pairs.join(df, "term").join(mentioned, "entity").withColumn("disclosure", F.when(info > 0, gain / info).otherwise(0.0))
+    scored = pairs.join(df, "term").withColumn("disclosure", disclosure("df_term"))
     return scored.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 

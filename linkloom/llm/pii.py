@@ -32,7 +32,7 @@ EMAIL = f"(?:(?<!{_LOCAL})|\\G){_LOCAL}++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++"
 IP = "(?:(?<![0-9])|\\G)[0-9]++(?:\\.[0-9]++){3}"
 CARD = "[0-9](?:[ -]?[0-9])++"
 PHONE = "\\+[0-9][ ().0-9-]+[0-9]"
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = "(?<![\\p{L}\\p{N}])\\p{L}[\\p{L}\\p{N}]*+(?:['’-][\\p{L}\\p{N}]++)*+"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 

@@ -151,6 +151,16 @@ def test_pii_base_spans(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_pii_zero_octets(spark):
+    texts = ["10.0.0.1 and 0.0.0.0", "127.0.0.1, 8.8.8.0", "000.00.0.255 not 0.0.0.256 or 0.0.00300.0", "0" * 4_000 + ".0.0.0", "0.0.0." + "0" * 4_000 + "256"]
+    docs = documents(spark, texts)
+    got = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["spans"] == base_list(t) and got[i]["n_ip"] == (2, 2, 1, 1, 0)[i]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[0] == "[IP] and [IP]" and clean[1] == "[IP], [IP]" and clean[4] == texts[4]
+
+
 def test_pii_terms_that_reveal_an_entity(spark):
     rare = [f"{prose(i, 20)} please ask Zanzibarov at boss@corp.example today {prose(100 + i, 20)}" for i in range(6)]
     plain = [f"{prose(200 + i, 40)} please ask at the desk today" for i in range(40)]

@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and terms that reveal the protected entities behind them.
 
-Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. Around every mention, the ``NEAR``
-nearest terms (words of three or more letters) on either side are counted with the entity. With N documents,
+Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. All terms (words of three or more
+letters) of every document that mentions an entity are counted with it, wherever they stand. With N documents,
 
     disclosure(t, e) = log(P(e | t) / P(e)) / log(1 / P(e)),   P(e | t) = joint(e, t) / df(t)
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from linkloom.plans import bitmap
 from linkloom.plans.scratch import materialize
 
-NEAR, CONTEXT, MIN_TEXTS = 8, 240, 3
+MIN_TEXTS = 3
 GENERALISE, REMOVE = 0.85, 0.95
 _LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = f"(?:(?<!{_LOCAL})|\\G){_LOCAL}++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++"
@@ -96,35 +96,36 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def mentions(hits: DataFrame) -> DataFrame:
-    """(doc_id, entity, text hash, term): the nearest terms of every mention, addresses nearby blanked out."""
+    """(doc_id, text hash, entities, terms): the distinct entities and terms of every document with entities, addresses blanked out."""
     normal = {"email": F.lower, "ip": lambda v: v, "card": _digits, "phone": _digits}
 
     def named(kind: str) -> Column:
-        entity = lambda s: F.xxhash64(F.lit(kind), normal[kind](s["value"]))
-        return F.transform(kind, lambda s: F.struct(entity(s).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.transform(kind, lambda s: F.xxhash64(F.lit(kind), normal[kind](s["value"])))
 
-    all_ = F.concat(*[named(k) for k in KINDS])
-    rows = hits.where(F.col("_text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "_text", F.xxhash64("_text").alias("body"), F.explode(all_).alias("m"))
-    before = F.substr("_text", F.greatest(F.col("m.start") - CONTEXT, F.lit(0)) + 1, F.least(F.col("m.start"), F.lit(CONTEXT)))
-    after = F.substr("_text", F.col("m.end") + 1, F.lit(CONTEXT))
-    clean = lambda c: F.regexp_extract_all(F.regexp_replace(c, EMAIL, " "), F.lit(TERM), F.lit(0))
-    rows = rows.select("doc_id", "body", "m.entity", clean(before).alias("b"), clean(after).alias("a"))
-    near = F.concat(F.slice("b", F.greatest(F.size("b") - NEAR, F.lit(0)) + 1, NEAR), F.slice("a", 1, NEAR))
-    return rows.select("doc_id", "entity", "body", F.explode(F.array_distinct(near)).alias("term")).where(F.length("term") >= 3)
+    entities = F.array_distinct(F.concat(*[named(k) for k in KINDS]))
+    terms = F.array_distinct(F.regexp_extract_all(F.regexp_replace("_text", EMAIL, " "), F.lit(TERM), F.lit(0)))
+    rows = hits.where(F.col("_text").isNotNull() & F.col("doc_id").isNotNull())
+    return rows.select("doc_id", F.xxhash64("_text").alias("body"), entities.alias("entities"), F.filter(terms, lambda t: F.length(t) >= 3).alias("terms"))
 
 
-def disclosing(hits: DataFrame, near: DataFrame, docs: DataFrame) -> DataFrame:
+def disclosing(hits: DataFrame, told: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of pairs at ``GENERALISE`` or more; counts run over all documents."""
-    support = near.select("entity", "term", "body").distinct().groupBy("entity", "term").agg(F.count("*").alias("texts"))
-    pairs = near.select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count("*").alias("joint"))
-    mentioned = near.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    # A term is in at least as many documents as mention it near any entity; that bounds its disclosure from above, so
-    # common words leave before the count over the corpus.
-    least = near.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("least"))
-    total = F.lit(float(hits.count()))
+    total = float(hits.count())
+    in_texts = lambda name: F.count_distinct("body").alias(name)
+    named = told.select("doc_id", "body", F.explode("entities").alias("entity")).distinct()
+    entities = named.groupBy("entity").agg(F.count_distinct("doc_id").alias("df_entity"), in_texts("texts")).where(F.col("texts") >= MIN_TEXTS)
+    # A pair meets in no more documents than mention the entity, so a term in more than this many discloses too little.
+    most = F.pow(F.col("df_entity"), F.lit(GENERALISE)) * total ** (1 - GENERALISE) * (1 + 1e-9)
+    entities = materialize(entities.select("entity", "df_entity", most.alias("most")), "pii-entities")
+    # A term is in at least as many documents as mention it with any entity; that bounds its disclosure from above, so
+    # common words leave before they are paired and before the count over the corpus.
+    words = told.select("doc_id", "body", F.explode("terms").alias("term")).distinct()
+    words = words.groupBy("term").agg(F.count_distinct("doc_id").alias("least"), in_texts("texts")).where(F.col("texts") >= MIN_TEXTS)
+    words = materialize(words.where(F.col("least") <= entities.agg(F.max("most")).scalar()).select("term", "least"), "pii-words")
+    left = materialize(_of_entities(told, entities).join(_of_terms(told, words), ["doc_id", "body"]).where("least <= most"), "pii-meetings")
     info = F.log(total / F.col("df_entity"))
     disclosure = lambda df: F.when(info > 0, F.log(F.col("joint") * total / (F.col("df_entity") * F.col(df))) / info).otherwise(0.0)
-    pairs = pairs.join(support.where(F.col("texts") >= MIN_TEXTS), ["entity", "term"]).join(mentioned, "entity").join(least, "term")
+    pairs = left.groupBy("entity", "term", "df_entity", "least").agg(F.count_distinct("doc_id").alias("joint"), in_texts("texts")).where(F.col("texts") >= MIN_TEXTS)
     pairs = materialize(pairs.where(disclosure("least") >= GENERALISE).select("entity", "term", "joint", "df_entity"), "pii-pairs")
     wanted = materialize(pairs.select("term").distinct(), "pii-terms")
     if wanted.isEmpty():
@@ -136,11 +137,25 @@ def disclosing(hits: DataFrame, near: DataFrame, docs: DataFrame) -> DataFrame:
     return scored.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
+def _of_entities(told: DataFrame, entities: DataFrame) -> DataFrame:
+    """doc_id, body and entity of the mentions of ``entities``, with the columns of that; others leave at the scan."""
+    rows = told.select("doc_id", "body", F.explode("entities").alias("entity")).where(bitmap.may_contain(entities, "entity", F.col("entity")))
+    return rows.distinct().join(entities, "entity")
+
+
+def _of_terms(told: DataFrame, words: DataFrame) -> DataFrame:
+    """The same for the terms in ``words``."""
+    rows = told.select("doc_id", "body", F.explode("terms").alias("term")).where(bitmap.may_contain(words, "term", F.col("term")))
+    return rows.distinct().join(words, "term")
+
+
 def document_terms(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """(doc_id, generalised, removed): the terms to treat in each document that mentions what they disclose."""
-    near = materialize(mentions(hits), "pii-mentions")
-    found = materialize(disclosing(hits, near, docs), "pii-disclosing")
-    per = near.join(found, ["entity", "term"]).groupBy("doc_id", "term").agg(F.max("disclosure").alias("d"))
+    told = materialize(mentions(hits), "pii-mentions")
+    found = materialize(disclosing(hits, told, docs), "pii-disclosing")
+    named = _of_entities(told, found.select("entity").distinct()).select("doc_id", "entity").distinct()
+    words = _of_terms(told, found.select("term").distinct()).select("doc_id", "term").distinct()
+    per = named.join(words, "doc_id").join(found, ["entity", "term"]).groupBy("doc_id", "term").agg(F.max("disclosure").alias("d"))
     pick = lambda keep: F.sort_array(F.collect_list(F.when(keep, F.col("term"))))
     out = per.groupBy("doc_id").agg(pick(F.col("d") < REMOVE).alias("generalised"), pick(F.col("d") >= REMOVE).alias("removed"))
     return materialize(out, "pii-document-terms")

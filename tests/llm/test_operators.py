@@ -175,6 +175,45 @@ def test_pii_terms_that_reveal_an_entity(spark):
     assert all(clean[6 + i]["text"] == t for i, t in enumerate(plain)) and clean[0]["n_chars"] == len(clean[0]["text"])
 
 
+def test_pii_terms_far_from_the_mention(spark):
+    near = [f"{prose(i, 20)} Zanzibarov at boss@corp.example today" for i in range(3)]
+    far = [f"Querubina {prose(300 + i, 400)} boss@corp.example {prose(400 + i, 400)} Zanzibarov" for i in range(3)]
+    docs = documents(spark, near + far + [f"{prose(200 + i, 40)} today" for i in range(40)])
+    got = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    for i, t in enumerate(near + far):
+        want = [(t.index(w), t.index(w) + len(w)) for w in ("Querubina", "Zanzibarov") if w in t]
+        assert set(want) <= {tuple(map(int, s.split(":")[1:])) for s in got[i]["spans"].split(",") if s.startswith("term:")}
+    clean = [r["text"] for r in pii.sanitise(docs).where("doc_id < 6").collect()]
+    assert not any(w in t for t in clean for w in ("Querubina", "Zanzibarov", "boss@"))
+
+
+def brute_terms(texts):
+    """(entity, term) -> disclosure, by definition; all texts differ."""
+    rows = [(set(re.findall(r"[a-z]+@[a-z.]+", t)), set(re.findall(r"[A-Za-z]+", re.sub(r"[a-z]+@[a-z.]+", " ", t)))) for t in texts]
+    df = collections.Counter(w for t in texts for w in set(re.findall(r"[A-Za-z]+", t)))
+    of = collections.Counter(e for es, _ in rows for e in es)
+    joint = collections.Counter((e, w) for es, ws in rows for e in es for w in ws if len(w) >= 3)
+    n = len(texts)
+    return {(e, w): math.log(k * n / (of[e] * df[w])) / math.log(n / of[e]) for (e, w), k in joint.items() if k >= 3 and of[e] < n}
+
+
+def test_pii_disclosure_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), 4)) for _ in range(60)]
+    texts = []
+    for i in range(90):
+        own = [f"mark{i % 5}"[:4] + "vwxyz"[i % 5]] * (rng.random() < (0.9 if i % 3 == 0 else 0.1)) + [f"u{'vwxyz'[i % 5]}@m.org", "all@m.org"][: 1 + (i % 2)] * (i % 3 == 0)
+        texts.append(" ".join(rng.permutation([*rng.choice(words, 25), *own, "every"])) + " id" + "".join(rng.choice(list("klmnop"), 9)))
+    want = {k: v for k, v in brute_terms(texts).items() if v >= pii.GENERALISE}
+    docs = documents(spark, texts)
+    assert len(want) >= 3 and len(want) < len(brute_terms(texts))
+    hits = pii.base_spans(docs)
+    told = pii.mentions(hits)
+    names = {e: docs.select(F.xxhash64(F.lit("email"), F.lit(e)).alias("h")).first()["h"] for e in {e for e, _ in brute_terms(texts)}}
+    got = {(r["entity"], r["term"]): r["disclosure"] for r in pii.disclosing(hits, told, docs).collect()}
+    assert got == pytest.approx({(names[e], w): v for (e, w), v in want.items()})
+
+
 def test_pii_sanitise_keeps_nulls_and_columns(spark):
     docs = documents(spark, [None, "", "call +1 415 555 0100 now", "x " * 9])
     out = pii.sanitise(docs)

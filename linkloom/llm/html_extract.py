@@ -3,9 +3,10 @@
 Markup is stripped to lines, one per block element. Elements that are boilerplate by their tag or by words of their
 class, id or role (menus, notices, adverts, forms, reader comments and the like) give no lines. The text lengths of
 ``WINDOW`` neighbouring lines are summed, links counted at a tenth; a surge is where the sum rises to the threshold
-with text following, a dive where it falls below it. The stretch between them with most text is kept. An ``article``
-or ``main`` element that holds most of that stretch fixes its ends, since short first and last paragraphs of an
-article lie below any threshold; within a container nothing is dropped.
+with text following, a dive where it falls below it. Every stretch between them is kept, and of the short lines between
+two stretches those that are not mostly links. Where ``article`` or ``main`` elements hold most of the stretch with most
+text, the containers with text of any stretch are kept instead, since short first and last paragraphs of an article lie
+below any threshold; within a container nothing is dropped.
 
 Defined cases: null, empty and text-free pages give an empty text; unclosed elements end with their parent or at the
 next ``article`` or ``main``; ``<`` that opens no tag is text; white space inside a block, no-break spaces included,
@@ -137,42 +138,45 @@ def to_lines(page: str) -> list[tuple[str, int, int]]:
     return lines
 
 
-def stretch(lines: list[tuple[str, int, int]], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """Start and end of the lines kept: the stretch between surge and dive with most text."""
-    weight = [len(t) - min(len(t), n) * 0.9 for t, n, _ in lines]
-    sums = [sum(weight[i : i + window]) for i in range(len(lines))]
-    best, start = (0.0, 0, 0), None
-    for i in range(len(lines) + 1):
-        high = i < len(lines) and sums[i] >= surge
+def stretches(weight: list[float], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """Start and end of every run of lines between surge and dive, in page order."""
+    sums = [sum(weight[i : i + window]) for i in range(len(weight))]
+    found, start = [], None
+    for i in range(len(weight) + 1):
+        high = i < len(weight) and sums[i] >= surge
         if high and start is None:
             start = i
         elif not high and start is not None:
-            end = min(len(lines), i + window - 1)
+            end = min(len(weight), i + window - 1)
             while end > i and weight[end - 1] < surge / window:
                 end -= 1
             first = start
             while first < i and weight[first] < surge / window:
                 first += 1
-            best = max(best, (sum(weight[first:end]), -first, end))
+            found.append((first, end))
             start = None
-    total, first, end = best[0], -best[1], best[2]
-    inside: dict[int, float] = {}
-    for i, (_, _, c) in enumerate(lines):
-        if c >= 0 and (first <= i < end or not total):
-            inside[c] = inside.get(c, 0.0) + weight[i]
-    if inside and (sum(inside.values()) >= 0.5 * total):
+    return found
+
+
+def kept_lines(lines: list[tuple[str, int, int]]) -> list[int]:
+    """The lines of the main text: those of containers where they hold it, else of all stretches and between them."""
+    weight = [len(t) - min(len(t), n) * 0.9 for t, n, _ in lines]
+    found = [(a, b) for a, b in stretches(weight) if sum(weight[a:b]) > 0]
+    held = lambda a, b: sum(weight[i] for i in range(a, b) if lines[i][2] >= 0)
+    first, end = max(found, key=lambda x: sum(weight[x[0] : x[1]]), default=(0, 0))
+    within = {i for a, b in found for i in range(a, b)} if found else set(range(len(lines)))
+    inside = {lines[i][2] for i in within if lines[i][2] >= 0}
+    if inside and held(first, end) >= 0.5 * sum(weight[first:end]):
         own = [i for i, (_, _, c) in enumerate(lines) if c in inside]
-        return own[0], own[-1] + 1
-    return (first, end) if total else (0, len(lines))
+        return [i for i in range(own[0], own[-1] + 1) if lines[i][2] >= 0]
+    if not found:
+        return list(range(len(lines)))
+    return [i for i in range(found[0][0], found[-1][1]) if i in within or 2 * lines[i][1] <= len(lines[i][0])]
 
 
 def main_text(page: str | None) -> str:
     lines = to_lines(page or "")
-    first, end = stretch(lines)
-    kept = lines[first:end]
-    if any(c >= 0 for _, _, c in kept) and kept[0][2] >= 0 and kept[-1][2] >= 0:
-        kept = [x for x in kept if x[2] >= 0]
-    return "\n".join(t for t, _, _ in kept)
+    return "\n".join(lines[i][0] for i in kept_lines(lines))
 
 
 def extract(pages: DataFrame) -> DataFrame:

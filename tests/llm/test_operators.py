@@ -98,6 +98,17 @@ def test_html_without_container_uses_line_blocks():
     assert got == "\n".join(prose(i, 30) for i in range(6))
 
 
+def test_html_short_lines_between_stretches():
+    long = [(prose(i, 200)[:n]).strip() for i, n in enumerate((400, 400, 300, 500))]
+    items = [f"item {i} text" for i in range(6)]
+    tags = lambda tag, xs: "".join(f"<{tag}>{x}</{tag}>" for x in xs)
+    links = "".join(f"<li><a href=/{i}>menu {i}</a></li>" for i in range(8))
+    got = html_extract.main_text(f"<ul>{links}</ul><div>{tags('p', long[:2])}<ul>{tags('li', items)}</ul><p>{long[2]}</p><ul>{links}</ul><p>{long[3]}</p></div><ul>{links}</ul>")
+    assert got == "\n".join([*long[:2], *items, *long[2:]])
+    two = html_extract.main_text(f"<article><p>{long[0]}</p></article>{tags('p', items)}<article><p>{long[2]}</p><p>End.</p></article>")
+    assert two == "\n".join([long[0], long[2], "End."])
+
+
 def test_html_odd_rows(spark):
     pages = [(1, None, None), (2, "u", ""), (3, "u", "a < b"), (4, "u", "<p>" + "word " * 20000), (4, "u", "<<<"), (5, "u", "<div class='x>y<p>z")]
     got = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.plans.scratch import materialize
+from linkloom.plans.scratch import materialize, release
 
 
 def crawled_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -41,17 +41,25 @@ def inbound_anchors(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(languages, "source").groupBy("target", "language", "anchor").agg(F.count("*").alias("links"))
 
 
-def crawl_depth(links: DataFrame, pages: DataFrame, start: int, most: int = 12) -> DataFrame:
-    """page, depth: clicks from ``start``, null where out of reach within ``most``. One frontier join per level."""
+def crawl_depth(links: DataFrame, pages: DataFrame, start: int, together: int = 16) -> DataFrame:
+    """page, depth: clicks from ``start``, null where out of reach. One frontier join per level, until it is empty.
+
+    The tables of ``together`` levels become one, so that plans stay short however deep the site is.
+    """
     edges = materialize(crawled_edges(links, pages), "depth-edges")
     reached = materialize(pages.where(F.col("page") == start).select("page", F.lit(0).alias("depth")), "depth")
-    for level in range(1, most + 1):
+    level = 0
+    while True:
+        level += 1
         front = reached.where(F.col("depth") == level - 1)
         fresh = edges.join(front, edges.source == front.page).select(F.col("target").alias("page")).distinct().join(reached, "page", "left_anti")
         fresh = materialize(fresh.withColumn("depth", F.lit(level)), "depth")
         if fresh.isEmpty():
             break
         reached = reached.unionByName(fresh)
+        if level % together == 0:
+            parts, reached = reached, materialize(reached, "depth")
+            release(parts)
     return pages.select("page").join(reached, "page", "left")
 
 

@@ -178,7 +178,7 @@ WITH part AS (SELECT page, keyword FROM (SELECT page, keyword, count(*) OVER (PA
 SELECT a.page AS a, b.page AS b, count(*) AS shared FROM part a JOIN part b ON a.keyword = b.keyword AND a.page < b.page GROUP BY a.page, b.page""", site_tables=False)
 def keyword_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_partkey").alias("keyword"))
-    return graph.keyword_projection(rows, 40)
+    return graph.keyword_projection(rows)[0]
 
 
 # Percentiles

@@ -97,13 +97,39 @@ def average_rank(value: str, by: list[str]) -> Column:
     return F.when(known, (low + (ties - 1) / 2) / F.count("*").over(part))
 
 
-def keyword_projection(rows: DataFrame, most: int) -> DataFrame:
-    """(a, b, shared): pages that share keywords. Keywords on more than ``most`` pages are left out, as the projection demands."""
-    part = rows.select("page", "keyword").distinct()
-    part = part.withColumn("k", F.count("*").over(Window.partitionBy("keyword"))).where(F.col("k") <= most).drop("k")
+def _over_budget(counts: DataFrame, budget: int) -> DataFrame:
+    """The rows of ``counts`` (keyword, k) to drop, most shared first and then by keyword, until ``budget`` pairs hold the rest."""
+    sizes = sorted(((r["k"], r["n"]) for r in counts.groupBy("k").agg(F.count("*").alias("n")).toLocalIterator()), reverse=True)
+    pairs = sum(k * (k - 1) // 2 * n for k, n in sizes)
+    for k, n in sizes:
+        each = k * (k - 1) // 2
+        if pairs <= budget:
+            return counts.where(F.col("k") > k)
+        if pairs - each * n <= budget:
+            most = -(-(pairs - budget) // each)  # of this size, the first ones by keyword
+            if most == n:
+                return counts.where(F.col("k") >= k)
+            ranked = counts.where(F.col("k") == k).select("keyword").orderBy("keyword").rdd.zipWithIndex()
+            first_kept = ranked.filter(lambda x: x[1] == most).first()[0]["keyword"]
+            return counts.where((F.col("k") > k) | ((F.col("k") == k) & (F.col("keyword") < F.lit(first_kept))))
+        pairs -= each * n
+    return counts.limit(0)
+
+
+def keyword_projection(rows: DataFrame, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a, b, shared): pages that share keywords; and (keyword, k): the keywords left out, with their pages.
+
+    Without ``budget`` none is left out. With it (5,000,000 in the reference), while keywords make more pairs of pages than
+    that, the most shared is left out, ties by keyword.
+    """
+    part = rows.where("page is not null and keyword is not null").select("page", "keyword").distinct()
+    counts = part.groupBy("keyword").agg(F.count("*").alias("k"))
+    counts = counts if budget is None else materialize(counts, "projection-keywords")
+    dropped = counts.limit(0) if budget is None else materialize(_over_budget(counts, budget), "projection-dropped")
+    part = part if budget is None else part.join(dropped, "keyword", "left_anti")
     other = part.select(F.col("page").alias("b"), "keyword")
     pairs = part.withColumnRenamed("page", "a").join(other, "keyword").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")), dropped
 
 
 def hub_pairs(links: DataFrame, pages: DataFrame) -> DataFrame:

@@ -1,5 +1,10 @@
 """Graph operators against walks and counts in plain Python."""
 
+import collections
+import itertools
+import math
+import random
+
 from linkloom.operators import graph
 
 LINKS = "source long, position long, target long, anchor string"
@@ -11,3 +16,28 @@ def test_depth_of_long_chains(spark):
     pages = spark.createDataFrame([(i,) for i in [*range(last + 1), 50, 51]], "page long")
     got = {r["page"]: r["depth"] for r in graph.crawl_depth(spark.createDataFrame(chain, LINKS), pages, 0).collect()}
     assert got == {i: i if i < 9 else i - 1 for i in range(last + 1)} | {50: None, 51: None}
+
+
+def brute_projection(rows, budget):
+    """As graph/algorithms.py keyword_pass_graph of the reference."""
+    of = collections.defaultdict(set)
+    for page, keyword in rows:
+        of[keyword].add(page)
+    pairs, dropped = sum(math.comb(len(p), 2) for p in of.values()), set()
+    for k in sorted(of, key=lambda k: (-len(of[k]), k)):
+        if pairs <= budget:
+            break
+        pairs -= math.comb(len(of[k]), 2)
+        dropped.add(k)
+    shared = collections.Counter(ab for k, p in of.items() if k not in dropped for ab in itertools.combinations(sorted(p), 2))
+    return dict(shared), dropped
+
+
+def test_projection_drops_what_the_budget_demands(spark):
+    rng = random.Random(3)
+    rows = [(p, 1) for p in range(60)] + [(rng.randrange(60), k) for k in range(2, 40) for _ in range(rng.choice((1, 4, 9)))]
+    rows += [(p, k) for k in range(40, 45) for p in range(20)] + rows[:9]
+    table = spark.createDataFrame([*rows, (None, 1), (3, None)], "page long, keyword long")
+    for budget in (None, 2500, 1000, 950, 0):
+        pairs, dropped = graph.keyword_projection(table, budget)
+        assert ({(r["a"], r["b"]): r["shared"] for r in pairs.collect()}, {r["keyword"] for r in dropped.collect()}) == brute_projection(rows, math.inf if budget is None else budget)

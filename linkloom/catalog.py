@@ -282,7 +282,7 @@ SELECT page, query, source, CAST(rank AS INTEGER) AS rank FROM (
     SELECT page, query, 'search' AS source, 2 AS priority, impressions FROM search_rows UNION ALL SELECT c_custkey, c_mktsegment, 'strategic', 1, 0 FROM customer WHERE c_custkey <= 100)) WHERE rank <= 4""")
 def merged_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search_rows(spark, sf_dir).select("page", "query", F.lit("search").alias("source"), F.lit(2).alias("priority"), "impressions")
-    own = table(spark, sf_dir, "customer").where("c_custkey <= 100").select(
+    own = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("page"), F.col("c_mktsegment").alias("query"), F.lit("strategic").alias("source"), F.lit(1).alias("priority"), F.lit(0).cast("long").alias("impressions")
     )
     by = Window.partitionBy("page").orderBy("priority", F.col("impressions").desc(), "query")

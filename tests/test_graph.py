@@ -5,8 +5,11 @@ import itertools
 import math
 import random
 
+from linkloom import catalog
 from linkloom.operators import graph
 
+SF = "/root/testdata/sf0.001"
+
 LINKS = "source long, position long, target long, anchor string"
 
 
@@ -41,3 +44,9 @@ def test_projection_drops_what_the_budget_demands(spark):
     for budget in (None, 2500, 1000, 950, 0):
         pairs, dropped = graph.keyword_projection(table, budget)
         assert ({(r["a"], r["b"]): r["shared"] for r in pairs.collect()}, {r["keyword"] for r in dropped.collect()}) == brute_projection(rows, math.inf if budget is None else budget)
+
+
+def test_every_strategic_page_counts(spark):
+    rows = catalog.queries()["merged_keywords"](spark, SF).where("source = 'strategic'").collect()
+    customers = spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey", "c_mktsegment").collect()
+    assert len(customers) > 100 and sorted((r["page"], r["query"], r["rank"]) for r in rows) == sorted((c[0], c[1], 1) for c in customers)

@@ -261,7 +261,7 @@ SELECT p.source, p.target, CAST(len(list_intersect(a.terms, b.terms)) AS INTEGER
   CASE WHEN a.hub = -1 OR b.hub = -1 THEN false ELSE a.hub = b.hub END AS same_hub, a.language = b.language AS same_language
 FROM pairs p JOIN words a ON a.page = p.source JOIN words b ON b.page = p.target""")
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = F.array_distinct(F.filter(F.split(F.lower(F.substring("body", 1, 400)), " "), lambda x: F.length(x) >= 4))
+    terms = F.array_distinct(F.filter(F.split(F.lower("body"), " "), lambda x: F.length(x) >= 4))
     words = site_pages(spark, sf_dir).select("page", "language", "hub", terms.alias("terms"))
     a = words.select(F.col("page").alias("source"), F.col("language").alias("la"), F.col("hub").alias("ha"), F.col("terms").alias("ta"))
     b = words.select(F.col("page").alias("target"), F.col("language").alias("lb"), F.col("hub").alias("hb"), F.col("terms").alias("tb"))

@@ -5,8 +5,11 @@ import itertools
 import math
 import random
 
+import pytest
+
 from linkloom import catalog
 from linkloom.operators import graph
+from linkloom.sources import site
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +53,15 @@ def test_every_strategic_page_counts(spark):
     rows = catalog.queries()["merged_keywords"](spark, SF).where("source = 'strategic'").collect()
     customers = spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey", "c_mktsegment").collect()
     assert len(customers) > 100 and sorted((r["page"], r["query"], r["rank"]) for r in rows) == sorted((c[0], c[1], 1) for c in customers)
+
+
+def test_pair_features_read_whole_texts(spark):
+    bodies = {r["page"]: r["body"] for r in site.site_pages(spark, SF).select("page", "body").collect()}
+    terms = {p: {w for w in (b or "").lower().split(" ") if len(w) >= 4} for p, b in bodies.items()}
+    links = {(r["source"], r["target"]) for r in site.site_links(spark, SF).collect()}
+    shared = {(a, b): terms[a] & terms[b] for a, b in links if a in terms and b in terms}
+    got = {(r["source"], r["target"]): (r["shared"], r["jaccard"]) for r in catalog.queries()["pair_features"](spark, SF).collect()}
+    assert any(len(b or "") > 400 for b in bodies.values()) and got.keys() == shared.keys()
+    for (a, b), both in shared.items():
+        union = len(terms[a] | terms[b])
+        assert got[a, b] == (len(both), pytest.approx(len(both) / union if union else 0.0, abs=6e-7))

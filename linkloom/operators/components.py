@@ -1,8 +1,9 @@
 """Connected components of an edge table, without gathering edges on one machine.
 
-Every partition first contracts its own edges with union-find to a spanning forest. Then large-star and small-star
-steps alternate until the edge set no longer changes; each step moves edges keyed by a node and takes grouped minima,
-which Spark pre-aggregates, so a node with very many neighbours costs no single task.
+Every partition first contracts its own edges with union-find to spanning forests of at most ``HELD`` nodes. Then
+large-star and small-star steps alternate until the edge set no longer changes. Grouped minima are pre-aggregated. A node
+with very many larger neighbours (the centre of a star) is joined under ``SALTS`` keys, its minimum once under each, so
+no task gets all its edges.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.plans import bitmap
 from linkloom.plans.scratch import materialize
 
+#: Nodes that a contracting task holds at most; edges of a node that are dealt under salts; the number of salts.
+HELD, HOT, SALTS = 1_000_000, 1024, 64
+
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parent: dict[int, int] = {}
@@ -26,21 +31,35 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = parent[x]
         return x
 
+    def forest() -> Iterator[pd.DataFrame]:
+        pairs = [(x, root(x)) for x in list(parent)]
+        parent.clear()
+        pairs = np.array([p for p in pairs if p[0] != p[1]], dtype=np.int64).reshape(-1, 2)
+        for i in range(0, len(pairs), 100_000):
+            yield pd.DataFrame(pairs[i : i + 100_000], columns=["u", "v"])
+
     for batch in batches:
         for a, b in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    pairs = [(x, root(x)) for x in list(parent)]
-    pairs = np.array([p for p in pairs if p[0] != p[1]], dtype=np.int64).reshape(-1, 2)
-    for i in range(0, len(pairs), 100_000):
-        yield pd.DataFrame(pairs[i : i + 100_000], columns=["u", "v"])
+        if len(parent) > HELD:
+            yield from forest()
+    yield from forest()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    """Every node's larger neighbours, linked to its smallest neighbour. ``edges`` run from the larger to the smaller end."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))  # nodes without a smaller neighbour are their own minimum
+    hot = materialize(edges.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("v"), "hot-nodes")
+    if hot.isEmpty():
+        moved = edges.join(low.select(F.col("u").alias("v"), "m"), "v", "left")
+    else:
+        # Both sides ask the same bitmap, so a node that shares a hot node's bit is salted on both, too.
+        salted = edges.withColumn("salt", F.when(bitmap.may_contain(hot, "v", F.col("v")), F.pmod(F.xxhash64("u"), F.lit(SALTS))).otherwise(0).cast("int"))
+        every = F.when(bitmap.may_contain(hot, "v", F.col("v")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        moved = salted.join(low.select(F.col("u").alias("v"), "m").withColumn("salt", F.explode(every)), ["v", "salt"], "left")
+    return moved.select("u", F.coalesce("m", "v").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -53,7 +72,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; the component is its smallest node. Nodes are longs."""
     now = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u <> v")
-    now = materialize(now.mapInPandas(_contract, "u bigint, v bigint"), "edges")
+    now = materialize(now.mapInPandas(_contract, "u bigint, v bigint"), "edges")  # the root is the smaller end
     seen = None
     for _ in range(most):
         now = materialize(_small_star(_large_star(now)), "edges")

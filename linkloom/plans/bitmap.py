@@ -1,30 +1,42 @@
-"""A fixed-size membership filter in front of a large shuffle.
+"""A membership filter of bounded size in front of a large shuffle.
 
 The keys of a small side set bits in a bitmap of ``2 ** log_bits`` bits; rows of the large side whose bit is unset
-cannot have a partner and are decided at the scan. The bitmap has the same size for any input, is built by a
-pre-aggregated sum in Spark and reaches the scan as a scalar subquery of one row. A full bitmap only lets more rows
-through to the join that follows, which stays exact.
+cannot have a partner and are decided at the scan. The bitmap is built by a pre-aggregated sum in Spark and reaches the
+scan as a scalar subquery of one row. Its size follows the number of keys, eight bits a key, between ``LEAST`` and
+``MOST`` (8 MB, the bound that Spark sets to its own runtime bloom filters). A full bitmap only lets more rows through
+to the join that follows, which stays exact.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.plans.scratch import materialize
 
-LOG_BITS = 20
+LEAST, MOST = 20, 26
 
 
 def _slot(key: Column, log_bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << log_bits)).cast("int")
 
 
-def may_contain(keys: DataFrame, key: str, of: Column, log_bits: int = LOG_BITS) -> Column:
-    """Whether the bit of ``of`` is set by column ``key`` of ``keys``; false for null. Evaluated in the JVM."""
-    at = _slot(F.col(key), log_bits)
+def bits_for(keys: int) -> int:
+    """log2 of the bits for that many keys."""
+    return min(MOST, max(LEAST, math.ceil(math.log2(8 * keys + 1))))
+
+
+def may_contain(keys: DataFrame, key: str, of: Column, log_bits: int | None = None) -> Column:
+    """Whether the bit of ``of`` is set by column ``key`` of ``keys``; false for null. Evaluated in the JVM.
+
+    ``keys`` is counted where ``log_bits`` is not given, so it should be a stored table.
+    """
+    log_bits = bits_for(keys.count()) if log_bits is None else log_bits
+    at = _slot(F.col(f"`{key}`"), log_bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)))
-    words = keys.where(F.col(key).isNotNull()).select(F.shiftright(at, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = keys.where(F.col(f"`{key}`").isNotNull()).select(F.shiftright(at, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     every = keys.sparkSession.range(1 << (log_bits - 6), numPartitions=1).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
     listed = every.agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("x"))
     bits = materialize(listed.select(F.transform("x", lambda x: x["b"]).alias("bits")), "bitmap")
@@ -32,19 +44,33 @@ def may_contain(keys: DataFrame, key: str, of: Column, log_bits: int = LOG_BITS)
     return of.isNotNull() & (F.call_function("getbit", F.get(bits.scalar(), F.shiftright(slot, 6)), F.pmod(slot, F.lit(64))) == 1)
 
 
-def without(rows: DataFrame, keys: DataFrame, key: str, log_bits: int = LOG_BITS) -> DataFrame:
-    """``rows`` whose ``key`` is not in ``keys``; rows with a null key stay.
+def _whole(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` as (k, row): the key and all columns in one struct, so that no name of the caller's meets one of ours."""
+    return rows.select(F.col(f"`{key}`").alias("k"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str, log_bits: int | None = None) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``keys``; rows with a null key stay. Other columns may have any name.
 
     Rows whose bit is unset pass at the scan; only the others go through the anti join, so wide rows hardly move.
     """
-    maybe = may_contain(keys, key, F.col(key), log_bits)
-    checked = rows.where(maybe).join(keys.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")
-    return rows.where(~maybe).unionByName(checked)
+    packed = _whole(rows, key)
+    maybe = may_contain(keys, key, F.col("k"), log_bits)
+    checked = packed.where(maybe).join(keys.select(F.col(f"`{key}`").alias("k")), "k", "left_anti")
+    return packed.where(~maybe).unionByName(checked).select(*[F.col("row").getField(c).alias(c) for c in rows.columns])
 
 
-def left_join(rows: DataFrame, small: DataFrame, key: str, log_bits: int = LOG_BITS) -> DataFrame:
-    """``rows`` left join ``small`` on ``key``; rows whose bit is unset get nulls at the scan and never move."""
-    maybe = may_contain(small, key, F.col(key), log_bits)
+def left_join(rows: DataFrame, small: DataFrame, key: str, log_bits: int | None = None) -> DataFrame:
+    """``rows`` left join ``small`` on ``key``; rows whose bit is unset get nulls at the scan and never move.
+
+    Names that both sides have beside the key are an error, as they are for any join that names its columns.
+    """
     added = [f for f in small.schema.fields if f.name != key]
-    joined = rows.where(maybe).join(small.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").drop("_key")
-    return joined.unionByName(rows.where(~maybe).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added]))
+    if clash := {f.name for f in added} & set(rows.columns):
+        raise ValueError(f"both sides have columns {sorted(clash)}")
+    packed = _whole(rows, key)
+    maybe = may_contain(small, key, F.col("k"), log_bits)
+    other = small.select(F.col(f"`{key}`").alias("k"), F.struct(*[F.col(f"`{f.name}`") for f in added]).alias("more"))
+    none = F.lit(None).cast(other.schema["more"].dataType)
+    both = packed.where(maybe).join(other, "k", "left").select("row", "more").unionByName(packed.where(~maybe).select("row", none.alias("more")))
+    return both.select(*[F.col("row").getField(c).alias(c) for c in rows.columns], *[F.col("more").getField(f.name).alias(f.name) for f in added])

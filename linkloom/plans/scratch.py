@@ -10,10 +10,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Paths handed out inside each open :func:`staged` call, innermost last.
+_open: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,7 +41,10 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +55,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Materializes what ``build`` returns, then removes every other table that it wrote on the way."""
+    _open.append([])
+    try:
+        out = materialize(build(), name)
+    finally:
+        paths = _open.pop()
+    keep = paths[-1]  # the last path handed out is that of the result
+    for path in paths[:-1]:
+        drop(spark, path)
+    if _open:
+        _open[-1].append(keep)
+    return out
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Removes a folder of this module through the file system that Spark uses for it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,6 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted: ``page_id`` intervals of a fixed width make shards, and a shard is sorted by ``page_id``.
+Records are range-sorted: the span of the ids is cut into equal intervals, as many as give ``shard_rows`` records each
+on average; an interval is a shard, and a shard is sorted by ``page_id``.
 Each record is one gzip member with regenerated headers, dates and digests, so the same rows give the same bytes. A
 shard rolls to a new file before a record would lift the compressed file over ``roll_bytes``. Tasks write to temporary
 names that carry a random part and report them in a manifest table; only files of that manifest are renamed to their
@@ -12,8 +13,9 @@ are revisit records without payload that name it. Groups are found with SHA-256
 
 Defined cases: a null html is an empty payload; a null url leaves out the target URI; CR, LF and other control
 characters of a url are percent-encoded in the header; rows that repeat a page_id are records of their own, and of equal
-rows with the smallest id all are responses; null ids sort first in a shard of their own and are never named by a
-revisit unless all ids of the group are null; an empty table gives an empty archive; other columns are not read.
+rows with the smallest id all are responses; null ids go to shards of their own, dealt and sorted by digest, and are never
+named by a revisit unless all ids of the group are null; an empty table gives an empty archive; other columns are not
+read. Ids stay 64-bit integers throughout, with nulls among them or not.
 """
 
 from __future__ import annotations
@@ -23,19 +25,24 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.llm.arrow import slices
 from linkloom.plans.scratch import materialize, new_path
 
 #: Fixed, so that a rewrite of the same rows gives the same bytes.
 DATE = "1970-01-01T00:00:00Z"
+#: Tasks of the range sort at most; beyond that a task writes several shards, one after another.
+MOST_TASKS = 20_000
 #: Namespace of the record ids.
 NAMESPACE = uuid.UUID("6f1d3a0e-3c9b-5a52-9f0b-8f1f6f0c2d11")
 FILE_SCHEMA = "shard bigint, roll int, temporary string, name string, records bigint, bytes bigint, sha256 string"
+FILES = pa.schema([("shard", pa.int64()), ("roll", pa.int32()), ("temporary", pa.string()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 RECORD_SCHEMA = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
+RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
 def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -82,8 +89,15 @@ def plan_revisits(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
     return found.select("page_id", "digest", "first").distinct()
 
 
+def _table(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _write_shards(root: str, roll_bytes: int):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("page_id", "url", "html", "digest", "first", "written", "shard")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open_fs(root)
         store.create_dir(base, recursive=True)
         attempt, out, rows, last, roll, mark = uuid.uuid4().hex, None, [], None, 0, None
@@ -95,17 +109,15 @@ def _write_shards(root: str, roll_bytes: int):
                 rows[-1][6] = rows[-1][6].hexdigest()
                 out = None
 
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                shard, page = int(r.shard), None if pd.isna(r.page_id) else int(r.page_id)
-                if not r.written:
-                    mark = (page, r.digest, None if pd.isna(r.first) else int(r.first))
+        for part in (p for batch in batches for p in slices(batch, "html")):
+            for page, url, page_html, digest, first, written, shard in zip(*[part.column(n).to_pylist() for n in names], strict=True):
+                if not written:
+                    mark = (page, digest, first)
                     continue
-                # The url is None or NaN where it is null, depending on how the batch was converted.
-                url, payload = r.url if isinstance(r.url, str) else None, r.html.encode()
-                again = mark is not None and mark[:2] == (page, r.digest)
-                kind, first = ("revisit", mark[2]) if again else ("response", None)
-                data = gzip_member(build_record(page, url, payload, r.digest, len(payload), kind, first))
+                payload = page_html.encode()
+                again = mark is not None and mark[:2] == (page, digest)
+                kind, refers = ("revisit", mark[2]) if again else ("response", None)
+                data = gzip_member(build_record(page, url, payload, digest, len(payload), kind, refers))
                 if shard != last:
                     close()
                     last, roll = shard, 0
@@ -113,7 +125,7 @@ def _write_shards(root: str, roll_bytes: int):
                     close()
                     roll += 1
                 if out is None:
-                    name = f"shard-{shard:012d}-{roll:05d}.warc.gz" if shard >= 0 else f"shard-null-{roll:05d}.warc.gz"
+                    name = f"shard-{shard:012d}-{roll:05d}.warc.gz" if shard >= 0 else f"shard-null{-shard:08d}-{roll:05d}.warc.gz"
                     temporary = f".{name}.{attempt}.tmp"
                     out = store.open_output_stream(f"{base}/{temporary}", compression=None)
                     rows.append([shard, roll, temporary, name, 0, 0, hashlib.sha256()])
@@ -122,42 +134,54 @@ def _write_shards(root: str, roll_bytes: int):
                 rows[-1][5] += len(data)
                 rows[-1][6].update(data)
         close()
-        yield pd.DataFrame(rows, columns=["shard", "roll", "temporary", "name", "records", "bytes", "sha256"])
+        yield _table(rows, FILES)
 
     return write
 
 
 def _commit_files(root: str):
-    def commit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open_fs(root)
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                if store.get_file_info(f"{base}/{r.temporary}").type == pafs.FileType.File:
-                    store.move(f"{base}/{r.temporary}", f"{base}/{r.name}")
-                done = store.get_file_info(f"{base}/{r.name}")  # a repeated task finds the file already renamed
-                if done.type != pafs.FileType.File or done.size != r.bytes:
-                    raise OSError(f"{r.name} is missing or incomplete")
+            for r in batch.to_pylist():
+                if store.get_file_info(f"{base}/{r['temporary']}").type == pafs.FileType.File:
+                    store.move(f"{base}/{r['temporary']}", f"{base}/{r['name']}")
+                done = store.get_file_info(f"{base}/{r['name']}")  # a repeated task finds the file already renamed
+                if done.type != pafs.FileType.File or done.size != r["bytes"]:
+                    raise OSError(f"{r['name']} is missing or incomplete")
             yield batch
 
     return commit
 
 
-def write_archives(pages: DataFrame, root: str, shard_width: int = 2000, roll_bytes: int = 32 << 20, min_revisit: int = 100) -> DataFrame:
+def _shard_of(pages: DataFrame, shard_rows: int) -> tuple:
+    """The shard of a row as a column of page_id and digest, and the number of shards."""
+    seen = pages.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.count("page_id").alias("n"), F.count("*").alias("all")).first()
+    many, nulls = max(1, -(-seen["n"] // shard_rows)), -(-(seen["all"] - seen["n"]) // shard_rows)
+    lo, hi = (seen["lo"], seen["hi"]) if seen["n"] else (0, 0)
+    width = -(-(hi - lo + 1) // many)
+    wide = lambda x: F.lit(str(x)).cast("decimal(20,0)")
+    own = F.floor((F.col("page_id").cast("decimal(20,0)") - wide(lo)) / wide(width)).cast("long")
+    dealt = -1 - F.pmod(F.xxhash64("digest"), F.lit(max(1, nulls)))
+    return F.coalesce(own, dealt).cast("long"), many + nulls
+
+
+def write_archives(pages: DataFrame, root: str, shard_rows: int = 2000, roll_bytes: int = 32 << 20, min_revisit: int = 100) -> DataFrame:
     """Writes ``pages`` below ``root`` and returns the committed manifest (also stored there as ``manifest``).
 
-    A task holds one record at a time besides its input batch, and one open file.
+    A task holds one slice of a batch and one open file. There are as many tasks as shards, up to ``MOST_TASKS``.
     """
     spark = pages.sparkSession
-    shard = F.coalesce(F.floor(F.col("page_id") / shard_width), F.lit(-1)).cast("long")
+    shard, shards = _shard_of(pages, shard_rows)
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.lit(None).cast("long").alias("first"), F.lit(True).alias("written"))
     # A mark sorts right before the page that it turns into a revisit, so the texts move once, for the range sort.
-    marks = plan_revisits(pages, min_revisit).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first", F.lit(False).alias("written"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marks = plan_revisits(pages, min_revisit).select("page_id", F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), "digest", "first", F.lit(False).alias("written"))
+    tasks = min(MOST_TASKS, max(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = rows.unionByName(marks).withColumn("shard", shard).repartition(tasks, "shard")
     dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "written", "url")
-    written = materialize(dealt.mapInPandas(_write_shards(root, roll_bytes), FILE_SCHEMA), "warc-written")
-    committed = written.repartition(tasks, "name").mapInPandas(_commit_files(root), FILE_SCHEMA).drop("temporary")
+    written = materialize(dealt.mapInArrow(_write_shards(root, roll_bytes), FILE_SCHEMA), "warc-written")
+    committed = written.repartition(min(tasks, MOST_TASKS), "name").mapInArrow(_commit_files(root), FILE_SCHEMA).drop("temporary")
     path = f"{root}/manifest"
     committed.write.mode("overwrite").parquet(path)
     _sweep(spark, root)
@@ -210,30 +234,23 @@ def parse_record(data: bytes) -> tuple:
 def read_archives(manifest: DataFrame, root: str, payloads: bool = True) -> DataFrame:
     """The records behind a manifest, parsed and checked; a task streams its files and yields small batches."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open_fs(root)
-        names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
-
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=names)
-            return out.astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to")})
-
-        for batch in batches:
-            for name in batch["name"]:
-                rows, held = [], 0
-                with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
-                    for data in parse_members(stream):
-                        row = parse_record(data)
-                        rows.append(row if payloads else (*row[:6], None))
-                        held += len(data) if payloads else 200
-                        if held > 8 << 20:
-                            yield frame(rows)
-                            rows, held = [], 0
-                if rows:
-                    yield frame(rows)
-
-    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("name").repartition(tasks, "name").mapInPandas(read, RECORD_SCHEMA)
+        for name in (n for batch in batches for n in batch.column("name").to_pylist()):
+            rows, held = [], 0
+            with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
+                for data in parse_members(stream):
+                    row = parse_record(data)
+                    rows.append(row if payloads else (*row[:6], None))
+                    held += len(data) if payloads else 200
+                    if held > 8 << 20:
+                        yield _table(rows, RECORDS)
+                        rows, held = [], 0
+            if rows:
+                yield _table(rows, RECORDS)
+
+    tasks = min(MOST_TASKS, max(manifest.count(), 1))
+    return manifest.select("name").repartition(tasks, "name").mapInArrow(read, RECORD_SCHEMA)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

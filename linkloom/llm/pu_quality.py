@@ -11,21 +11,21 @@ alone: a first model tells one from the other, and on rows it has not seen the s
 to the share of positive rows above a cutoff, with a margin for sampling, bounds pi (best bin estimation).
 
 The model is fitted on at most ``positives`` and about ``unlabelled`` documents (documented bounds). Defined cases:
-null and empty texts have zero statistics and a score; without positives every score is 0.5; repeated rows score alike;
-other columns are not read.
+null and empty texts have zero statistics and a score; without positives every score is 0.5; with one positive or one
+unlabelled row the prior is 0.5; repeated rows score alike;
+null ids stay null and ids keep all digits; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import string
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.arrow import map_text
 from linkloom.llm.sampling import labelled_sample, plain_sample
 
 _MARKS = string.punctuation
@@ -55,14 +55,14 @@ def statistics(text: str) -> list[float]:
     return own + [np.log1p(100 * text.count(c) / inked) for c in _MARKS]
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = np.array([statistics(t) for t in batch["text"]], dtype=np.float32).reshape(len(batch), WIDTH)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [r.tobytes() for r in rows]})
+def _features(texts: list[str]) -> list[list]:
+    return [[r.tobytes() for r in np.array([statistics(t) for t in texts], dtype=np.float32).reshape(len(texts), WIDTH)]]
 
 
 def _gather(rows: DataFrame) -> np.ndarray:
-    found = rows.mapInPandas(_features, "doc_id bigint, x binary").toPandas().sort_values(["doc_id", "x"])
+    """Statistics of sampled rows, in an order that no partitioning changes."""
+    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = map_text(rows, "text", [("x", "binary")], _features).toPandas().sort_values(["doc_id", "x"])
     return np.frombuffer(b"".join(found["x"]), dtype=np.float32).reshape(len(found), WIDTH).astype(float)
 
 
@@ -125,21 +125,18 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 8_000, unlabelled:
         return {"prior": 0.5}
     mean, scale = unl.mean(axis=0), unl.std(axis=0) + 1e-3
     xp, xu = _design(pos, mean, scale), _design(unl, mean, scale)
-    prior = estimate_prior(xp, xu)
+    prior = estimate_prior(xp, xu) if min(len(xp), len(xu)) > 1 else 0.5
     return {"prior": prior, "mean": mean, "scale": scale, "weights": train(xp, xu, prior)}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if "weights" in model and len(batch):
-                x = np.array([statistics(t) for t in batch["text"]]).reshape(len(batch), WIDTH)
-                out = _sigmoid(_design(x, model["mean"], model["scale"]) @ model["weights"])
-            else:
-                out = np.full(len(batch), 0.5)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": out})
+    def run(texts: list[str]) -> list[list]:
+        if "weights" not in model:
+            return [[0.5] * len(texts)]
+        x = np.array([statistics(t) for t in texts]).reshape(len(texts), WIDTH)
+        return [_sigmoid(_design(x, model["mean"], model["scale"]) @ model["weights"])]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, score double")
+    return map_text(rows, "text", [("score", "double")], run)

@@ -8,7 +8,7 @@ logistic regression is then trained on the values ``r`` of present buckets, and
 The model is fitted on at most ``sample`` labelled documents (a documented bound); scoring reads every whole text in
 slices of bounded size, split at no document. Defined cases: null and empty texts score like a text without n-grams;
 without both classes among the labels every score is the share of toxic labels (0 without labels); repeated rows score
-alike; other columns are not read.
+alike; null ids stay null and ids keep all digits; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.arrow import map_text
 from linkloom.llm.sampling import labelled_sample
 from linkloom.plans.scratch import materialize
 
@@ -28,18 +28,6 @@ ORDERS, LOG_BUCKETS = (3, 4, 5), 20
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
 
 
-def slices(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first, texts) of runs with about ``most`` characters; a longer text is a run of its own."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most:
-            yield start, texts[start:i]
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield start, texts[start:]
-
-
 def grams(texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(index of the text, bucket) of the distinct buckets of every text; with ``keep`` only buckets marked there."""
     joined = "\0".join(f" {t.lower().replace(chr(0), ' ')} " for t in texts)
@@ -64,12 +52,10 @@ def grams(texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarray,
     return both >> LOG_BUCKETS, both & ((1 << LOG_BUCKETS) - 1)
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for start, texts in slices(batch["text"].tolist()):
-            owner, bucket = grams(texts)
-            parts = np.split(bucket.astype(np.int32), np.searchsorted(owner, np.arange(1, len(texts))))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[start : start + len(texts)].to_numpy(), "y": batch["y"].iloc[start : start + len(texts)].to_numpy(), "grams": [p.tobytes() for p in parts]})
+def _sketch(texts: list[str]) -> list[list]:
+    owner, bucket = grams(texts)
+    parts = np.split(bucket.astype(np.int32), np.searchsorted(owner, np.arange(1, len(texts))))
+    return [[p.tobytes() for p in parts]]
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,7 +86,7 @@ def _logistic(owner: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.nd
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int = 20_000, least: int = 4, sure: float = 4.0, steps: int = 250, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """(buckets, weights, intercept). Reaches the driver: bucket counts (2**20 at most) and sampled rows cut to the features."""
     sketched = labelled_sample(docs, labels, "toxic", sample).select("doc_id", F.col("y").cast("int").alias("y"), "text")
-    sketched = materialize(sketched.mapInPandas(_sketch, "doc_id bigint, y int, grams binary"), "toxic-grams")
+    sketched = materialize(map_text(sketched, "text", [("grams", "binary")], _sketch), "toxic-grams")
     sizes = {int(r["y"] == 1): r["n"] for r in sketched.groupBy((F.col("y") == 1).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
@@ -118,12 +104,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int
     place = np.full(1 << LOG_BUCKETS, -1, dtype=np.int32)
     place[buckets] = np.arange(len(buckets))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            own = [place[np.frombuffer(g, dtype=np.int32)] for g in batch["grams"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "grams": [c[c >= 0].tobytes() for c in own]})
+    def cut(found: list[bytes]) -> list[list]:
+        own = [place[np.frombuffer(g, dtype=np.int32)] for g in found]
+        return [[c[c >= 0].tobytes() for c in own]]
 
-    rows = sketched.mapInPandas(cut, "doc_id bigint, y int, grams binary").toPandas().sort_values("doc_id")
+    rows = map_text(sketched, "grams", [("grams", "binary")], cut).toPandas().sort_values("doc_id")
     columns = [np.frombuffer(g, dtype=np.int32) for g in rows["grams"]]
     owner, column = np.repeat(np.arange(len(rows)), [len(c) for c in columns]), np.concatenate(columns)
     w, b = _logistic(owner, column, ratio[column], (rows["y"].to_numpy() == 1).astype(float), len(buckets), steps, decay)
@@ -134,15 +119,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
     """(doc_id, score) of every row."""
     buckets, weights, intercept = model
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> list[list]:
         table = np.zeros(1 << LOG_BUCKETS)
         table[buckets] = weights
-        keep = table != 0
-        for batch in batches:
-            for start, texts in slices(batch["text"].tolist()):
-                owner, bucket = grams(texts, keep)
-                z = np.bincount(owner, table[bucket], minlength=len(texts)) + intercept
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[start : start + len(texts)].to_numpy(), "score": 1 / (1 + np.exp(-np.clip(z, -40, 40)))})
+        owner, bucket = grams(texts, table != 0)
+        z = np.bincount(owner, table[bucket], minlength=len(texts)) + intercept
+        return [1 / (1 + np.exp(-np.clip(z, -40, 40)))]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, score double")
+    return map_text(rows, "text", [("score", "double")], run)

@@ -197,17 +197,25 @@ def _tagged(text: Column, pattern: str, valid, tag: str) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with base spans replaced by tags and disclosing terms generalised or removed; columns as they were.
 
-    Texts stay where they are: only those of documents with disclosing terms go through a join.
+    Texts stay where they are: only those of documents with disclosing terms go through a join. The caller's columns
+    travel in a struct, so they may have any name.
     """
-    names = docs.columns
     hits = materialize(base_spans(docs), "pii-base")
-    rows = bitmap.left_join(docs.withColumn("_old", F.col("text")), document_terms(docs, hits), "doc_id")
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = bitmap.left_join(packed, document_terms(docs, hits), "doc_id")
     for kind in ("email", "phone", "card", "ip"):
         pattern, may, valid, tag = KINDS[kind]
         rows = rows.withColumn("text", F.when(may(F.col("text")), _tagged(F.col("text"), pattern, valid, tag)).otherwise(F.col("text")))
     for column, tag in (("generalised", "[TERM]"), ("removed", "")):
         rows = rows.withColumn("text", F.when(F.size(column) > 0, F.regexp_replace(F.col("text"), _pattern(F.col(column)), F.lit(tag))).otherwise(F.col("text")))
-    if "n_chars" in names:
-        changed = ~F.col("text").eqNullSafe(F.col("_old"))
-        rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*[F.col(f"`{c}`") for c in names])
+
+    def own(name: str) -> Column:
+        old = F.col("row").getField(name)
+        if name == "text":
+            return F.col("text").alias(name)
+        if name == "n_chars":
+            changed = ~F.col("text").eqNullSafe(F.col("row").getField("text"))
+            return F.when(changed, F.length("text").cast(docs.schema[name].dataType)).otherwise(old).alias(name)
+        return old.alias(name)
+
+    return rows.select(*[own(c) for c in docs.columns])

@@ -11,7 +11,7 @@ none if no gain is positive. A stratum with too few labels certifies nothing and
 
 Defined cases: a null or empty text has no words and fails the base rules; a null language is a stratum of its own;
 labels that are null or contradict each other for a document are left out; repeated rows are judged alike, each for
-itself; without labels no cutoff is certified; other columns of the input are neither read nor changed.
+itself; null ids have no label; an empty table gives an empty result; without labels no cutoff is certified; other columns of the input are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import text as T
+from linkloom.plans import bitmap
 from linkloom.plans.scratch import materialize
 
 
@@ -130,8 +131,9 @@ def _tail(n: Column, k: Column, p: float) -> Column:
 def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, good_weight: float = 10.0) -> DataFrame:
     """Certified cutoffs: one row per stratum that has a cutoff, a double column per rule (null: rule off).
 
-    ``measured`` needs doc_id and lang beside the columns of :func:`measure`; ``labels`` needs doc_id and quality.
-    Only counts are shuffled: labelled rows are summed per stratum, rule and strictness before they move.
+    ``measured`` needs doc_id, lang and body (a hash of the text) beside the columns of :func:`measure`; ``labels`` needs
+    doc_id and quality. Equal texts of a stratum with equal labels are one trial, since copies are not independent. Only
+    counts are shuffled.
     """
     agreed = (
         labels.where("quality is not null and doc_id is not null")
@@ -140,7 +142,7 @@ def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: floa
         .where("lo = hi")
         .select("doc_id", F.col("lo").alias("_good"))
     )
-    rows = measured.where(~F.col("base_failed")).join(agreed, "doc_id")
+    rows = measured.where(~F.col("base_failed")).join(agreed, "doc_id").dropDuplicates(["lang", "_good", "body"])
     hits = F.array(*[F.struct(F.lit(i).alias("rule"), r.strictness().alias("level")) for i, r in enumerate(RULES)])
     by_level = (
         rows.select("lang", "_good", F.explode(hits).alias("x"))
@@ -187,17 +189,26 @@ def apply(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
     )
 
 
+def _body() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("body")
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Measures ``docs`` once, selects cutoffs on the labelled rows and returns counts and verdicts per row."""
-    measured = materialize(measure(docs, ["doc_id", "lang"]), "quality-counts")
+    rows = docs.select("doc_id", "lang", "text", _body())
+    measured = materialize(measure(rows, ["doc_id", "lang", "body"]), "quality-counts")
     cutoffs = materialize(fit(measured, labels), "quality-cutoffs")
     return apply(measured, cutoffs)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns unchanged; texts are never shuffled."""
-    names = docs.columns
-    measured = materialize(measure(docs, ["doc_id", "lang"]), "quality-counts")
+    """The rows of ``docs`` that pass, with their columns unchanged; texts are never shuffled.
+
+    Only labelled rows are measured for the cutoffs, found at the scan; then every row is measured for its verdict.
+    """
+    known = materialize(labels.select("doc_id").where("doc_id is not null").distinct(), "quality-labelled")
+    rows = docs.select("doc_id", "lang", "text", _body()).where(bitmap.may_contain(known, "doc_id", F.col("doc_id")))
+    measured = materialize(measure(rows, ["doc_id", "lang", "body"]), "quality-counts")
     cutoffs = materialize(fit(measured, labels), "quality-cutoffs")
-    row = docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    return apply(measure(row, ["_row", "lang"]), cutoffs).where("kept").select(*[F.col("_row").getField(c).alias(c) for c in names])
+    row = docs.select("text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return apply(measure(row, ["_row", "lang"]), cutoffs).where("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

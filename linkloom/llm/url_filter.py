@@ -42,9 +42,9 @@ def path_of(url: Column) -> Column:
 
 
 def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
-    """struct(rule, verdict) of the longest fitting rule, else null; ties go to the rule named first."""
+    """struct(rule, verdict) of the longest fitting rule, else null; of equally long ones the rule named first."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for verdict, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
         found = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
     return found
@@ -58,25 +58,30 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, steps: int = 12) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 200) -> DataFrame:
     """(kind, host, score): restarted walks from the seeds (kind, host, strength), trust forwards and distrust backwards.
 
-    Scores of one step come from a join on the source host and a sum per target, both split or pre-aggregated where a
-    host is hot.
+    A step adds the mass that moved to the score and moves it on; the mass shrinks by ``damping`` a step, and the walk
+    ends once less than ``tolerance`` of the seeds' mass is left to move. A step is a join on the source host and a sum
+    per target, split or pre-aggregated where a host is hot. The graph is one row per pair of hosts.
     """
     ways = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "weight").union(
         edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"), "weight")
     )
     totals = ways.groupBy("kind", "host").agg(F.sum("weight").alias("total"))
     ways = materialize(ways.join(totals, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("total")).alias("share")), "host-ways")
-    score = materialize(seeds.select("kind", "host", F.col("strength").alias("score")), "host-scores")
+    first = materialize(seeds.select("kind", "host", F.col("strength").alias("mass"), F.col("strength").alias("score")), "host-scores")
     if ways.isEmpty():
-        return score
-    for _ in range(steps):
-        moved = score.join(ways, ["kind", "host"]).select("kind", F.col("to").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
-        score = moved.union(seeds.select("kind", "host", F.col("strength").alias("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        score = materialize(score, "host-scores")
-    return score
+        return first.select("kind", "host", "score")
+    start = first.agg(F.sum("mass")).first()[0] or 0.0
+    score = first
+    for _ in range(most):
+        moved = score.where("mass > 0").join(ways, ["kind", "host"]).select("kind", F.col("to").alias("host"), (damping * F.col("mass") * F.col("share")).alias("mass"), F.lit(0.0).alias("score"))
+        both = moved.union(score.select("kind", "host", F.lit(0.0), "score")).groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("score").alias("score"))
+        score = materialize(both.select("kind", "host", "mass", (F.col("score") + F.col("mass")).alias("score")), "host-scores")
+        if (score.agg(F.sum("mass")).first()[0] or 0.0) <= tolerance * start * (1 - damping):
+            break
+    return score.select("kind", "host", "score")
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = 0.5) -> DataFrame:

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.arrow import slices
 from linkloom.llm.superminhash import _mix, band_keys, signatures
 from linkloom.operators.components import connected_components
 from linkloom.plans import bitmap
@@ -77,25 +78,12 @@ def shingle_hashes(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text, at least one row each."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
-    start, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if held and held + n > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if len(sizes) > start:
-        yield batch.slice(start)
-
-
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("bytes", pa.binary())])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in _slices(whole):
+        for batch in slices(whole, "text"):
             sets = shingle_hashes(batch.column("text"))
             counts = np.array([len(s) for s in sets], dtype=np.int64)
             sig = signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), counts), len(sets), SIZE)
@@ -115,7 +103,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in _slices(whole):
+        for batch in slices(whole, "text"):
             sets = shingle_hashes(batch.column("text"))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             arrays = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
@@ -208,9 +196,8 @@ def _grouped(function):
 
 
 def _in_groups(rows: DataFrame, function) -> DataFrame:
-    """(a, b) from ``function`` on every (group, bi, bj); the groups are dealt by hash."""
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(tasks, "group", "bi", "bj").sortWithinPartitions("group", "bi", "bj")
+    """(a, b) from ``function`` on every (group, bi, bj); the groups are dealt by hash, to as many tasks as AQE finds fit."""
+    dealt = rows.repartition("group", "bi", "bj").sortWithinPartitions("group", "bi", "bj")
     return dealt.mapInPandas(_grouped(function), "a bigint, b bigint")
 
 

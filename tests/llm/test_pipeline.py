@@ -1,13 +1,16 @@
 """The pipeline's stages against brute force on the smallest tables, and the entry point with and without the subpackage."""
 
+import collections
 import re
 import shutil
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import corpus_pipeline
-from linkloom.plans.scratch import materialize
+from linkloom.plans.scratch import materialize, shared_root
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[2]
@@ -41,7 +44,28 @@ def test_stages_take_effect(spark):
     for i, r in out["pii"].items():
         old = out["benchmark_decontamination"][i]["text"]
         assert "@mail" not in r["text"] and (r["text"] == old) == (not re.search(r"\[(EMAIL|PHONE|CARD|IP|TERM)\]", r["text"]))
-    assert set(out["source_mixing"]) == set(out["pii"])
+    assert docs.columns == [*names, "copy"]
+    copies = collections.Counter(r["doc_id"] for r in docs.collect())
+    assert set(copies) <= set(out["pii"]) and set(copies.values()) <= {1, 2}
+    assert all(out["source_mixing"][i]["text"] == out["pii"][i]["text"] for i in copies)
+    words = lambda rows: sum(len(WORD.findall(r["text"])) for r in rows)
+    assert words(docs.collect()) == pytest.approx(1.5 * words(out["pii"].values()), rel=0.05)
+
+
+def test_run_takes_odd_rows_and_leaves_one_table(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows and an empty table; afterwards only the result's folder is left."""
+    plain = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a b c d e f g h i j k l m", None, None, 25), (7, "", "en", "s", 0), (7, "", "en", "s", 0)], plain.schema)
+    for t in ("labels", "benchmark"):
+        shutil.copy(f"{SF}/{t}.parquet", tmp_path)
+    for name, docs in (("some", plain.unionByName(odd)), ("none", plain.limit(0))):
+        docs.coalesce(2).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        root = Path(shared_root(spark).removeprefix("file://")) / "linkloom"
+        before = {f.name for f in root.iterdir()} if root.exists() else set()
+        out = corpus_pipeline.run(spark, str(tmp_path))
+        assert out.count() > 0 if name == "some" else out.count() == 0
+        left = {f.name for f in root.iterdir()} - before
+        assert len(left) == 1 and left.pop().startswith("source_mixing")
 
 
 def test_the_rest_works_without_the_subpackage(tmp_path):

@@ -56,8 +56,9 @@ def _large_star(edges: DataFrame) -> DataFrame:
         moved = edges.join(low.select(F.col("u").alias("v"), "m"), "v", "left")
     else:
         # Both sides ask the same bitmap, so a node that shares a hot node's bit is salted on both, too.
-        salted = edges.withColumn("salt", F.when(bitmap.may_contain(hot, "v", F.col("v")), F.pmod(F.xxhash64("u"), F.lit(SALTS))).otherwise(0).cast("int"))
-        every = F.when(bitmap.may_contain(hot, "v", F.col("v")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        shared = bitmap.member(hot, "v")(F.col("v"))
+        salted = edges.withColumn("salt", F.when(shared, F.pmod(F.xxhash64("u"), F.lit(SALTS))).otherwise(0).cast("int"))
+        every = F.when(shared, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
         moved = salted.join(low.select(F.col("u").alias("v"), "m").withColumn("salt", F.explode(every)), ["v", "salt"], "left")
     return moved.select("u", F.coalesce("m", "v").alias("v")).where("u <> v").distinct()
 

@@ -10,6 +10,7 @@ to the join that follows, which stays exact.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,20 +29,30 @@ def bits_for(keys: int) -> int:
     return min(MOST, max(LEAST, math.ceil(math.log2(8 * keys + 1))))
 
 
-def may_contain(keys: DataFrame, key: str, of: Column, log_bits: int | None = None) -> Column:
-    """Whether the bit of ``of`` is set by column ``key`` of ``keys``; false for null. Evaluated in the JVM.
+def member(keys: DataFrame, key: str, log_bits: int | None = None) -> Callable[[Column], Column]:
+    """A test of columns against the bitmap of ``keys``: false where the bit is unset, and for null. Evaluated in the JVM.
 
     ``keys`` is counted where ``log_bits`` is not given, so it should be a stored table.
     """
     log_bits = bits_for(keys.count()) if log_bits is None else log_bits
     at = _slot(F.col(f"`{key}`"), log_bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)))
-    words = keys.where(F.col(f"`{key}`").isNotNull()).select(F.shiftright(at, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    every = keys.sparkSession.range(1 << (log_bits - 6), numPartitions=1).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
-    listed = every.agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("x"))
+    found = keys.where(F.col(f"`{key}`").isNotNull()).select(F.shiftright(at, 6).alias("w"), bit.alias("b"))
+    every = keys.sparkSession.range(1 << (log_bits - 6), numPartitions=1).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
+    words = found.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
+    listed = words.agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("x"))
     bits = materialize(listed.select(F.transform("x", lambda x: x["b"]).alias("bits")), "bitmap")
-    slot = _slot(of, log_bits)
-    return of.isNotNull() & (F.call_function("getbit", F.get(bits.scalar(), F.shiftright(slot, 6)), F.pmod(slot, F.lit(64))) == 1)
+
+    def test(of: Column) -> Column:
+        slot = _slot(of, log_bits)
+        return of.isNotNull() & (F.call_function("getbit", F.get(bits.scalar(), F.shiftright(slot, 6)), F.pmod(slot, F.lit(64))) == 1)
+
+    return test
+
+
+def may_contain(keys: DataFrame, key: str, of: Column, log_bits: int | None = None) -> Column:
+    """Whether the bit of ``of`` is set by column ``key`` of ``keys``."""
+    return member(keys, key, log_bits)(of)
 
 
 def _whole(rows: DataFrame, key: str) -> DataFrame:

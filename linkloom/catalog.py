@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkloom.functions import url as U
 from linkloom.functions import vector as V
-from linkloom.operators import graph, retrieval, scoring, text_tables
-from linkloom.sources import site
+from linkloom.operators import audit, bridges, features, graph, percentiles, recommend, retrieval, scoring, text_tables
+from linkloom.plans.scratch import materialize
+from linkloom.sources import site, tenant
 from linkloom.sources.site import search_rows, site_links, site_pages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +28,7 @@ def query(sql: str | None = None, site_tables: bool = True) -> Callable[[Query],
     def add(f: Query) -> Query:
         _queries[f.__name__] = f
         if sql:
-            _sql[f.__name__] = f"WITH {site.SQL} {sql}" if site_tables else sql
+            _sql[f.__name__] = f"WITH RECURSIVE {site.SQL} {sql}" if site_tables else sql
         return f
 
     return add
@@ -81,11 +83,11 @@ def language_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, parts AS (SELECT hub, page, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM site_pages WHERE hub >= 0)
-SELECT hub, CAST(i - 1 AS INTEGER) AS at, round(avg(x), 6) AS mean FROM parts GROUP BY hub, i""")
+, parts AS (SELECT page, hub, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM site_pages WHERE hub >= 0),
+units AS (SELECT hub, i, x / sqrt(sum(x * x) OVER (PARTITION BY page)) AS x FROM parts), means AS (SELECT hub, i, avg(x) AS m FROM units GROUP BY hub, i)
+SELECT hub, CAST(i - 1 AS INTEGER) AS at, round(m / sqrt(sum(m * m) OVER (PARTITION BY hub)), 6) AS mean FROM means""")
 def hub_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = site_pages(spark, sf_dir).where("hub >= 0").select("hub", F.posexplode("vector").alias("at", "x"))
-    return parts.groupBy("hub", "at").agg(F.round(F.avg("x"), 6).alias("mean"))
+    return graph.hub_centroids(site_pages(spark, sf_dir)).select("hub", F.posexplode("centroid").alias("at", "x")).select("hub", "at", F.round("x", 6).alias("mean"))
 
 
 @query("SELECT page, round(sqrt(list_dot_product(vector, vector)), 6) AS norm FROM site_pages")
@@ -134,47 +136,98 @@ def orphan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page", "inbound", graph.orphan_label(F.col("inbound"), F.col("page") % 5).alias("label"))
 
 
-def _depth_sql(levels: int = 12) -> str:
-    steps = ["edges AS (SELECT DISTINCT source, target FROM site_links WHERE target IN (SELECT page FROM site_pages))", "d0 AS (SELECT page, 0 AS depth FROM site_pages WHERE page = 0)"]
-    for i in range(1, levels + 1):
-        steps.append(f"d{i} AS (SELECT * FROM d{i - 1} UNION ALL SELECT DISTINCT e.target, {i} FROM edges e JOIN d{i - 1} r ON r.page = e.source AND r.depth = {i - 1} WHERE e.target NOT IN (SELECT page FROM d{i - 1}))")
-    return f", {', '.join(steps)} SELECT p.page, CAST(r.depth AS INTEGER) AS depth FROM site_pages p LEFT JOIN d{levels} r ON r.page = p.page"
-
-
-@query(_depth_sql())
+@query("""
+, edges AS (SELECT DISTINCT source, target FROM site_links WHERE target IN (SELECT page FROM site_pages)),
+walk(page, depth) AS (SELECT page, 0 FROM site_pages WHERE page IN (0, 3) UNION SELECT e.target, w.depth + 1 FROM walk w JOIN edges e ON e.source = w.page WHERE w.depth < (SELECT count(*) FROM site_pages))
+SELECT p.page, CAST(min(w.depth) AS INTEGER) AS depth FROM site_pages p LEFT JOIN walk w ON w.page = p.page GROUP BY p.page""")
 def crawl_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.crawl_depth(site_links(spark, sf_dir), site_pages(spark, sf_dir), 0)
+    return graph.crawl_depth(site_links(spark, sf_dir), site_pages(spark, sf_dir), [0, 3])
 
 
-def _rank_sql(steps: int = 5) -> str:
+def _rank_sql(steps: int = 30) -> str:
     parts = [
-        "edges AS (SELECT DISTINCT source, target FROM site_links)", "nodes AS (SELECT page FROM site_pages UNION SELECT target FROM edges)",
-        "outs AS (SELECT source, count(*) AS n FROM edges GROUP BY source)", "size AS (SELECT count(*) AS n FROM nodes)", "r0 AS (SELECT page, 1.0 / n AS rank FROM nodes, size)",
+        "edges AS MATERIALIZED (SELECT DISTINCT source, target FROM site_links)", "nodes AS MATERIALIZED (SELECT page FROM site_pages UNION SELECT target FROM edges)",
+        "outs AS MATERIALIZED (SELECT source, count(*) AS n FROM edges GROUP BY source)", "size AS (SELECT count(*) AS n FROM nodes)", "r0 AS (SELECT page, 1.0 / n AS rank FROM nodes, size)",
     ]
     for i in range(1, steps + 1):
         loose = f"(SELECT coalesce(sum(rank), 0.0) FROM r{i - 1} WHERE page NOT IN (SELECT source FROM outs))"
         got = f"(SELECT e.target, sum(r.rank / o.n) AS got FROM edges e JOIN outs o ON o.source = e.source JOIN r{i - 1} r ON r.page = e.source GROUP BY e.target)"
-        parts.append(f"r{i} AS (SELECT x.page, 0.15 / s.n + 0.85 * (coalesce(g.got, 0.0) + {loose} / s.n) AS rank FROM nodes x CROSS JOIN size s LEFT JOIN {got} g ON g.target = x.page)")
-    return f", {', '.join(parts)} SELECT page, round(rank, 9) AS rank FROM r{steps}"
+        parts.append(f"r{i} AS MATERIALIZED (SELECT x.page, 0.15 / s.n + 0.85 * (coalesce(g.got, 0.0) + {loose} / s.n) AS rank FROM nodes x CROSS JOIN size s LEFT JOIN {got} g ON g.target = x.page)")
+    return f", {', '.join(parts)} SELECT page, round(rank, 6) AS rank FROM r{steps}"
 
 
 @query(_rank_sql())
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(site_links(spark, sf_dir), site_pages(spark, sf_dir), steps=5).select("page", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(site_links(spark, sf_dir), site_pages(spark, sf_dir), tolerance=1e-8).select("page", F.round("rank", 6).alias("rank"))
 
 
-@query("""
-SELECT x.hub_a, x.hub_b, x.links, x.linking_pages, a.size AS size_a, b.size AS size_b, round(x.links / (a.size * b.size), 6) AS density FROM (
-  SELECT a.hub AS hub_a, b.hub AS hub_b, count(*) AS links, count(DISTINCT l.source) AS linking_pages
-  FROM (SELECT DISTINCT source, target FROM site_links) l JOIN site_pages a ON a.page = l.source JOIN site_pages b ON b.page = l.target
-  WHERE a.hub >= 0 AND b.hub >= 0 AND a.hub <> b.hub AND a.language = b.language GROUP BY a.hub, b.hub) x
-JOIN (SELECT hub, count(*) AS size FROM site_pages GROUP BY hub) a ON a.hub = x.hub_a JOIN (SELECT hub, count(*) AS size FROM site_pages GROUP BY hub) b ON b.hub = x.hub_b""")
+_HUBS = f"""{tenant.SQL}
+, sizes AS (SELECT language, hub, count(*) AS size FROM tenant_pages WHERE hub >= 0 GROUP BY language, hub),
+centroids AS (SELECT hub, list(m ORDER BY i) AS c FROM centres GROUP BY hub),
+crossings AS (SELECT a.language, a.hub AS hub_from, b.hub AS hub_to, v.source, v.target FROM votes v JOIN tenant_pages a ON a.page = v.source JOIN tenant_pages b ON b.page = v.target WHERE a.language = b.language AND a.hub >= 0 AND b.hub >= 0 AND a.hub <> b.hub),
+asked AS (SELECT p.language, p.hub, s.query, count(*) AS n FROM tenant_pages p JOIN search_rows s ON s.page = p.page WHERE p.hub >= 0 GROUP BY p.language, p.hub, s.query),
+pairs AS (
+  SELECT a.language, a.hub AS hub_a, b.hub AS hub_b, a.size AS size_a, b.size AS size_b,
+    (SELECT count(DISTINCT source) FROM crossings x WHERE x.language = a.language AND x.hub_from = a.hub AND x.hub_to = b.hub) AS pages_ab, (SELECT count(DISTINCT source) FROM crossings x WHERE x.language = a.language AND x.hub_from = b.hub AND x.hub_to = a.hub) AS pages_ba,
+    (SELECT count(*) FROM crossings x WHERE x.language = a.language AND ((x.hub_from = a.hub AND x.hub_to = b.hub) OR (x.hub_from = b.hub AND x.hub_to = a.hub))) / (a.size * b.size) AS density,
+    list_dot_product(ca.c, cb.c) / (sqrt(list_dot_product(ca.c, ca.c)) * sqrt(list_dot_product(cb.c, cb.c))) AS cosine,
+    (SELECT count(*) FROM asked x JOIN asked y ON x.query = y.query AND x.language = y.language WHERE x.language = a.language AND x.hub = a.hub AND y.hub = b.hub) AS common,
+    (SELECT count(*) FROM asked x WHERE x.language = a.language AND x.hub = a.hub) + (SELECT count(*) FROM asked x WHERE x.language = a.language AND x.hub = b.hub) AS terms
+  FROM sizes a JOIN sizes b ON a.language = b.language AND a.hub < b.hub JOIN centroids ca ON ca.hub = a.hub JOIN centroids cb ON cb.hub = b.hub),
+gapped AS (SELECT *, CASE WHEN terms > 0 THEN common / (terms - common) ELSE 0.0 END AS query_jaccard, 0.4 * cosine + 0.6 * CASE WHEN terms > 0 THEN common / (terms - common) ELSE 0.0 END - 50.0 * density AS gap FROM pairs)"""
+
+
+def _hub_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    site_rows, stored = site_pages(spark, sf_dir), tenant.pages(spark, sf_dir)
+    pages = site_rows.select("page", "language", "hub", "vector").join(stored.select("page", "rank_percentile", "outbound"), "page")
+    return materialize(bridges.hub_pairs(pages, site_links(spark, sf_dir), search_rows(spark, sf_dir)), "hub-pairs"), pages
+
+
+@query(f"{_HUBS} SELECT language, hub_a, hub_b, size_a, size_b, pages_ab, pages_ba, round(density, 6) AS density, round(cosine, 6) AS cosine, round(query_jaccard, 6) AS query_jaccard, round(gap, 6) AS gap FROM gapped")
 def hub_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.hub_pairs(site_links(spark, sf_dir), site_pages(spark, sf_dir))
+    found, _ = _hub_pairs(spark, sf_dir)
+    return found.select("language", "hub_a", "hub_b", "size_a", "size_b", "pages_ab", "pages_ba", *[F.round(c, 6).alias(c) for c in ("density", "cosine", "query_jaccard", "gap")])
+
+
+@query(f"""{_HUBS}, ends AS (SELECT language, hub_a, hub_b, hub_a AS own, hub_b AS other, cosine FROM gapped UNION ALL SELECT language, hub_a, hub_b, hub_b, hub_a, cosine FROM gapped),
+near2 AS (SELECT DISTINCT language, hub_a, hub_b FROM (SELECT *, row_number() OVER (PARTITION BY language, own ORDER BY cosine DESC, other) AS r FROM ends) WHERE r <= 2),
+wide3 AS (SELECT language, hub_a, hub_b FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY gap DESC, hub_a, hub_b) AS r FROM gapped) WHERE r <= 3)
+SELECT g.language, g.hub_a, g.hub_b, n.hub_a IS NOT NULL AS nearest, w.hub_a IS NOT NULL AS widest FROM gapped g
+LEFT JOIN near2 n ON n.language = g.language AND n.hub_a = g.hub_a AND n.hub_b = g.hub_b LEFT JOIN wide3 w ON w.language = g.language AND w.hub_a = g.hub_a AND w.hub_b = g.hub_b""")
+def covered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bridges.covered_pairs(_hub_pairs(spark, sf_dir)[0])
+    return found.select("language", "hub_a", "hub_b", F.array_contains("reasons", "NEAREST_HUB").alias("nearest"), F.array_contains("reasons", "BRIDGE_GAP").alias("widest"))
+
+
+@query()
+def bridge_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, pages = _hub_pairs(spark, sf_dir)
+    targets, copies = pages.where(F.col("page") % 9 > 0).select("page"), pages.where(F.col("page") % 25 == 3).select("page")
+    return bridges.bridge_links(bridges.covered_pairs(pairs), pages, site_links(spark, sf_dir), targets, copies)
+
+
+@query()
+def hub_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, pages = _hub_pairs(spark, sf_dir)
+    return bridges.components(pages, pairs).groupBy("language").agg(F.count_distinct("component").alias("components"))
+
+
+@query()
+def recommendations_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, reserves and gaps of the tenant; anchors and reasons, which the anchor stage leaves, follow from ids."""
+    by = Window.partitionBy("source").orderBy(F.col("score").desc(), "target")
+    ranked = materialize(_scores(spark, sf_dir).select("source", "target", "score", F.row_number().over(by).alias("rank_in_source")), "ranked-pairs")
+    s, t = F.col("source"), F.col("target")
+    choices = ranked.where((s + t) % 3 > 0).select("source", "target", F.repeat(F.lit("word "), ((s * t) % 27 + 1).cast("int")).alias("phrase"))
+    reason = F.when(s % 2 == 0, recommend.GAPS[0]).otherwise("TARGET_PAGE_HAS_NO_KEYWORD")
+    unanchored = ranked.where((s + t) % 3 == 0).select("source", "target", reason.alias("reason"), F.lit(None).cast("string").alias("advice"), F.lit(None).cast("double").alias("best_score"))
+    pages = tenant.pages(spark, sf_dir).withColumn("linkable", F.col("page") % 9 > 0)
+    rows = recommend.assessed(ranked, choices, unanchored, pages, pages.where(F.col("page") % 41 == 0).select("page"), limit=12, words_per_link=60)
+    return recommend.walk(rows, pages, limit=12, gap_limit=3, below=2)[0]
 
 
 @query("""
-WITH part AS (SELECT page, keyword FROM (SELECT page, keyword, count(*) OVER (PARTITION BY keyword) AS k FROM (SELECT DISTINCT l_suppkey AS page, l_partkey AS keyword FROM lineitem)) WHERE k <= 40)
+WITH part AS (SELECT DISTINCT l_suppkey AS page, l_partkey AS keyword FROM lineitem)
 SELECT a.page AS a, b.page AS b, count(*) AS shared FROM part a JOIN part b ON a.keyword = b.keyword AND a.page < b.page GROUP BY a.page, b.page""", site_tables=False)
 def keyword_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_partkey").alias("keyword"))
@@ -184,17 +237,28 @@ def keyword_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Percentiles
 
 
-@query("SELECT c_custkey, round((rank() OVER (ORDER BY c_acctbal) - 1) / count(*) OVER (), 6) AS percentile FROM (SELECT * FROM customer)", site_tables=False)
+@query("SELECT c_custkey, round((rank() OVER (ORDER BY c_acctbal) - 1) / count(*) OVER (), 6) AS percentile FROM customer", site_tables=False)
 def percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", F.round(graph.share_below("c_acctbal"), 6).alias("percentile"))
+    return percentiles.share_below(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal").select("c_custkey", F.round("percentile", 6).alias("percentile"))
 
 
 @query("""
-SELECT c_custkey, round((rank() OVER (PARTITION BY c_nationkey ORDER BY v) + (count(*) OVER (PARTITION BY c_nationkey, v) - 1) / 2.0) / count(*) OVER (PARTITION BY c_nationkey), 6) AS percentile
-FROM (SELECT c_custkey, c_nationkey, floor(c_acctbal / 100) AS v FROM customer)""", site_tables=False)
+SELECT c_custkey, round(CASE WHEN v IS NULL THEN NULL WHEN n < 2 THEN 0.5 ELSE (low + (ties - 1) / 2.0 - 1) / (n - 1) END, 6) AS percentile FROM (
+  SELECT *, rank() OVER (PARTITION BY c_nationkey, v IS NULL ORDER BY v) AS low, count(*) OVER (PARTITION BY c_nationkey, v) AS ties, count(v) OVER (PARTITION BY c_nationkey) AS n
+  FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 9 > 0 THEN floor(c_acctbal / 100) END AS v FROM customer))""", site_tables=False)
 def average_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 100).alias("v"))
-    return rows.select("c_custkey", F.round(graph.average_rank("v", ["c_nationkey"]), 6).alias("percentile"))
+    v = F.when(F.col("c_custkey") % 9 > 0, F.floor(F.col("c_acctbal") / 100)).alias("v")
+    rows = percentiles.average_rank(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", v), "v", ["c_nationkey"])
+    return rows.select("c_custkey", F.round("percentile", 6).alias("percentile"))
+
+
+@query("""
+SELECT l_shipmode AS mode, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.9), 6) AS q9 FROM (
+  SELECT CASE l_linenumber % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS l_shipmode, l_extendedprice FROM lineitem) GROUP BY 1""", site_tables=False)
+def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mode = F.when(F.col("l_linenumber") % 3 == 0, "a").when(F.col("l_linenumber") % 3 == 1, "b")
+    found = percentiles.quantiles(table(spark, sf_dir, "lineitem").select(mode.alias("mode"), "l_extendedprice"), "l_extendedprice", (0.25, 0.5, 0.9), ["mode"])
+    return found.select("mode", F.round("q0", 6).alias("q1"), F.round("q1", 6).alias("median"), F.round("q2", 6).alias("q9"))
 
 
 # Text
@@ -232,17 +296,18 @@ def url_query_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_tables.query_parameters(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT page_id, regexp_matches(url, '(?i)[?&](page|paged|p|start|offset)=') AS paginated, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages", site_tables=False)
+@query("""
+SELECT page_id, regexp_matches('&' || regexp_extract(lower(url), '\\?([^#]*)', 1), '&(page|paged|pg|pagenum|page_no|pagenumber|seite|pagina|sayfa|strona|start|offset|limitstart|p|currentpage|pageindex|page_index)(=|&|$)')
+    OR regexp_matches(regexp_extract(lower(url), '://[^/?#]*([^?#]*)', 1), '(^|/)(page-[0-9]+|(page|p)/+[0-9]+)(/|$)') AS paginated,
+  regexp_matches(regexp_extract(lower(url), '://[^/?#]*([^?#]*)', 1), '(^|[^0-9a-z])(sitemap|site[^0-9a-z/]+map)([^0-9a-z]|$)') AS sitemap, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages""", site_tables=False)
 def url_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", text_tables.is_pagination(F.col("url")).alias("paginated"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"))
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", U.is_pagination(url).alias("paginated"), U.is_sitemap(url).alias("sitemap"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"))
 
 
 @query()
 def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from linkloom.functions.url import url_key
-
-    return table(spark, sf_dir, "pages").select("page_id", url_key(F.col("url")).alias("url_key"))
+    return table(spark, sf_dir, "pages").select("page_id", U.url_key(F.col("url")).alias("url_key"))
 
 
 @query("""
@@ -254,13 +319,14 @@ def corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, words AS (SELECT page, language, hub, list_distinct(list_filter(string_split(lower(substr(body, 1, 400)), ' '), lambda x: length(x) >= 4)) AS terms FROM site_pages),
+, words AS (SELECT page, language, hub, list_distinct(list_filter(string_split(lower(body), ' '), lambda x: length(x) >= 4)) AS terms FROM site_pages),
 pairs AS (SELECT DISTINCT source, target FROM site_links)
 SELECT p.source, p.target, CAST(len(list_intersect(a.terms, b.terms)) AS INTEGER) AS shared,
   round(CASE WHEN len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms)) > 0 THEN len(list_intersect(a.terms, b.terms)) / (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))) ELSE 0.0 END, 6) AS jaccard,
   CASE WHEN a.hub = -1 OR b.hub = -1 THEN false ELSE a.hub = b.hub END AS same_hub, a.language = b.language AS same_language
 FROM pairs p JOIN words a ON a.page = p.source JOIN words b ON b.page = p.target""")
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term overlap of linked pages; the whole matrix is ``feature_matrix``."""
     terms = F.array_distinct(F.filter(F.split(F.lower("body"), " "), lambda x: F.length(x) >= 4))
     words = site_pages(spark, sf_dir).select("page", "language", "hub", terms.alias("terms"))
     a = words.select(F.col("page").alias("source"), F.col("language").alias("la"), F.col("hub").alias("ha"), F.col("terms").alias("ta"))
@@ -273,13 +339,63 @@ def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("source", "target", "shared", jaccard.alias("jaccard"), same_hub.alias("same_hub"), (F.col("la") == F.col("lb")).alias("same_language"))
 
 
+@query(f"""{tenant.SQL}
+, usable AS (SELECT page, trim(regexp_replace(keyword, '\\s+', ' ', 'g')) AS text, lower(trim(regexp_replace(keyword, '\\s+', ' ', 'g'))) AS k, language, priority, is_primary FROM strategic WHERE length(language) >= 2 AND trim(keyword) <> ''),
+one AS (SELECT page, k, language, arg_min(text, (NOT is_primary, -coalesce(priority, 0), k, text)) AS keyword, max(priority) AS priority, bool_or(is_primary) AS is_primary FROM usable GROUP BY page, k, language)
+SELECT page, keyword, language, CAST(priority AS BIGINT) AS priority, is_primary, CAST(row_number() OVER (PARTITION BY page ORDER BY is_primary DESC, coalesce(priority, 0) DESC, k, keyword, language) AS INTEGER) AS rank FROM one""")
+def merge_strategic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_tables.merged_strategic(tenant.strategic_rows(spark, sf_dir)).withColumn("priority", F.col("priority").cast("long"))
+
+
+@query("""
+, duplicated AS (SELECT page, url, sha256(body) AS h, language, page % 9 > 0 AS indexable, (SELECT count(*) FROM site_links l WHERE l.target = p.page) AS inbound FROM site_pages p)
+SELECT page, min(page) OVER w AS duplicate_group, url = first_value(url) OVER (PARTITION BY h, language ORDER BY indexable DESC, inbound DESC, length(url), url) AS is_canonical FROM duplicated
+WINDOW w AS (PARTITION BY h, language) QUALIFY count(*) OVER w > 1""")
+def canonical_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    into = site_links(spark, sf_dir).groupBy(F.col("target").alias("page")).agg(F.count("*").alias("inbound"))
+    pages = site_pages(spark, sf_dir).select("page", "url", F.sha2("body", 256).alias("body_hash"), "language", (F.col("page") % 9 > 0).alias("indexable"))
+    return text_tables.canonical_copies(pages.join(into, "page", "left").fillna({"inbound": 0}))
+
+
+@query("""
+SELECT DISTINCT source, target FROM site_links WHERE sha256('7' || chr(9) || CAST(source AS VARCHAR) || chr(9) || CAST(target AS VARCHAR)) < '3333333333333400000000000000000000000000000000000000000000000000'""")
+def hide_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_tables.hidden_links(site_links(spark, sf_dir), 0.2, 7)
+
+
+@query("""
+SELECT 'first' AS side, source AS text, titles FROM (SELECT source, count(*) AS titles FROM documents GROUP BY source ORDER BY titles DESC, lower(source) LIMIT 1) WHERE titles >= 2 AND titles >= 0.05 * (SELECT count(*) FROM documents)
+UNION ALL SELECT 'last', lang, titles FROM (SELECT lang, count(*) AS titles FROM documents GROUP BY lang ORDER BY titles DESC, lang LIMIT 1) WHERE titles >= 2 AND titles >= 0.05 * (SELECT count(*) FROM documents)""", site_tables=False)
+def brand_affixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat("source", F.lit(" | "), F.col("doc_id").cast("string"), F.lit(" \u2013 "), "lang")
+    return text_tables.title_affixes(table(spark, sf_dir, "documents").select(title.alias("title")), F.col("title"), share=0.05)
+
+
+@query("""
+SELECT line, documents, round(documents / (SELECT count(*) FROM documents), 6) AS share, navigation FROM (
+  SELECT line, count(*) AS documents, regexp_matches(line, '^([-*+]\\s|#{1,6}\\s|[0-9]+[.)]\\s|\\[[^\\]]*\\]\\(\\)$)') AS navigation FROM (
+    SELECT DISTINCT doc_id, regexp_replace(trim(line), '\\]\\([^)]*\\)', ']()', 'g') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE length(line) >= 20 GROUP BY line)
+WHERE documents / (SELECT count(*) FROM documents) >= 0.01 OR (navigation AND documents / (SELECT count(*) FROM documents) >= 0.005)""", site_tables=False)
+def boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_tables.boilerplate(table(spark, sf_dir, "documents"), "doc_id", "text", 0.01, 0.005)
+
+
+@query(f"""{tenant.SQL}
+, tokens AS (SELECT page, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(body, '') || ' click view'), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) AS t FROM site_pages),
+words AS (SELECT s.page, s.query, s.impressions, list_filter(regexp_split_to_array(lower(s.query), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2) AS w FROM search_rows s WHERE s.impressions >= 2)
+SELECT w.page, w.query, w.impressions FROM words w JOIN tokens t ON t.page = w.page WHERE len(w.w) > 0 AND len(list_filter(w.w, lambda x: x <> 'view')) > 0 AND len(list_filter(w.w, lambda x: NOT list_contains(t.t, x))) = 0""")
+def usable_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = site_pages(spark, sf_dir).select("page", F.concat(F.coalesce("body", F.lit("")), F.lit(" click view")).alias("text"))
+    return text_tables.usable_queries(search_rows(spark, sf_dir), texts, ["view"], 2).select("page", "query", "impressions")
+
+
 # Search metrics
 
 
 @query("""
 SELECT page, query, source, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY page ORDER BY priority, impressions DESC, query) AS rank FROM (
-    SELECT page, query, 'search' AS source, 2 AS priority, impressions FROM search_rows UNION ALL SELECT c_custkey, c_mktsegment, 'strategic', 1, 0 FROM customer WHERE c_custkey <= 100)) WHERE rank <= 4""")
+    SELECT page, query, 'search' AS source, 2 AS priority, impressions FROM search_rows UNION ALL SELECT c_custkey, c_mktsegment, 'strategic', 1, 0 FROM customer)) WHERE rank <= 4""")
 def merged_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search_rows(spark, sf_dir).select("page", "query", F.lit("search").alias("source"), F.lit(2).alias("priority"), "impressions")
     own = table(spark, sf_dir, "customer").select(
@@ -308,12 +424,14 @@ def ctr_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.observed_ctr(search_rows(spark, sf_dir))
 
 
-@query()
+@query(f"""{tenant.SQL}
+SELECT s.page, s.query, round(CASE WHEN EXISTS (SELECT 1 FROM curve) THEN greatest(0.0, s.impressions * ((SELECT ctr FROM curve WHERE pos = 1) - (SELECT ctr FROM curve c WHERE c.pos = floor(least(s.position, 100.0) + 0.5)))) END, 6) AS opportunity FROM search_rows s""")
 def ctr_opportunity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = search_rows(spark, sf_dir)
-    seen = [(r["at"], r["impressions"], r["clicks"]) for r in scoring.observed_ctr(rows).collect()]  # 100 positions at most
-    curve = F.array(*[F.lit(c) for c in scoring.monotone_curve(seen)])
-    return rows.select("page", "query", F.round(scoring.opportunity(F.col("impressions"), F.col("position"), curve), 6).alias("opportunity"))
+    curve = scoring.fitted_curve(rows)
+    if curve is None:
+        return rows.select("page", "query", F.lit(None).cast("double").alias("opportunity"))
+    return rows.select("page", "query", F.round(scoring.opportunity(F.col("impressions"), F.col("position"), F.array(*[F.lit(c) for c in curve])), 6).alias("opportunity"))
 
 
 @query("SELECT page, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, round(sum(impressions * position) / sum(impressions), 6) AS avg_position, count(*) AS query_count FROM search_rows GROUP BY page")
@@ -331,97 +449,262 @@ def ranked_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("rank <= 3").select("page", "query", "impressions", "rank")
 
 
-@query("""
-, centroids AS (SELECT hub, i, avg(x) AS m FROM (SELECT hub, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM site_pages WHERE hub >= 0) GROUP BY hub, i),
-parts AS (SELECT page, hub, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM site_pages WHERE hub >= 0),
-cosines AS (SELECT p.page, p.hub, round(sum(p.x * c.m) / sqrt(sum(p.x * p.x) * sum(c.m * c.m)), 6) AS cosine FROM parts p JOIN centroids c ON c.hub = p.hub AND c.i = p.i GROUP BY p.page, p.hub)
-SELECT hub, page, cosine FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY cosine DESC, page) AS n FROM cosines) WHERE n = 1""")
+@query(f"{tenant.SQL} SELECT hub, page, round(cosine, 6) AS cosine FROM pillars")
 def hub_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = site_pages(spark, sf_dir).where("hub >= 0").select("page", "hub", F.posexplode("vector").alias("at", "x"))
-    centroids = parts.groupBy("hub", "at").agg(F.avg("x").alias("m"))
-    cosine = F.round(F.sum(F.col("x") * F.col("m")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("m") * F.col("m"))), 6)
-    scored = parts.join(centroids, ["hub", "at"]).groupBy("hub", "page").agg(cosine.alias("cosine"))
-    return text_tables.latest_per(scored, ["hub"], [F.col("cosine").desc(), F.col("page")])
+    return graph.hub_pillars(site_pages(spark, sf_dir)).select("hub", "page", F.round("cosine", 6).alias("cosine"))
 
 
 # Scores and ranks
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pair features from line items: an order is a source, its parts are targets."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("source"), F.col("l_linenumber").cast("long").alias("target"),
-        F.floor("l_quantity").alias("f1"), F.when(F.col("l_discount") > 0.02, F.floor(F.col("l_discount") * 100 + 0.5)).alias("f2"),
-    )
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every page of the tenant brings to its pairs, stored once."""
+    pages, rows = tenant.pages(spark, sf_dir), search_rows(spark, sf_dir)
+    strategic = tenant.strategic_rows(spark, sf_dir)
+    signals = features.page_signals(pages, rows, strategic)
+    found = features.page_contexts(pages, signals, site_links(spark, sf_dir), tenant.page_metrics(spark, sf_dir), strategic, scoring.fitted_curve(rows))
+    return materialize(found, "page-contexts")
 
 
-_PAIRS = """
-WITH pairs AS (SELECT l_orderkey AS source, CAST(l_linenumber AS BIGINT) AS target, floor(l_quantity) AS f1, CASE WHEN l_discount > 0.02 THEN floor(l_discount * 100 + 0.5) END AS f2 FROM lineitem),
-ranked AS (SELECT *, (rank() OVER (PARTITION BY source ORDER BY f1) + (count(*) OVER (PARTITION BY source, f1) - 1) / 2.0) / count(*) OVER (PARTITION BY source) AS p1,
-  CASE WHEN f2 IS NOT NULL THEN (rank() OVER (PARTITION BY source, f2 IS NULL ORDER BY f2) + (count(*) OVER (PARTITION BY source, f2) - 1) / 2.0) / count(*) OVER (PARTITION BY source, f2 IS NULL) END AS p2 FROM pairs),
-scored AS (SELECT source, target, round(100 * (0.7 * p1 + 0.3 * coalesce(p2, 0)) / (0.7 + CASE WHEN p2 IS NULL THEN 0 ELSE 0.3 END), 6) AS score FROM ranked)"""
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.nearest_eligible(site_pages(spark, sf_dir), site_links(spark, sf_dir))
 
 
-@query(f"{_PAIRS} SELECT * FROM scored", site_tables=False)
+_CANDIDATES = """
+, cosined AS (
+  SELECT t.page AS target, s.page AS source, round(list_dot_product(t.vector, s.vector) / (sqrt(list_dot_product(t.vector, t.vector)) * sqrt(list_dot_product(s.vector, s.vector))), 6) AS similarity
+  FROM site_pages t JOIN site_pages s ON t.language = s.language AND t.page <> s.page LEFT JOIN votes l ON l.source = s.page AND l.target = t.page WHERE l.source IS NULL),
+candidates AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY similarity DESC, source) AS rank FROM cosined) WHERE rank <= 10)"""
+
+
+def _feature_sql() -> str:
+    """The 47 columns in SQL, one expression each."""
+    jaccard = lambda f: f"CASE WHEN len(s.{f}) + len(t.{f}) > 0 THEN len(list_intersect(s.{f}, t.{f})) / (len(s.{f}) + len(t.{f}) - len(list_intersect(s.{f}, t.{f}))) ELSE 0.0 END"
+    links = "coalesce(s.link_community = t.link_community, false)"
+
+    def agree(topic: str, kind: str) -> str:
+        unknown = f"(s.{topic} IS NULL OR t.{topic} IS NULL)"
+        tests = {
+            "same_topic_same_links": f"NOT {unknown} AND s.{topic} = t.{topic} AND {links}", "same_topic_other_links": f"NOT {unknown} AND s.{topic} = t.{topic} AND NOT {links}",
+            "other_topic_same_links": f"NOT {unknown} AND s.{topic} <> t.{topic} AND {links}", "other_topic_other_links": f"NOT {unknown} AND s.{topic} <> t.{topic} AND NOT {links}", "unknown_topic": unknown,
+        }
+        return tests[kind]
+
+    plain = {
+        "source_impressions_log": "s.impressions_log", "target_impressions_log": "t.impressions_log", "target_ctr_gap": "t.ctr_gap", "target_query_count": "t.query_count", "has_gsc_data": "t.has_gsc",
+        "pair_query_overlap": jaccard("queries"), "pair_kw_overlap": jaccard("keywords"), "target_kw_count": "len(t.keywords)", "target_max_priority": "t.max_priority",
+        "target_keyword_gap": "t.keyword_gap", "target_inbound_count": "t.inbound", "target_is_orphan": "t.is_orphan", "target_crawl_depth": "t.depth", "target_page_rank_percentile": "t.rank_percentile",
+        "target_saturation_ratio": "t.saturation", "source_outbound_count": "s.outbound", "source_outbound_density": "s.density", "source_link_equity_share": "s.share",
+        "source_page_rank_percentile": "s.rank_percentile", "same_hub": "s.hub = t.hub AND s.hub <> -1", "source_is_hub_pillar": "s.is_pillar", "target_is_hub_pillar": "t.is_pillar",
+        "source_hub_size": "s.hub_size", "target_hub_size": "t.hub_size", "target_hub_coverage": "t.coverage", "content_cosine": "c.similarity", "context_relevance": "NULL", "anchor_target_fit": "NULL",
+        **{f"same_{k}_community": f"s.{k}_community = t.{k}_community" for k in ("link", "keyword", "content")},
+        **{f"target_position_band_{b}": f"coalesce(t.band = {b}, false)" for b in range(5)}, "target_position_band_null": "t.band IS NULL",
+        **{f"cluster_agreement_{k}": agree("keyword_community", k) for k in features.AGREEMENT}, **{f"content_agreement_{k}": agree("content_community", k) for k in features.AGREEMENT},
+    }
+    listed = ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for n, x in plain.items())
+    return f"{tenant.SQL} {_CANDIDATES}, features AS (SELECT c.source, c.target, {listed} FROM candidates c JOIN contexts s ON s.page = c.source JOIN contexts t ON t.page = c.target)"
+
+
+def _score_sql() -> str:
+    """The baseline scorer in SQL: normalised values, contributions, raw score, score and tier."""
+    values = []
+    for i, (column, _, lower, by_rank) in enumerate(scoring.WEIGHTS):
+        if by_rank:
+            rank = f"rank() OVER (PARTITION BY {column} IS NULL ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2.0 - 1"
+            x = f"CASE WHEN {column} IS NULL THEN NULL WHEN count({column}) OVER () < 2 THEN 0.5 ELSE ({rank}) / (count({column}) OVER () - 1) END"
+        else:
+            x = f"greatest(0.0, least(1.0, {column}))" if lower is None else f"CASE WHEN {column} IS NULL THEN NULL ELSE greatest(0.0, least(1.0, {column})) END"
+        values.append(f"{'1 - ' if lower else ''}({x}) AS v{i}")
+    total = " + ".join(f"CASE WHEN v{i} IS NULL THEN 0 ELSE {w} END" for i, (_, w, _, _) in enumerate(scoring.WEIGHTS))
+    parts = ", ".join(f"CASE WHEN v{i} IS NULL THEN NULL ELSE v{i} * {w} / total END AS p{i}" for i, (_, w, _, _) in enumerate(scoring.WEIGHTS))
+    raw = " + ".join(f"coalesce(p{i}, 0)" for i in range(len(scoring.WEIGHTS)))
+    listed = ", ".join(f"{{'less': -p{i}, 'i': {i}, 'feature': '{c}'}}" for i, (c, _, _, _) in enumerate(scoring.WEIGHTS))
+    return f"""{_feature_sql()},
+valued AS (SELECT source, target, {', '.join(values)} FROM features), totalled AS (SELECT *, {total} AS total FROM valued), parted AS (SELECT *, {parts} FROM totalled),
+rawed AS (SELECT source, target, CASE WHEN total > 0 THEN round({raw}, 9) END AS raw_score, list_sort(list_filter([{listed}], lambda x: x.less IS NOT NULL)) AS tops FROM parted),
+scored AS (
+  SELECT source, target, raw_score, CASE WHEN raw_score IS NULL THEN 0.0 WHEN max(raw_score) OVER () = min(raw_score) OVER () THEN 50.0
+    ELSE (raw_score - min(raw_score) OVER ()) / (max(raw_score) OVER () - min(raw_score) OVER ()) * 100 END AS score,
+    row_number() OVER (ORDER BY raw_score DESC NULLS LAST, source, target) AS place, count(*) OVER () AS n, tops FROM rawed),
+tiered AS (SELECT *, CASE WHEN raw_score IS NULL THEN 3 WHEN place <= floor(0.1 * n + 0.5) THEN 1 WHEN place <= floor(0.4 * n + 0.5) THEN 2 ELSE 3 END AS tier FROM scored)"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline scores of the candidates; raw scores rounded to 9 places, so that sums in another order rank alike."""
+    pairs = features.pair_features(_candidates(spark, sf_dir), _contexts(spark, sf_dir))
+    return scoring.weighted_score(materialize(pairs, "pair-features"), ["source", "target"])
+
+
+@query(f"{_feature_sql()} SELECT source, target, " + ", ".join(f"round({c}, 6) AS {c}" for c in features.MATRIX) + " FROM features")
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = features.pair_features(_candidates(spark, sf_dir), _contexts(spark, sf_dir))
+    return pairs.select("source", "target", *[F.round(c, 6).alias(c) for c in features.MATRIX])
+
+
+@query(f"{tenant.SQL} SELECT page, has_gsc, round(impressions_log, 6) AS impressions_log, CAST(band AS INTEGER) AS band, round(ctr_gap, 6) AS ctr_gap, keyword_gap, max_priority, is_orphan, round(saturation, 6) AS saturation, round(density, 6) AS density, round(share, 6) AS share, hub_size, round(coverage, 6) AS coverage FROM contexts")
+def page_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = [F.round(c, 6).alias(c) for c in ("impressions_log", "ctr_gap", "saturation", "density", "share", "coverage")]
+    whole = ["page", "has_gsc", "band", F.col("keyword_gap").cast("long").alias("keyword_gap"), F.col("max_priority").cast("long").alias("max_priority"), "is_orphan", "hub_size"]
+    return _contexts(spark, sf_dir).select(*whole, *rounded)
+
+
+@query(f"{tenant.SQL} SELECT page, array_to_string(list_sort(queries), chr(44)) AS queries, array_to_string(list_sort(keywords), chr(44)) AS keywords, keyword_gap FROM contexts")
+def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = features.page_signals(site_pages(spark, sf_dir), search_rows(spark, sf_dir), tenant.strategic_rows(spark, sf_dir))
+    return found.select("page", F.array_join(F.sort_array("queries"), ",").alias("queries"), F.array_join(F.sort_array("keywords"), ",").alias("keywords"), F.col("keyword_gap").cast("long").alias("keyword_gap"))
+
+
+@query(f"{_score_sql()} SELECT source, target, round(raw_score, 6) AS raw_score, round(score, 4) AS score FROM tiered")
 def baseline_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.weighted_score(_pairs(spark, sf_dir), "source", {"f1": 0.7, "f2": 0.3}).select("source", "target", "score")
+    return _scores(spark, sf_dir).select("source", "target", F.round("raw_score", 6).alias("raw_score"), F.round("score", 4).alias("score"))
 
 
-@query(f"""{_PAIRS}, placed AS (SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, source, target) AS place, count(*) OVER () AS n FROM scored)
-SELECT source, target, score, CAST(place AS BIGINT) AS place, CASE WHEN place <= ceil(n * 0.1) THEN 1 WHEN place <= ceil(n * 0.4) THEN 2 ELSE 3 END AS tier FROM placed""", site_tables=False)
+@query(f"{_score_sql()} SELECT source, target, CAST(tier AS INTEGER) AS tier FROM tiered")
 def score_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scoring.weighted_score(_pairs(spark, sf_dir), "source", {"f1": 0.7, "f2": 0.3}).select("source", "target", "score")
-    return scoring.tiers(scored, "score", ["source", "target"])
+    return _scores(spark, sf_dir).select("source", "target", "tier")
 
 
-@query(f"{_PAIRS} SELECT source, target, score, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC NULLS LAST, target) AS INTEGER) AS rank_in_source FROM scored", site_tables=False)
+@query(f"{_score_sql()} SELECT source, target, CAST(row_number() OVER (PARTITION BY source ORDER BY round(score, 4) DESC NULLS LAST, target) AS INTEGER) AS rank_in_source FROM tiered")
 def rank_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scoring.weighted_score(_pairs(spark, sf_dir), "source", {"f1": 0.7, "f2": 0.3}).select("source", "target", "score")
-    return scored.withColumn("rank_in_source", F.row_number().over(Window.partitionBy("source").orderBy(F.col("score").desc_nulls_last(), "target")))
+    by = Window.partitionBy("source").orderBy(F.round("score", 4).desc_nulls_last(), "target")
+    return _scores(spark, sf_dir).select("source", "target", F.row_number().over(by).alias("rank_in_source"))
 
 
-@query(f"{_PAIRS} SELECT CAST(least(floor(score / 10), 9) AS BIGINT) AS bin, count(*) AS pairs, round(min(score), 6) AS low, round(max(score), 6) AS high FROM scored GROUP BY 1", site_tables=False)
+@query(f"{_score_sql()} SELECT source, target, round(-tops[1].less, 6) AS first, round(-tops[2].less, 6) AS second, round(-tops[3].less, 6) AS third FROM tiered")
+def top_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = [F.round(f"top{i}_contribution", 6).alias(n) for i, n in ((1, "first"), (2, "second"), (3, "third"))]
+    return _scores(spark, sf_dir).select("source", "target", *best)
+
+
+@query(f"{_score_sql()} SELECT CAST(least(floor(round(score, 6) / 5), 19) AS BIGINT) AS bin, count(*) AS pairs FROM tiered GROUP BY 1")
 def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scoring.weighted_score(_pairs(spark, sf_dir), "source", {"f1": 0.7, "f2": 0.3})
-    bin_ = F.least(F.floor(F.col("score") / 10), F.lit(9).cast("long")).alias("bin")
-    return scored.groupBy(bin_).agg(F.count("*").alias("pairs"), F.round(F.min("score"), 6).alias("low"), F.round(F.max("score"), 6).alias("high"))
+    bin_ = F.least(F.floor(F.round("score", 6) / 5), F.lit(19).cast("long")).alias("bin")
+    return _scores(spark, sf_dir).groupBy(bin_).agg(F.count("*").alias("pairs"))
+
+
+@query(f"""{_feature_sql()}, long AS (SELECT column_, x FROM (SELECT {', '.join(features.MATRIX)} FROM features) UNPIVOT INCLUDE NULLS (x FOR column_ IN ({', '.join(features.MATRIX)})))
+SELECT column_ AS "column", count(*) - count(x) AS missing, round(min(x), 6) AS low, round(max(x), 6) AS high, coalesce(min(x) = max(x), true) AS constant FROM long GROUP BY column_""")
+def feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = features.pair_features(_candidates(spark, sf_dir), _contexts(spark, sf_dir))
+    return features.feature_report(pairs).select("column", "missing", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "constant")
 
 
-@query("SELECT l_suppkey AS page, round(quantile_cont(l_quantity, 0.9), 6) AS cutoff FROM lineitem GROUP BY l_suppkey", site_tables=False)
+@query(f"""{_feature_sql()}
+SELECT count(*) AS pairs, CAST(sum(CASE WHEN pair_query_overlap > 0 THEN 1 ELSE 0 END) AS BIGINT) AS query_overlap_pairs, round(avg(pair_query_overlap), 6) AS query_overlap_mean,
+  CAST(sum(CASE WHEN pair_kw_overlap > 0 THEN 1 ELSE 0 END) AS BIGINT) AS keyword_overlap_pairs, round(avg(pair_kw_overlap), 6) AS keyword_overlap_mean, CAST(sum(CASE WHEN same_hub = 1 THEN 1 ELSE 0 END) AS BIGINT) AS same_hub_pairs,
+  {', '.join(f'CAST(sum({k}_agreement_{a}) AS BIGINT) AS {k}_{a}' for k in ('cluster', 'content') for a in features.AGREEMENT)} FROM features""")
+def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.signal_report(_candidates(spark, sf_dir), _contexts(spark, sf_dir))
+
+
+@query("""
+, counts AS (SELECT source, count(*) AS n FROM site_links GROUP BY source), q AS (SELECT quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.75) AS q3 FROM counts)
+SELECT round(q3, 6) AS saturation, round(q3 + 3 * greatest(q3 - q1, 1.0), 6) AS fence FROM q""")
 def outbound_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("page")).agg(F.round(F.expr("percentile(l_quantity, 0.9)"), 6).alias("cutoff"))
+    per = audit.sources(site_links(spark, sf_dir).withColumn("source_words", F.lit(None).cast("int")))
+    cuts = audit.cutoffs(per, per.select(F.lit(None).cast("double").alias("equity")), None, None)
+    return cuts.select(F.round("saturation", 6).alias("saturation"), F.round("outbound_fence", 6).alias("fence"))
 
 
 # Audit
 
 
-@query("""
-, totals AS (SELECT target, anchor, count(*) AS links, sum(count(*)) OVER (PARTITION BY target) AS total FROM site_links GROUP BY target, anchor)
-SELECT target, anchor, links, CAST(total AS BIGINT) AS total, round(links / total, 6) AS share FROM totals WHERE total >= 3 AND links / total > 0.5""")
-def over_optimised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = site_links(spark, sf_dir).groupBy("target", "anchor").agg(F.count("*").alias("links"))
-    per = per.withColumn("total", F.sum("links").over(Window.partitionBy("target"))).withColumn("share", F.round(F.col("links") / F.col("total"), 6))
-    return per.where((F.col("total") >= 3) & (F.col("links") / F.col("total") > 0.5))
+def _audit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site's links as the audit reads them: structure from the tenant, statuses and stored scores from ids."""
+    pages = tenant.pages(spark, sf_dir)
+    s = pages.select(F.col("page").alias("source"), F.col("rank_percentile").alias("source_percentile"), F.when(F.col("page") % 6 > 0, F.col("words")).alias("source_words"))
+    t = pages.select(F.col("page").alias("target"), F.col("rank_percentile").alias("target_percentile"), F.col("hub").alias("target_hub"), F.lit(False).alias("known"))
+    e = site_links(spark, sf_dir).join(s, "source").join(t, "target", "left")
+    x, p, y = F.col("source"), F.col("position"), F.col("target")
+    generic = F.col("anchor") == "read more"
+    mix = (x * 31 + p * 17 + y * 7) % 100
+    return e.select(
+        "source", "position", "target", F.col("anchor").alias("anchor_key"), generic.alias("generic"), (~generic & (y % 3 > 0)).alias("exact_match"),
+        F.when(~generic, F.when(mix < 40, 0.0).otherwise(mix / 100)).alias("keyword_jaccard"), F.when(~generic & (mix % 2 == 0), mix / 200 + 0.5).alias("keyword_cosine"), (p % 7 > 0).alias("is_follow"),
+        F.when(mix % 11 > 0, (mix * 3 % 100) / 100).alias("context_relevance"), F.when(~generic & (mix % 13 > 0), (mix * 7 % 100) / 100).alias("anchor_target_fit"),
+        "source_percentile", "target_percentile", "source_words", F.coalesce("known", F.lit(True)).alias("target_placeholder"),
+        F.when(y % 10 == 3, 301).when(y % 10 == 7, 404).otherwise(200).alias("target_status"), (y % 9 > 0).alias("target_indexable"), "target_hub",
+        F.when(y % 14 == 5, F.when(y % 4 == 1, x).otherwise(y - 1)).alias("target_canonical"),
+    )
 
 
-@query("""
-, edges AS (SELECT l.source, l.position, l.target, l.anchor, p.page AS known, CASE l.target % 10 WHEN 3 THEN 301 WHEN 7 THEN 404 ELSE 200 END AS status FROM site_links l LEFT JOIN site_pages p ON p.page = l.target)
-SELECT source, position, CASE WHEN status BETWEEN 300 AND 399 THEN 'redirected' WHEN status >= 400 THEN 'broken' WHEN known IS NULL THEN 'placeholder' WHEN anchor = 'read more' THEN 'generic_anchor' ELSE 'ok' END AS issue FROM edges""")
+_AUDIT = f"""{tenant.SQL}
+, mixed AS (SELECT l.*, (l.source * 31 + l.position * 17 + l.target * 7) % 100 AS mix, l.anchor = 'read more' AS generic FROM site_links l),
+edges AS (
+  SELECT m.source, m.position, m.target, m.anchor AS anchor_key, m.generic, NOT m.generic AND m.target % 3 > 0 AS exact_match, CASE WHEN NOT m.generic THEN CASE WHEN mix < 40 THEN 0.0 ELSE mix / 100 END END AS keyword_jaccard,
+    CASE WHEN NOT m.generic AND mix % 2 = 0 THEN mix / 200 + 0.5 END AS keyword_cosine, m.position % 7 > 0 AS is_follow, CASE WHEN mix % 11 > 0 THEN (mix * 3 % 100) / 100 END AS context_relevance,
+    CASE WHEN NOT m.generic AND mix % 13 > 0 THEN (mix * 7 % 100) / 100 END AS fit, s.rank_percentile AS source_percentile, t.rank_percentile AS target_percentile, CASE WHEN m.source % 6 > 0 THEN s.words END AS source_words,
+    t.page IS NULL AS placeholder, CASE m.target % 10 WHEN 3 THEN 301 WHEN 7 THEN 404 ELSE 200 END AS status, m.target % 9 > 0 AS indexable, t.hub AS target_hub,
+    CASE WHEN m.target % 14 = 5 THEN CASE WHEN m.target % 4 = 1 THEN m.source ELSE m.target - 1 END END AS canonical
+  FROM mixed m JOIN tenant_pages s ON s.page = m.source LEFT JOIN tenant_pages t ON t.page = m.target),
+placed AS (SELECT *, count(*) OVER (PARTITION BY source) AS links, row_number() OVER (PARTITION BY source ORDER BY position) - 1 AS rank FROM edges),
+equal AS (SELECT *, CASE WHEN NOT placeholder THEN source_percentile * (1 - rank / links) * (1 - target_percentile) END AS equity FROM placed),
+per AS (SELECT source, count(*) AS outbound, max(source_words) AS words, CASE WHEN max(source_words) > 0 THEN 100 * count(*) / max(source_words) END AS density FROM equal GROUP BY source),
+cuts AS (SELECT quantile_cont(outbound, 0.75) AS saturation, quantile_cont(outbound, 0.75) + 3 * greatest(quantile_cont(outbound, 0.75) - quantile_cont(outbound, 0.25), 1.0) AS fence,
+  quantile_cont(density, 0.75) + 3 * greatest(quantile_cont(density, 0.75) - quantile_cont(density, 0.25), 1.0) AS thick, (SELECT quantile_cont(equity, 0.75) FROM equal) AS top, 0.55 AS context_split, 0.45 AS fit_split FROM per),
+wide AS (SELECT e.*, p.outbound, coalesce(p.density > c.thick, false) AS listing, c.* FROM equal e JOIN per p ON p.source = e.source CROSS JOIN cuts c),
+told AS (SELECT target, anchor_key, exact_match FROM wide WHERE NOT placeholder AND NOT listing AND NOT generic),
+blocked AS (SELECT target, anchor_key, block, descriptive FROM (SELECT target, anchor_key, sum(CASE WHEN exact_match THEN 1 ELSE 0 END) AS block, sum(count(*)) OVER (PARTITION BY target) AS descriptive FROM told GROUP BY target, anchor_key) WHERE block >= 5 AND block >= 0.5 * descriptive),
+judged AS (
+  SELECT w.*, CASE WHEN NOT generic THEN fit END AS own_fit, coalesce(NOT generic AND fit < fit_split, false) AS weak, b.target IS NOT NULL AND NOT listing AS over,
+    status >= 400 AS broken, status BETWEEN 300 AND 399 AS moved, status < 300 AND NOT indexable AS closed FROM wide w LEFT JOIN blocked b ON b.target = w.target AND b.anchor_key = w.anchor_key),
+flagged AS (
+  SELECT *, NOT generic AND coalesce(keyword_jaccard = 0, false) AND (weak OR own_fit IS NULL) AS misaligned, weak AND coalesce(context_relevance < context_split, false) AS off_topic FROM judged),
+spent AS (SELECT *, coalesce(equity > top, false) AND (off_topic OR NOT indexable OR status >= 300 OR coalesce(target_hub = -1, false)) AS wasted, broken OR moved OR closed OR NOT is_follow OR canonical IS NOT NULL AS broke FROM flagged),
+verdicts AS (
+  SELECT *, CASE WHEN keyword_cosine IS NULL THEN keyword_jaccard ELSE least(1.0, 0.7 * keyword_jaccard + 0.3 * keyword_cosine) END AS aligned, NOT broke AND NOT listing AND off_topic AND misaligned AND (wasted OR outbound > saturation) AND NOT outbound > fence AS removes FROM spent),
+answered AS (
+  SELECT source, position, target, placeholder, listing, weak, misaligned, over, generic, NOT placeholder AND broke AS fix, NOT placeholder AND removes AS remove, equity,
+    list_filter([CASE WHEN broken THEN 'BROKEN' END, CASE WHEN moved THEN 'REDIRECTED' END, CASE WHEN closed THEN 'NOINDEX_TARGET' END, CASE WHEN NOT is_follow THEN 'NOFOLLOW' END, CASE WHEN generic THEN 'GENERIC' END,
+      CASE WHEN misaligned THEN 'MISALIGNED' END, CASE WHEN over THEN 'OVER_OPTIMISED' END, CASE WHEN off_topic THEN 'OFF_TOPIC' END, CASE WHEN wasted THEN 'WASTED_EQUITY' END], lambda x: x IS NOT NULL AND NOT placeholder) AS flags,
+    CASE WHEN placeholder OR (aligned IS NULL AND own_fit IS NULL AND context_relevance IS NULL) THEN NULL ELSE least(CASE WHEN generic THEN 20.0 ELSE 100.0 END, greatest(0.0, 100 * (0.35 * coalesce(aligned, 0) + 0.35 * coalesce(own_fit, 0) + 0.3 * coalesce(context_relevance, 0))
+      / (CASE WHEN aligned IS NULL THEN 0 ELSE 0.35 END + CASE WHEN own_fit IS NULL THEN 0 ELSE 0.35 END + CASE WHEN context_relevance IS NULL THEN 0 ELSE 0.3 END))) END AS quality,
+    CASE WHEN NOT placeholder AND canonical <> source THEN canonical END AS fix_target, NOT placeholder AND NOT broke AND NOT removes AND NOT listing AND (generic OR misaligned OR over OR weak) AS reanchor FROM verdicts)"""
+
+
+def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.assess(_audit_edges(spark, sf_dir), 0.55, 0.45)
+
+
+@query(f"{_AUDIT} SELECT source, position, array_to_string(flags, ',') AS flags, round(quality, 4) AS quality, fix, fix_target, remove, reanchor FROM answered")
 def link_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = site_pages(spark, sf_dir).select(F.col("page").alias("target"), F.lit(True).alias("known"))
-    status = F.when(F.col("target") % 10 == 3, 301).when(F.col("target") % 10 == 7, 404).otherwise(200)
-    edges = site_links(spark, sf_dir).join(known, "target", "left").withColumn("status", status)
-    issue = F.when(F.col("status").between(300, 399), "redirected").when(F.col("status") >= 400, "broken").when(F.col("known").isNull(), "placeholder")
-    return edges.select("source", "position", issue.when(F.col("anchor") == "read more", "generic_anchor").otherwise("ok").alias("issue"))
+    return _assessed(spark, sf_dir).select("source", "position", F.array_join("flags", ",").alias("flags"), F.round("quality", 4).alias("quality"), "fix", "fix_target", "remove", "reanchor")
 
 
-@query("""
-, counted AS (SELECT source, position, target, count(*) OVER (PARTITION BY source) AS links, row_number() OVER (PARTITION BY source ORDER BY position) - 1 AS place FROM site_links)
-SELECT source, position, round((source % 100) / 100.0 * (1 - place / links) * (1 - (target % 100) / 100.0), 9) AS equity FROM counted""")
+@query(f"{_AUDIT} SELECT source, position, round(equity, 9) AS equity FROM answered")
 def equity_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("source")
-    rows = site_links(spark, sf_dir).withColumn("links", F.count("*").over(by)).withColumn("at", F.row_number().over(by.orderBy("position")) - 1)
-    return rows.select("source", "position", F.round(F.col("source") % 100 / 100 * (1 - F.col("at") / F.col("links")) * (1 - F.col("target") % 100 / 100), 9).alias("equity"))
+    return _assessed(spark, sf_dir).select("source", "position", F.round("equity", 9).alias("equity"))
+
+
+@query(f"""{_AUDIT}, phrases AS (SELECT DISTINCT source, target, 'topic ' || CAST(target % 5 AS VARCHAR) AS phrase, (source + target) % 10 / 10 AS jaccard, (target % 8) / 8 AS phrase_fit FROM answered WHERE (source + target) % 2 = 0),
+tried AS (
+  SELECT a.source, a.position, min(p.phrase) AS proposed FROM answered a JOIN verdicts v ON v.source = a.source AND v.position = a.position JOIN phrases p ON p.source = a.source AND p.target = a.target
+  WHERE a.reanchor AND p.phrase <> v.anchor_key AND (a.generic OR a.over OR coalesce(p.jaccard > v.aligned, false) OR coalesce(p.phrase_fit > v.own_fit, false)) GROUP BY a.source, a.position)
+SELECT a.source, a.position, CASE WHEN fix THEN 'FIX' WHEN remove THEN 'REMOVE' WHEN reanchor AND (t.proposed IS NOT NULL OR generic OR over) THEN 'REANCHOR' END AS verdict, t.proposed
+FROM answered a LEFT JOIN tried t ON t.source = a.source AND t.position = a.position""")
+def audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = materialize(_assessed(spark, sf_dir), "audit-assessed")
+    s, t = F.col("source"), F.col("target")
+    phrase = F.concat(F.lit("topic "), (t % 5).cast("string"))
+    pairs = found.select("source", "target").distinct().where((s + t) % 2 == 0)
+    proposals = pairs.select("source", "target", F.lit(1).alias("place"), phrase.alias("phrase"), phrase.alias("phrase_key"), ((s + t) % 10 / 10).alias("keyword_jaccard"), F.lit(None).cast("double").alias("keyword_cosine"), (t % 8 / 8).alias("phrase_fit"))
+    return audit.decide(found, proposals).select("source", "position", "verdict", "proposed")
+
+
+@query(f"{_AUDIT} SELECT flag AS name, count(*) AS links FROM (SELECT unnest(flags) AS flag FROM answered) GROUP BY flag")
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = spark.createDataFrame([], "source long, target long, place int, phrase string, phrase_key string, keyword_jaccard double, keyword_cosine double, phrase_fit double")
+    return audit.report(audit.decide(materialize(_assessed(spark, sf_dir), "audit-assessed"), none)).where("kind = 'flag'").select("name", "links")
+
+
+@query("""
+, twenty AS (SELECT l.*, l.target % 20 AS hub_page, 'topic ' || CAST(l.target % 20 % 3 AS VARCHAR) AS text FROM site_links l),
+told AS (SELECT hub_page AS target, text, position % 4 > 0 AS exact FROM twenty WHERE anchor <> 'read more')
+SELECT target, text AS anchor_key, CAST(block AS BIGINT) AS block, CAST(descriptive AS BIGINT) AS descriptive FROM (
+  SELECT target, text, sum(CASE WHEN exact THEN 1 ELSE 0 END) AS block, sum(count(*)) OVER (PARTITION BY target) AS descriptive FROM told GROUP BY target, text) WHERE block >= 5 AND block >= 0.5 * descriptive""")
+def over_optimised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    twenty = site_links(spark, sf_dir).select((F.col("target") % 20).alias("target"), F.concat(F.lit("topic "), (F.col("target") % 20 % 3).cast("string")).alias("anchor_key"), (F.col("anchor") == "read more").alias("generic"), (F.col("position") % 4 > 0).alias("exact_match"))
+    return audit.blocks(twenty)
 
 
 # Evaluation
@@ -489,12 +772,12 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 , counted AS (SELECT source, count(*) AS outbound FROM site_links GROUP BY source)
-SELECT p.page, CAST(greatest(0, least(12, greatest(1, length(p.body) // 500)) - coalesce(c.outbound, 0)) AS BIGINT) AS budget FROM site_pages p LEFT JOIN counted c ON c.source = p.page""")
+SELECT p.page, CAST(greatest(0, least(12, greatest(1, len(list_filter(regexp_split_to_array(coalesce(p.body, ''), '[ \\t-\\r]+'), lambda w: w <> '')) // 80)) - coalesce(c.outbound, 0)) AS BIGINT) AS budget FROM site_pages p LEFT JOIN counted c ON c.source = p.page""")
 def link_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = site_links(spark, sf_dir).groupBy(F.col("source").alias("page")).agg(F.count("*").alias("outbound"))
-    room = F.least(F.lit(12).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.length("body") / 500)))
+    words = F.size(F.filter(F.split("body", "[ \\t-\\r]+"), lambda w: w != ""))
     pages = site_pages(spark, sf_dir).join(out, "page", "left")
-    return pages.select("page", F.greatest(F.lit(0).cast("long"), room - F.coalesce("outbound", F.lit(0))).alias("budget"))
+    return pages.select("page", recommend.link_budget(words, F.col("outbound"), 12, 80).alias("budget"))
 
 
 @query("""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -12,8 +11,12 @@ from pyspark.sql import types as T
 
 #: Anchors that say nothing about their target.
 GENERIC = frozenset(
-    "click|click here|here|read more|more|learn more|see more|view more|details|more details|find out more|this page|link|website|continue|next|previous|back|home|"
-    "hier|hier klicken|mehr|mehr erfahren|mehr lesen|weiterlesen|weiter|zurück|details ansehen|ici|cliquez ici|en savoir plus|lire la suite|plus|suivant|précédent|accueil".split("|")
+    "click here|here|read more|learn more|this page|find out more|see more|more info|more information|continue reading|view more|check it out|details|next|previous|prev|back|"
+    "older|newer|older posts|newer posts|next page|previous page|"
+    "hier klicken|klicken sie hier|hier|mehr erfahren|weiterlesen|mehr lesen|mehr|mehr anzeigen|mehr dazu|mehr informationen|mehr infos|weitere informationen|diese seite|weiter|zurück|"
+    "nächste|vorherige|nächste seite|vorherige seite|"
+    "cliquez ici|cliquer ici|ici|en savoir plus|lire la suite|lire plus|voir plus|voir la suite|plus d'infos|plus d'informations|détails|cette page|suivant|suivante|précédent|précédente|"
+    "page suivante|page précédente".split("|")
 )
 
 
@@ -21,22 +24,44 @@ def term(text: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", text or "").casefold().split())
 
 
-def anchor(text: str | None) -> str:
-    """The term without invisible characters and without punctuation, arrows or symbols at its ends; ``#`` and ``+`` stay."""
-    seen = "".join(c for c in text or "" if unicodedata.category(c) != "Cf")
-    key = term(seen)
-    edge = lambda c: c not in "#+$" and (unicodedata.category(c)[0] == "P" or unicodedata.category(c) in ("So", "Sm", "Sk") or c.isspace())
+def _edges(key: str, symbols: bool) -> str:
+    """``key`` without punctuation, arrows and pictographs at its ends; with ``symbols`` without any symbol there."""
+
+    def goes(c: str) -> bool:
+        kind = unicodedata.category(c)
+        arrow = kind == "Sm" and "ARROW" in unicodedata.name(c, "")
+        return c.isspace() or kind == "So" or arrow or (c != "#" and kind[0] == "P") or (symbols and kind[0] in "PS")
+
     a, b = 0, len(key)
-    while a < b and edge(key[a]):
+    while a < b and goes(key[a]):
         a += 1
-    while b > a and edge(key[b - 1]):
+    while b > a and goes(key[b - 1]):
         b -= 1
-    return key[a:b] or key
+    return key[a:b]
+
+
+def anchor(text: str | None) -> str:
+    """The term without invisible characters, and without punctuation, arrows and pictographs at its ends; ``#``, ``+``, ``$`` stay.
+
+    An anchor of symbols alone keeps them; one of punctuation alone has no key.
+    """
+    seen = "".join(c for c in text or "" if unicodedata.category(c) != "Cf")
+    key = unicodedata.normalize("NFKC", term(seen))
+    bare = _edges(key, False)
+    return bare or "".join(c for c in key if unicodedata.category(c)[0] != "P").strip()
+
 
+def is_generic(text: str | None, add: frozenset[str] = frozenset(), remove: frozenset[str] = frozenset()) -> bool:
+    """Whether an anchor says nothing of its target: a generic phrase, or no letter at all. Text without a key is not called generic.
 
-def is_generic(text: str | None) -> bool:
+    ``add`` and ``remove`` are a tenant's own phrases, as keys.
+    """
     key = anchor(text)
-    return key in GENERIC or not re.search(r"[^\W\d_]", key)
+    if not key or key in remove:
+        return False
+    phrase = _edges(key, True)
+    plain = phrase.replace("\u2019", "'")
+    return key in add or phrase in add or not any(c.isalpha() for c in phrase) or plain in GENERIC
 
 
 def _vector(function, kind: T.DataType):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.vector import dot, norm
 from linkloom.plans.scratch import materialize, release
 
 
@@ -41,62 +42,54 @@ def inbound_anchors(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(languages, "source").groupBy("target", "language", "anchor").agg(F.count("*").alias("links"))
 
 
-def crawl_depth(links: DataFrame, pages: DataFrame, start: int, together: int = 16) -> DataFrame:
-    """page, depth: clicks from ``start``, null where out of reach. One frontier join per level, until it is empty.
+def crawl_depth(links: DataFrame, pages: DataFrame, roots: list[int], together: int = 16) -> DataFrame:
+    """page, depth: clicks from the nearest of ``roots``, null where out of reach. One frontier join per level, until it is empty.
 
-    The tables of ``together`` levels become one, so that plans stay short however deep the site is.
+    A level joins the pages found last with the edges; the tables of ``together`` levels become one, so that plans stay
+    short however deep the site is.
     """
     edges = materialize(crawled_edges(links, pages), "depth-edges")
-    reached = materialize(pages.where(F.col("page") == start).select("page", F.lit(0).alias("depth")), "depth")
+    front = reached = materialize(pages.where(F.col("page").isin(roots)).select("page", F.lit(0).alias("depth")), "depth")
     level = 0
     while True:
         level += 1
-        front = reached.where(F.col("depth") == level - 1)
         fresh = edges.join(front, edges.source == front.page).select(F.col("target").alias("page")).distinct().join(reached, "page", "left_anti")
-        fresh = materialize(fresh.withColumn("depth", F.lit(level)), "depth")
-        if fresh.isEmpty():
+        front = materialize(fresh.withColumn("depth", F.lit(level)), "depth")
+        if front.isEmpty():
             break
-        reached = reached.unionByName(fresh)
+        reached = reached.unionByName(front)
         if level % together == 0:
             parts, reached = reached, materialize(reached, "depth")
+            front = reached.where(F.col("depth") == level)
             release(parts)
     return pages.select("page").join(reached, "page", "left")
 
 
-def pagerank(links: DataFrame, pages: DataFrame, damping: float = 0.85, steps: int = 20) -> DataFrame:
-    """page, rank after ``steps`` rounds from 1/n; placeholders take part, dangling mass is spread evenly.
+def pagerank(links: DataFrame, pages: DataFrame, damping: float = 0.85, steps: int = 100, tolerance: float | None = 1e-10) -> DataFrame:
+    """page, rank from 1/n until a round moves less than ``tolerance`` in all (None: exactly ``steps`` rounds).
 
-    Repeated links are one vote. Per round one join on the linking page and a pre-aggregated sum per target.
+    Placeholders take part, dangling mass is spread evenly, repeated links are one vote. A round is one join on the linking
+    page and a pre-aggregated sum per target; the dangling mass is a scalar subquery of the same plan.
     """
     edges = links.where("source <> target").select("source", "target").distinct()
-    nodes = materialize(pages.select("page").union(edges.select("target")).distinct(), "rank-nodes")
     out = edges.groupBy("source").agg(F.count("*").alias("out"))
     votes = materialize(edges.join(out, "source").select(F.col("source").alias("page"), "target", (1 / F.col("out")).alias("share")), "rank-votes")
+    nodes = pages.select("page").union(votes.select(F.col("target").alias("page"))).distinct()
     linking = materialize(nodes.join(votes.select("page").distinct().withColumn("links", F.lit(True)), "page", "left"), "rank-linking")
-    n = nodes.count()
-    rank = linking.select("page", "links", F.lit(1.0 / n).alias("rank"))
+    n = linking.count()
+    rank = linking.select("page", "links", F.lit(1.0 / max(n, 1)).alias("rank"))
     for step in range(steps):
-        loose = rank.where("links is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("x")).first()["x"]  # one number
+        loose = rank.where("links is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
         moved = rank.join(votes, "page").groupBy(F.col("target").alias("page")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)
-        rank = materialize(linking.join(moved, "page", "left").select("page", "links", new.alias("rank")), "rank")
+        before, rank = rank, materialize(rank.select("page", "links", F.col("rank").alias("old")).join(moved, "page", "left").select("page", "links", new.alias("rank"), "old"), "rank")
+        if step:
+            release(before)
+        if tolerance is not None and (rank.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tolerance:
+            break
     return rank.select("page", "rank")
 
 
-def share_below(value: str, by: list[str] | None = None) -> Column:
-    """Percentile as the share of rows strictly below, in [0, 1)."""
-    whole = Window.partitionBy(*(by or []))
-    return (F.rank().over(whole.orderBy(value)) - 1) / F.count("*").over(whole)
-
-
-def average_rank(value: str, by: list[str]) -> Column:
-    """Percentile as the mean rank of ties over the number of values; null stays null and is not ranked."""
-    known = F.col(value).isNotNull()
-    part = Window.partitionBy(*by, known)
-    low, ties = F.rank().over(part.orderBy(value)), F.count("*").over(Window.partitionBy(*by, known, value))
-    return F.when(known, (low + (ties - 1) / 2) / F.count("*").over(part))
-
-
 def _over_budget(counts: DataFrame, budget: int) -> DataFrame:
     """The rows of ``counts`` (keyword, k) to drop, most shared first and then by keyword, until ``budget`` pairs hold the rest."""
     sizes = sorted(((r["k"], r["n"]) for r in counts.groupBy("k").agg(F.count("*").alias("n")).toLocalIterator()), reverse=True)
@@ -132,6 +125,33 @@ def keyword_projection(rows: DataFrame, budget: int | None = None) -> tuple[Data
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")), dropped
 
 
+def unit_vector(vector: str) -> Column:
+    """The vector over its length; a zero vector stays."""
+    size = norm(vector)
+    return F.when(size > 0, F.transform(vector, lambda x: x / size)).otherwise(F.col(vector))
+
+
+def hub_centroids(pages: DataFrame) -> DataFrame:
+    """hub, centroid: the mean of the unit vectors of every hub's pages, as a unit vector. Sums per hub and place are pre-aggregated."""
+    parts = pages.where("hub >= 0").select("hub", F.posexplode(unit_vector("vector")).alias("at", "x"))
+    means = parts.groupBy("hub", "at").agg(F.avg("x").alias("m"))
+    listed = means.groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("c"))
+    return listed.select("hub", F.transform("c", lambda x: x["m"]).alias("c")).select("hub", unit_vector("c").alias("centroid"))
+
+
+def hub_pillars(pages: DataFrame, ranks: DataFrame | None = None, least: int = 1) -> DataFrame:
+    """hub, page, cosine: the page nearest its hub's centroid, cosines rounded to 9 places; then the higher PageRank, then the smaller page.
+
+    Hubs of fewer than ``least`` pages have none. One row a page is compared within its group by an aggregate.
+    """
+    size = pages.where("hub >= 0").groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    near = pages.where("hub >= 0").join(size, "hub").join(hub_centroids(pages), "hub")
+    near = near.select("hub", "page", F.round(dot(unit_vector("vector"), "centroid"), 9).alias("cosine"))
+    near = near.join(ranks.select("page", "rank"), "page", "left") if ranks is not None else near.withColumn("rank", F.lit(0.0))
+    best = near.groupBy("hub").agg(F.max(F.struct("cosine", F.coalesce("rank", F.lit(0.0)).alias("rank"), (-F.col("page")).alias("p"))).alias("b"))
+    return best.select("hub", (-F.col("b.p")).alias("page"), F.col("b.cosine").alias("cosine"))
+
+
 def hub_pairs(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Ordered pairs of hubs with distinct links between them, pages linking out, and link density; noise left out."""
     hubs = pages.where("hub >= 0").select("page", "hub", "language")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.operators.graph import average_rank
+from linkloom.operators.percentiles import places, value_counts
+from linkloom.plans.scratch import materialize
 
 
 def rounded_position(position: Column, most: int = 100) -> Column:
@@ -20,15 +21,27 @@ def observed_ctr(rows: DataFrame) -> DataFrame:
     return summed.withColumn("ctr", F.round(F.col("clicks") / F.col("impressions"), 6))
 
 
+#: Rows and impressions below which a curve is not fitted.
+CURVE_ROWS, CURVE_IMPRESSIONS = 100, 10_000
+
+
+def fitted_curve(rows: DataFrame) -> list[float] | None:
+    """The click curve of search rows (impressions, clicks, position); none where the rows are too few to tell. 100 sums reach the driver."""
+    n = rows.where("position >= 1").agg(F.count("*").alias("n"), F.sum("impressions").alias("i")).first()
+    if n["n"] < CURVE_ROWS or (n["i"] or 0) < CURVE_IMPRESSIONS:
+        return None
+    return monotone_curve([(r["at"], r["impressions"], r["clicks"]) for r in observed_ctr(rows).collect()])
+
+
 def monotone_curve(observed: list[tuple[int, int, int]], size: int = 100) -> list[float]:
-    """A non-increasing click curve over positions 1 to ``size``, from (position, impressions, clicks).
+    """A non-increasing click curve over positions 1 to ``size``, from (position, impressions, clicks); null positions are left out.
 
-    Neighbours that rise are pooled by their totals until none does; a position without data takes the one before it,
-    leading ones the first. At most ``size`` rows exist, so this runs on the driver.
+    Clicks count up to the impressions. Neighbours that rise are pooled by their totals until none does; a position
+    without data takes the one before it, leading ones the first. At most ``size`` rows exist, so this runs on the driver.
     """
     pools: list[list[float]] = []
-    for at, shown, clicked in sorted(observed):
-        pools.append([clicked, shown, 1, at])
+    for at, shown, clicked in sorted(x for x in observed if x[0] is not None and x[1]):
+        pools.append([min(clicked, shown), shown, 1, at])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] < pools[-1][0] * pools[-2][1]:
             last = pools.pop()
             pools[-1][0] += last[0]
@@ -48,49 +61,102 @@ def opportunity(impressions: Column, position: Column, curve: Column) -> Column:
     return F.greatest(F.lit(0.0), impressions * (F.element_at(curve, 1) - here))
 
 
-def weighted_score(rows: DataFrame, group: str, weights: dict[str, float]) -> DataFrame:
-    """score 0..100: average-rank percentiles per group, averaged over the features a row has; weights rescale."""
-    for name in weights:
-        rows = rows.withColumn(f"_{name}", average_rank(name, [group]))
-    top = sum((F.coalesce(F.col(f"_{n}"), F.lit(0.0)) * w for n, w in weights.items()), F.lit(0.0))
-    low = sum((F.col(f"_{n}").isNotNull().cast("double") * w for n, w in weights.items()), F.lit(0.0))
-    return rows.withColumn("score", F.round(F.when(low > 0, 100 * top / low), 6)).drop(*[f"_{n}" for n in weights])
+#: The hand-set weights of the baseline scorer as (column, weight, lower is better, by percentile), and its tier shares.
+WEIGHTS = (
+    ("content_cosine", 0.15, False, True), ("same_hub", 0.05, False, False), ("content_agreement_same_topic_other_links", 0.05, False, False),
+    ("pair_query_overlap", 0.05, False, False), ("pair_kw_overlap", 0.05, False, False), ("target_is_orphan", 0.1, False, False),
+    ("target_saturation_ratio", 0.1, True, True), ("target_impressions_log", 0.05, False, True), ("target_ctr_gap", 0.05, True, True),
+    ("target_keyword_gap", 0.05, False, True), ("source_link_equity_share", 0.1, False, False), ("source_page_rank_percentile", 0.1, False, False),
+    ("target_hub_coverage", 0.05, True, False), ("target_is_hub_pillar", 0.05, False, False),
+)
+TIER_SHARES = (0.1, 0.3)
 
 
-def tiers(rows: DataFrame, score: str, order: list[str], shares: tuple[float, float] = (0.1, 0.4)) -> DataFrame:
-    """tier 1, 2 or 3 by place in the whole ranking; ties go by ``order``. Places come from a range sort, not one task.
+def normalised(rows: DataFrame, weights: tuple[tuple[str, float, bool, bool], ...]) -> DataFrame:
+    """``rows`` with ``_v0, _v1, ...``: every weighted column in [0, 1], higher better; null and NaN are null.
 
-    The rank of a row is the number of rows in partitions before its own plus its place within.
+    Percentiles run over all rows. The values of all columns are counted in one range sort.
+    """
+    ranked = [(i, c) for i, (c, _, _, by_rank) in enumerate(weights) if by_rank]
+    if ranked:
+        pieces = F.explode(F.array(*[F.struct(F.lit(i).alias("_f"), F.col(c).cast("double").alias("_x")) for i, c in ranked])).alias("z")
+        counts = materialize(value_counts(rows.select(pieces).select("z._f", "z._x"), "_x", ["_f"]), "feature-counts")
+    for i, (column, _, lower, by_rank) in enumerate(weights):
+        x = F.col(column).cast("double")
+        if by_rank:
+            own = counts.where(F.col("_f") == i).select(F.col("_x").alias("_w"), "below", "ties", "n")
+            rows = rows.join(own, x == F.col("_w"), "left")
+            value = F.when(F.col("n") < 2, 0.5).otherwise((F.col("below") + (F.col("ties") - 1) / 2) / (F.col("n") - 1))
+        else:
+            value = F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+        rows = rows.withColumn(f"_v{i}", 1 - value if lower else value).drop("_w", "below", "ties", "n")
+    return rows
+
+
+def weighted_score(rows: DataFrame, keys: list[str], weights: tuple[tuple[str, float, bool, bool], ...] = WEIGHTS, shares: tuple[float, float] = TIER_SHARES, top: int = 3) -> DataFrame:
+    """``keys`` with raw_score, score, tier and ``top`` contributions (feature, contribution, value) of every pair.
+
+    The raw score is the weighted mean over the features that a pair has; the score is its place between the least and
+    the greatest raw score, 0 to 100, and 50 where all are equal. A pair without any feature scores 0 in tier 3.
+    """
+    found = normalised(rows, weights)
+    present = sum((F.when(F.col(f"_v{i}").isNotNull(), w).otherwise(0.0) for i, (_, w, _, _) in enumerate(weights)), F.lit(0.0))
+    found = found.withColumn("_total", present)
+    parts = [
+        F.when(
+            F.col(f"_v{i}").isNotNull(),
+            F.struct((-F.col(f"_v{i}") * w / F.col("_total")).alias("less"), F.lit(i).alias("i"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")),
+        )
+        for i, (c, w, _, _) in enumerate(weights)
+    ]
+    found = found.select(*keys, F.array_sort(F.array_compact(F.array(*parts))).alias("_parts"))
+    raw = F.when(F.size("_parts") > 0, F.round(F.aggregate("_parts", F.lit(0.0), lambda acc, x: acc - x["less"]), 9))  # sums in any order rank alike
+    found = materialize(found.withColumn("raw_score", raw), "raw-scores")
+    low, high = found.agg(F.min("raw_score")).scalar(), found.agg(F.max("raw_score")).scalar()
+    score = F.when(F.col("raw_score").isNull(), 0.0).when(high == low, 50.0).otherwise((F.col("raw_score") - low) / (high - low) * 100)
+    best = []
+    for i in range(top):
+        part = F.get("_parts", F.lit(i))
+        best += [part["feature"].alias(f"top{i + 1}_feature"), (-part["less"]).alias(f"top{i + 1}_contribution"), part["value"].alias(f"top{i + 1}_value")]
+    scored = found.select(*keys, "raw_score", score.alias("score"), *best)
+    return tiers(scored, "raw_score", keys, shares).drop("place")
+
+
+def tiers(rows: DataFrame, score: str, order: list[str], shares: tuple[float, float] = TIER_SHARES) -> DataFrame:
+    """``rows`` with place and tier: the first ``floor(share * n + 0.5)`` are tier 1, then tier 2 by the sum of the shares, then 3.
+
+    Ties go by ``order``; rows without a score come last and are tier 3.
     """
-    key = [F.col(score).desc_nulls_last(), *order]
-    spark = rows.sparkSession
-    sorted_ = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
-    from linkloom.plans.scratch import materialize
-
-    parts = materialize(sorted_.withColumn("_p", F.spark_partition_id()), "ranked")
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    starts = sizes.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     total = rows.agg(F.count("*")).scalar()
-    place = F.col("_s") + F.row_number().over(Window.partitionBy("_p").orderBy(*key))
-    placed = parts.join(starts, "_p").withColumn("place", place)
-    tier = F.when(F.col("place") <= F.ceil(total * shares[0]), 1).when(F.col("place") <= F.ceil(total * shares[1]), 2).otherwise(3)
-    return placed.withColumn("tier", tier).drop("_p", "_s")
+    placed = places(rows, [F.col(score).desc_nulls_last(), *[F.col(c).asc() for c in order]])
+    cut = lambda share: F.floor(F.lit(share) * total + 0.5)
+    tier = F.when(F.col(score).isNull(), 3).when(F.col("place") <= cut(shares[0]), 1).when(F.col("place") <= cut(sum(shares)), 2).otherwise(3)
+    return placed.withColumn("tier", tier)
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve by ranks; ties count half. Ranks come from one count per distinct score."""
-    per = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(
-        F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("q")
-    )
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = per.withColumn("won", F.col("p") * (below + F.col("q") / 2))
-    return parts.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.round(F.sum("won") / (F.sum("p") * F.sum("q")), 6).alias("auc"))
+    """Area under the ROC curve by ranks (Mann-Whitney); ties count half. Ranks come from counts per distinct score."""
+    known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).alias("_s"), F.col(label).alias("_l"))
+    both = known.groupBy("_s").agg(F.sum((F.col("_l") == 1).cast("long")).alias("p"), F.sum((F.col("_l") == 0).cast("long")).alias("q"))
+    return _won(both).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.round(F.sum("w") / (F.sum("p") * F.sum("q")), 6).alias("auc"))
+
+
+def _won(per: DataFrame) -> DataFrame:
+    """p, q, w per distinct score: w is what its positives win against the negatives below and beside them."""
+    tasks = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = materialize(per.repartitionByRange(tasks, "_s").withColumn("_p", F.spark_partition_id()), "auc-counts")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = parts.groupBy("_p").agg(F.sum("q").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    seen = parts.join(starts, "_p").withColumn("_below", F.col("_start") + F.coalesce(F.sum("q").over(inside), F.lit(0)))
+    return seen.select("p", "q", (F.col("p") * (F.col("_below") + F.col("q") / 2)).alias("w"))
 
 
 def ranking_measures(rows: DataFrame, group: str, score: str, label: str, tie: str, k: int = 10) -> DataFrame:
-    """Per group: ndcg, precision and recall at k; gain 2**label - 1; hits over k, not over the rows there are."""
+    """Per group: ndcg, precision and recall at k; gain 2**label - 1; hits over k, not over the rows there are. Null and NaN scores come last."""
     by = Window.partitionBy(group)
-    ranked = rows.withColumn("_r", F.row_number().over(by.orderBy(F.col(score).desc_nulls_last(), tie)))
+    sound = F.when(~F.isnan(F.col(score).cast("double")), F.col(score))
+    ranked = rows.withColumn("_r", F.row_number().over(by.orderBy(sound.desc_nulls_last(), tie)))
     ranked = ranked.withColumn("_i", F.row_number().over(by.orderBy(F.col(label).desc(), tie)))
     gain = lambda at: F.sum(F.when(F.col(at) <= k, (F.pow(F.lit(2.0), F.col(label)) - 1) / F.log2(F.col(at) + 1)).otherwise(0.0))
     hits = F.sum(F.when((F.col("_r") <= k) & (F.col(label) > 0), 1).otherwise(0))
@@ -103,11 +169,10 @@ def ranking_measures(rows: DataFrame, group: str, score: str, label: str, tie: s
 
 
 def gini(rows: DataFrame, value: str) -> DataFrame:
-    """Gini coefficient of a non-negative column, from one count per distinct value."""
-    per = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = per.withColumn("rank_sum", F.col("c") * before + F.col("c") * (F.col("c") + 1) / 2)
-    n, total = F.sum("c"), F.sum(F.col("c") * F.col(value))
+    """Gini coefficient of a non-negative column, from counts per distinct value."""
+    per = value_counts(rows, value, [])
+    parts = per.withColumn("rank_sum", F.col("ties") * F.col("below") + F.col("ties") * (F.col("ties") + 1) / 2)
+    n, total = F.sum("ties"), F.sum(F.col("ties") * F.col(value))
     return parts.agg(F.round(F.when(total > 0, 2 * F.sum(F.col("rank_sum") * F.col(value)) / (n * total) - (n + 1) / n).otherwise(0.0), 6).alias("gini"))
 
 

@@ -1,4 +1,4 @@
-"""Graph operators against walks and counts in plain Python."""
+"""Graph operators against walks, closed forms and counts in plain Python."""
 
 import collections
 import itertools
@@ -6,9 +6,12 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkloom import catalog
-from linkloom.operators import graph
+from linkloom.operators import components, graph
+from linkloom.operators.components import connected_components
+from linkloom.plans import bitmap
 from linkloom.sources import site
 
 SF = "/root/testdata/sf0.001"
@@ -20,12 +23,62 @@ def test_depth_of_long_chains(spark):
     last = 36
     chain = [(i, 1, i + 1, "next") for i in range(last)] + [(i, 2, 0, "home") for i in range(last)] + [(7, 3, 9, "skip"), (50, 1, 51, "island")]
     pages = spark.createDataFrame([(i,) for i in [*range(last + 1), 50, 51]], "page long")
-    got = {r["page"]: r["depth"] for r in graph.crawl_depth(spark.createDataFrame(chain, LINKS), pages, 0).collect()}
+    got = {r["page"]: r["depth"] for r in graph.crawl_depth(spark.createDataFrame(chain, LINKS), pages, [0]).collect()}
     assert got == {i: i if i < 9 else i - 1 for i in range(last + 1)} | {50: None, 51: None}
 
 
+def test_pagerank_closed_form(spark):
+    pages = spark.createDataFrame([(1,), (2,), (3,)], "page long")
+    links = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (2, 3)], "source long, target long")
+    got = {r["page"]: r["rank"] for r in graph.pagerank(links, pages).collect()}
+    assert got == pytest.approx({1: 800 / 4049, 2: 1140 / 4049, 3: 2109 / 4049}, abs=1e-9)
+
+
+@pytest.mark.parametrize(("hot", "held"), [(1024, 1_000_000), (8, 20)])
+def test_components_match_union_find(spark, monkeypatch, hot, held):
+    monkeypatch.setattr(components, "HOT", hot)
+    monkeypatch.setattr(components, "HELD", held)
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 200)] + [(1999 - i, 2000) for i in range(40)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert {r["node"]: r["component"] for r in got} == {x: root(x) for x in linked}
+
+
+def test_no_edges(spark):
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_bitmap_joins_are_exact(spark):
+    rows = spark.range(500).select(F.when(F.col("id") % 50 != 7, F.col("id")).alias("key"), "id").withColumn("_key", F.lit("x")).withColumn("row", F.lit("y"))
+    keys = spark.range(0, 1000, 3).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))
+    want = [r["id"] for r in rows.join(keys, "key", "left_anti").collect()]
+    assert sorted(r["id"] for r in bitmap.without(rows, keys, "key", log_bits=7).collect()) == sorted(want)
+    left = rows.join(keys, "key", "left").select("id", "v").collect()
+    assert sorted(map(str, bitmap.left_join(rows, keys, "key", log_bits=7).select("id", "v").collect())) == sorted(map(str, left))
+    assert [bitmap.bits_for(n) for n in (0, 1000, 10**6, 10**12)] == [20, 20, 23, 26]
+
+
+def test_pillars(spark):
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, [2.0, 2.0]), (3, 0, [0.0, 1.0]), (4, 1, [1.0, 0.0]), (5, 1, [3.0, 0.0]), (6, -1, [1.0, 0.0])]
+    pages = spark.createDataFrame(rows, "page long, hub int, vector array<double>")
+    ranks = spark.createDataFrame([(4, 0.1), (5, 0.2)], "page long, rank double")
+    assert {r["hub"]: r["page"] for r in graph.hub_pillars(pages).collect()} == {0: 2, 1: 4}
+    assert {r["hub"]: r["page"] for r in graph.hub_pillars(pages, ranks).collect()} == {0: 2, 1: 5}
+    assert {r["hub"] for r in graph.hub_pillars(pages, least=3).collect()} == {0}
+
+
 def brute_projection(rows, budget):
-    """As graph/algorithms.py keyword_pass_graph of the reference."""
     of = collections.defaultdict(set)
     for page, keyword in rows:
         of[keyword].add(page)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import url as U
 from linkloom.functions import vector as V
-from linkloom.operators import audit, bridges, features, graph, percentiles, recommend, retrieval, scoring, text_tables
+from linkloom.operators import anchors, audit, bridges, communities, evaluation, features, graph, keywords, listings, percentiles, recommend, retrieval, scoring, semantic, text_tables
 from linkloom.plans.scratch import materialize
 from linkloom.sources import site, tenant
 from linkloom.sources.site import search_rows, site_links, site_pages, table
@@ -57,12 +57,7 @@ def candidate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _link_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = site_pages(spark, sf_dir)
-    a = pages.select(F.col("page").alias("source"), "language", F.col("vector").alias("va"))
-    b = pages.select(F.col("page").alias("target"), F.col("language").alias("lb"), F.col("vector").alias("vb"))
-    edges = site_links(spark, sf_dir).select("source", "target").distinct()
-    pairs = edges.join(a, "source").join(b, "target").where("language = lb")
-    return pairs.select("source", "target", "language", F.round(V.cosine("va", "vb"), 6).alias("similarity"))
+    return retrieval.link_cosines(site_pages(spark, sf_dir), site_links(spark, sf_dir))
 
 
 _LINK_COSINES = """
@@ -95,6 +90,41 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_pages(spark, sf_dir).select("page", F.round(V.norm("vector"), 6).alias("norm"))
 
 
+@query(f"""{_LINK_COSINES}, pools AS (SELECT language, count(*) AS pool FROM site_pages GROUP BY language),
+scored AS (SELECT t.page AS target, s.page AS source, round(list_dot_product(t.vector, s.vector) / (sqrt(list_dot_product(t.vector, t.vector)) * sqrt(list_dot_product(s.vector, s.vector))), 6) AS similarity
+  FROM site_pages t JOIN site_pages s ON t.language = s.language AND t.page <> s.page LEFT JOIN pairs l ON l.source = s.page AND l.target = t.page WHERE l.source IS NULL),
+lasts AS (SELECT target, min(similarity) AS last FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY similarity DESC, source) AS r FROM scored) WHERE r <= 10 GROUP BY target),
+linking AS (SELECT c.target, count(*) AS linked, sum(CASE WHEN c.similarity > l.last THEN 1 ELSE 0 END) AS nearer FROM cosines c LEFT JOIN lasts l ON l.target = c.target GROUP BY c.target)
+SELECT p.page AS target, o.pool - 1 - coalesce(k.linked, 0) AS eligible, coalesce(k.linked, 0) AS linked, CAST(coalesce(k.nearer, 0) AS BIGINT) AS linked_nearer FROM site_pages p JOIN pools o ON o.language = p.language LEFT JOIN linking k ON k.target = p.page""")
+def target_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, links = site_pages(spark, sf_dir), site_links(spark, sf_dir)
+    return retrieval.target_facts(pages, links, materialize(retrieval.nearest_eligible(pages, links), "candidates"))
+
+
+@query("""
+, near AS (SELECT a.page AS x, b.page AS y, round(list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector))), 6) AS w FROM site_pages a JOIN site_pages b ON a.page <> b.page),
+top AS (SELECT x, y, w FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY w DESC, y) AS r FROM near) WHERE r <= 10 AND w > 0)
+SELECT least(x, y) AS a, greatest(x, y) AS b, max(w) AS weight FROM top GROUP BY 1, 2""")
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.knn_graph(site_pages(spark, sf_dir))
+
+
+@query(f"""{tenant.SQL}, pairs AS (SELECT DISTINCT source, target FROM site_links),
+linked AS (SELECT p.source, p.target, a.language, round(list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector))), 6) AS similarity
+  FROM pairs p JOIN site_pages a ON a.page = p.source JOIN site_pages b ON b.page = p.target WHERE a.language = b.language),
+scored AS (SELECT t.page AS target, s.page AS source, round(list_dot_product(t.vector, s.vector) / (sqrt(list_dot_product(t.vector, t.vector)) * sqrt(list_dot_product(s.vector, s.vector))), 6) AS similarity
+  FROM site_pages t JOIN site_pages s ON t.language = s.language AND t.page <> s.page LEFT JOIN pairs l ON l.source = s.page AND l.target = t.page WHERE l.source IS NULL),
+near10 AS (SELECT target, source, similarity FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY similarity DESC, source) AS r FROM scored) WHERE r <= 10),
+own AS (SELECT language, quantile_cont(similarity, 0.25) AS floor FROM linked GROUP BY language HAVING count(*) >= 50),
+rest AS (SELECT CASE WHEN (SELECT count(*) FROM linked) >= 50 THEN (SELECT quantile_cont(similarity, 0.25) FROM linked) ELSE (SELECT quantile_cont(similarity, 0.25) FROM near10) END AS floor)
+SELECT c.target, c.source, c.similarity FROM scored c JOIN pillars i ON i.page = c.target JOIN site_pages s ON s.page = c.source AND s.hub = i.hub LEFT JOIN near10 n ON n.target = c.target AND n.source = c.source
+LEFT JOIN own o ON o.language = s.language CROSS JOIN rest r WHERE n.target IS NULL AND c.similarity >= coalesce(o.floor, r.floor)""")
+def pillar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, links = site_pages(spark, sf_dir), site_links(spark, sf_dir)
+    candidates = materialize(retrieval.nearest_eligible(pages, links), "candidates")
+    return retrieval.pillar_pairs(pages, links, candidates, graph.hub_pillars(pages))
+
+
 # Link graph
 
 
@@ -234,6 +264,32 @@ def keyword_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.keyword_projection(rows)[0]
 
 
+@query()
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return communities.betweenness(site_links(spark, sf_dir), site_pages(spark, sf_dir)).select("page", F.round("betweenness", 6).alias("betweenness"))
+
+
+@query()
+def link_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph.crawled_edges(site_links(spark, sf_dir), site_pages(spark, sf_dir))
+    return communities.communities(edges.select(F.lit("site").alias("tenant"), F.col("source").alias("a"), F.col("target").alias("b"), F.lit(1.0).alias("weight")))
+
+
+@query()
+def density_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return communities.hubs(site_pages(spark, sf_dir).withColumn("tenant", F.col("language")))
+
+
+@query("""
+, cells AS (SELECT hub AS a, language AS b, count(*) AS n FROM site_pages GROUP BY hub, language), t AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2) AS x FROM cells),
+r AS (SELECT sum(m * (m - 1) / 2) AS x FROM (SELECT sum(n) AS m FROM cells GROUP BY a)), c AS (SELECT sum(m * (m - 1) / 2) AS x FROM (SELECT sum(n) AS m FROM cells GROUP BY b))
+SELECT CAST(t.n AS BIGINT) AS vertices, round((t.x - r.x * c.x / (t.n * (t.n - 1) / 2)) / ((r.x + c.x) / 2 - r.x * c.x / (t.n * (t.n - 1) / 2)), 6) AS ari FROM t, r, c""")
+def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = site_pages(spark, sf_dir)
+    found = evaluation.agreement(pages.select(F.col("page").alias("vertex"), F.col("hub").alias("label")), pages.select(F.col("page").alias("vertex"), F.col("language").alias("label")))
+    return found.select("vertices", F.round("ari", 6).alias("ari"))
+
+
 # Percentiles
 
 
@@ -406,15 +462,16 @@ def merged_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, daily AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2),
-seen AS (SELECT *, avg(n) OVER w AS mean, count(*) OVER w AS days FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
-SELECT CAST(day AS VARCHAR) AS day, event_type, n, round(n / mean, 6) AS ratio FROM seen WHERE days >= 3 AND abs(n / mean - 1) > 0.25""")
+WITH stamped AS (SELECT event_type || '_' || CAST(user_id % 10 AS VARCHAR) AS metric, epoch(ts) >= (SELECT (epoch(min(ts)) + epoch(max(ts))) / 2 FROM events) AS late FROM events),
+halves AS (SELECT metric, CAST(sum(CASE WHEN late THEN 1 ELSE 0 END) AS DOUBLE) AS now, CAST(sum(CASE WHEN late THEN 0 ELSE 1 END) AS DOUBLE) AS before FROM stamped GROUP BY metric)
+SELECT metric, before AS previous, now AS current, round(CASE WHEN before <> 0 THEN (now - before) / before END, 6) AS change FROM halves WHERE CASE WHEN before = 0 THEN now <> 0 ELSE abs(now - before) / before > 0.2 + 1e-9 END""", site_tables=False)
 def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("event_type").orderBy("day").rowsBetween(-7, -1)
-    seen = daily.withColumn("mean", F.avg("n").over(before)).withColumn("days", F.count("*").over(before))
-    alert = (F.col("days") >= 3) & (F.abs(F.col("n") / F.col("mean") - 1) > 0.25)
-    return seen.where(alert).select(F.col("day").cast("string").alias("day"), "event_type", "n", F.round(F.col("n") / F.col("mean"), 6).alias("ratio"))
+    """Events per type and group of users, the later half of the time against the earlier one."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws("_", "event_type", (F.col("user_id") % 10).cast("string")).alias("metric"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    middle = e.agg((F.min("t") + F.max("t")) / 2).scalar()
+    per = materialize(e.groupBy("metric").agg(F.count_if(F.col("t") >= middle).cast("double").alias("now"), F.count_if(F.col("t") < middle).cast("double").alias("before")), "halves")
+    found = semantic.drift_alerts(per.select("metric", F.col("now").alias("value")), per.select("metric", F.col("before").alias("value")))
+    return found.withColumn("change", F.round("change", 6))
 
 
 @query("""
@@ -720,6 +777,20 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.auc(rows.select((F.col("n_chars") % 50).alias("score"), F.col("quality").alias("label")), "score", "label")
 
 
+@query("""
+, rows AS (SELECT quality AS y, CASE WHEN d.doc_id % 7 > 0 THEN n_chars % 50 END AS length, d.doc_id % 10 AS digit FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+long AS (SELECT y, 'length' AS "column", CAST(length AS DOUBLE) AS x FROM rows UNION ALL SELECT y, 'digit', CAST(digit AS DOUBLE) FROM rows),
+ranked AS (SELECT *, rank() OVER (PARTITION BY "column", x IS NULL ORDER BY x) + (count(*) OVER (PARTITION BY "column", x) - 1) / 2.0 AS r,
+  rank() OVER (PARTITION BY "column" ORDER BY x NULLS FIRST) + (count(*) OVER (PARTITION BY "column", x) - 1) / 2.0 AS up, rank() OVER (PARTITION BY "column" ORDER BY -x NULLS FIRST) + (count(*) OVER (PARTITION BY "column", x) - 1) / 2.0 AS down FROM long),
+sums AS (SELECT "column", sum(CASE WHEN x IS NOT NULL AND y = 1 THEN r END) AS r, sum(CASE WHEN y = 1 THEN up END) AS up, sum(CASE WHEN y = 1 THEN down END) AS down, sum(CASE WHEN x IS NOT NULL THEN y END) AS p, count(x) AS k, sum(y) AS q, count(*) AS n FROM ranked GROUP BY "column")
+SELECT "column", round((r - p * (p + 1) / 2) / (p * (k - p)), 6) AS auc, round(k / n, 6) AS coverage, round(0.5 + greatest(abs((up - q * (q + 1) / 2) / (q * (n - q)) - 0.5), abs((down - q * (q + 1) / 2) / (q * (n - q)) - 0.5)), 6) AS ranker_auc FROM sums""")
+def feature_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = rows.select(F.col("quality").alias("y"), F.when(F.col("doc_id") % 7 > 0, F.col("n_chars") % 50).alias("length"), (F.col("doc_id") % 10).alias("digit"))
+    found = evaluation.feature_auc(rows, ["length", "digit"], "y")
+    return found.select("column", *[F.round(c, 6).alias(c) for c in ("auc", "coverage", "ranker_auc")])
+
+
 @query("""
 WITH rows AS (SELECT l_orderkey AS source, l_linenumber AS item, l_linenumber % 3 AS label, l_quantity AS score FROM lineitem),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, item) AS r, row_number() OVER (PARTITION BY source ORDER BY label DESC, item) AS i FROM rows),
@@ -756,6 +827,39 @@ def latest_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", "o_orderkey", "o_totalprice")
 
 
+# Anchors
+
+
+def _keyword_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages as the keyword chain reads them, strategic rows of every third page, and search rows as usable queries."""
+    first = F.element_at(F.filter(F.split("body", "[ \\t-\\r]+"), lambda w: w != ""), 1)
+    line = F.trim(F.get(F.split("body", "\n"), F.lit(0)))
+    pages = site_pages(spark, sf_dir).select(
+        "page", "language", F.substring(line, 1, 60).alias("h1"), F.array(F.struct(F.lit(1).alias("level"), first.alias("text"))).alias("headings"), F.concat(first, F.lit(" | Example")).alias("meta_title"),
+        F.sha2("body", 256).alias("body_hash"), "body",
+    )
+    strategic = tenant.strategic_rows(spark, sf_dir).where("page % 3 = 0")
+    queries = search_rows(spark, sf_dir).where("page % 3 = 1").select("page", "query", F.col("impressions").cast("double").alias("opportunity"))
+    return pages, strategic, queries
+
+
+@query()
+def keyword_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, strategic, queries = _keyword_tables(spark, sf_dir)
+    return keywords.resolve(pages, strategic, queries, ["Example"])
+
+
+@query()
+def anchor_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ladder over the candidate pairs: two words that a target's text begins with are its keyword."""
+    pages, _, _ = _keyword_tables(spark, sf_dir)
+    start = F.slice(F.filter(F.split("body", "[ \\t-\\r]+"), lambda w: w != ""), 1, 2)
+    asked = pages.select("page", F.array_join(start, " ").alias("keyword"), F.lit(1).alias("rank")).where("keyword <> ''")
+    texts = pages.select("page", "body", F.array().cast("array<string>").alias("headings"), "language")
+    links = site_links(spark, sf_dir).select("source", "anchor", F.col("anchor").alias("around"))
+    return anchors.extract(_candidates(spark, sf_dir), texts, asked, links)
+
+
 # Output
 
 
@@ -788,6 +892,30 @@ def site_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""{tenant.SQL}, typed AS (SELECT target, CASE WHEN anchor = 'read more' THEN 'GENERIC' WHEN target % 3 = 0 THEN 'EXACT' WHEN target % 3 = 1 THEN 'PARTIAL' ELSE 'NATURAL' END AS type FROM site_links)
+SELECT p.page, p.language, p.hub, p.inbound, p.outbound, CASE WHEN p.inbound > 0 THEN 'linked' WHEN p.page % 5 + p.page % 2 > 0 THEN 'template_only' ELSE 'orphan' END AS label,
+  (SELECT count(*) FROM typed t WHERE t.target = p.page AND t.type = 'EXACT') AS anchors_exact, (SELECT count(*) FROM typed t WHERE t.target = p.page AND t.type = 'GENERIC') AS anchors_generic FROM tenant_pages p""")
+def page_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("target") % 3
+    typed = site_links(spark, sf_dir).select("target", F.when(F.col("anchor") == "read more", "GENERIC").when(t == 0, "EXACT").when(t == 1, "PARTIAL").otherwise("NATURAL").alias("type"))
+    pages = tenant.pages(spark, sf_dir).withColumn("menu", F.col("page") % 5).withColumn("footer", F.col("page") % 2)
+    return listings.page_profiles(pages, typed).select("page", "language", "hub", "inbound", "outbound", "label", "anchors_exact", "anchors_generic")
+
+
+@query(f"""{tenant.SQL}, flows AS (SELECT a.hub, sum(CASE WHEN a.hub = b.hub THEN 1 ELSE 0 END) AS inside, sum(CASE WHEN a.hub = b.hub THEN 0 ELSE 1 END) AS outside FROM crawled c JOIN tenant_pages a ON a.page = c.source JOIN tenant_pages b ON b.page = c.target WHERE a.hub >= 0 GROUP BY a.hub)
+SELECT p.hub, count(*) AS pages, count(DISTINCT language) AS languages, max(i.page) AS pillar, CAST(sum(CASE WHEN inbound = 0 THEN 1 ELSE 0 END) AS BIGINT) AS orphans, round(avg(rank_percentile), 6) AS mean_percentile,
+  CAST(coalesce(max(f.inside), 0) AS BIGINT) AS links_inside, CAST(coalesce(max(f.outside), 0) AS BIGINT) AS links_out FROM tenant_pages p LEFT JOIN pillars i ON i.hub = p.hub LEFT JOIN flows f ON f.hub = p.hub WHERE p.hub >= 0 GROUP BY p.hub""")
+def hub_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = listings.hub_summaries(tenant.pages(spark, sf_dir), site_links(spark, sf_dir), graph.hub_pillars(site_pages(spark, sf_dir)))
+    return found.withColumn("mean_percentile", F.round("mean_percentile", 6))
+
+
+@query(f"""{tenant.SQL} SELECT count(*) AS pages, (SELECT count(*) FROM votes) AS links, CAST(sum(CASE WHEN inbound = 0 THEN 1 ELSE 0 END) AS BIGINT) AS orphans, CAST(sum(CASE WHEN outbound = 0 THEN 1 ELSE 0 END) AS BIGINT) AS dead_ends,
+  count(DISTINCT CASE WHEN hub >= 0 THEN hub END) AS hubs, CAST(sum(CASE WHEN hub = -1 THEN 1 ELSE 0 END) AS BIGINT) AS noise, count(DISTINCT language) AS languages, CAST(sum(words) AS BIGINT) AS words FROM tenant_pages""")
+def site_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.site_summary(tenant.pages(spark, sf_dir), site_links(spark, sf_dir))
+
+
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", site_tables=False)
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour"))

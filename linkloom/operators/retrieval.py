@@ -1,51 +1,145 @@
-"""Nearest eligible sources of every target page."""
+"""Nearest sources of every target page, the pillar channel, and the k-nearest-neighbour graph."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+from linkloom.functions.vector import cosine
+from linkloom.operators.percentiles import quantiles
+from linkloom.plans.scratch import materialize
 
+#: Pages in a block, in languages of fewer and of more than ``MANY`` pages; rows of a block that are compared at once.
+BLOCK, BIG_BLOCK, MANY, ROWS = 1024, 4096, 50_000, 512
+FOUND = "target bigint, source bigint, similarity double"
+
+
+def _top(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The ``k`` best sources of every target of one block pair; side 0 are targets, 1 sources, 2 links that rule a pair out."""
 
-def _top(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"target": [], "source": [], "similarity": []}).astype({"target": "int64", "source": "int64", "similarity": "float64"})
-        a, b = np.stack(left["vector"]).astype(float), np.stack(right["vector"]).astype(float)
-        na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-        size = na[:, None] * nb[None, :]
-        cos = np.where(size > 0, np.clip((a @ b.T) / np.where(size > 0, size, 1), -1, 1), 0.0).round(6)
-        ids, out = right["page"].to_numpy(), []
-        for i, (page, linked) in enumerate(zip(left["page"], left["linked"], strict=True)):
-            ok = (ids != page) & ~np.isin(ids, np.asarray(linked if linked is not None else [], dtype=np.int64))
-            at = np.flatnonzero(ok)
-            best = at[np.lexsort((ids[at], -cos[i, at]))[:k]]
-            out.append(pd.DataFrame({"target": page, "source": ids[best], "similarity": cos[i, best]}))
-        return pd.concat(out, ignore_index=True)
+        left, right, links = (pdf[pdf["side"] == i] for i in range(3))
+        right = right.sort_values("page")
+        out = []
+        if len(left) and len(right):
+            a, b = (np.stack(x["vector"]).astype(float) for x in (left, right))
+            na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+            a, b = a / np.where(na > 0, na, 1)[:, None], b / np.where(nb > 0, nb, 1)[:, None]
+            targets, sources = left["page"].to_numpy(), right["page"].to_numpy()
+            row, col = pd.Index(targets), pd.Index(sources)
+            out_row, out_col = row.get_indexer(links["page"]), col.get_indexer(links["other"])
+            good = (out_row >= 0) & (out_col >= 0)
+            out_row, out_col = out_row[good], out_col[good]
+            own = col.get_indexer(targets)
+            for start in range(0, len(a), ROWS):
+                cos = np.clip(a[start : start + ROWS] @ b.T, -1, 1).round(6)
+                n = len(cos)
+                here = (out_row >= start) & (out_row < start + n)
+                cos[out_row[here] - start, out_col[here]] = -np.inf
+                self_ = own[start : start + n]
+                cos[np.flatnonzero(self_ >= 0), self_[self_ >= 0]] = -np.inf
+                best = np.argsort(-cos, axis=1, kind="stable")[:, :k]  # sources are in order, so ties go to the smaller
+                value = np.take_along_axis(cos, best, axis=1)
+                at, place = np.nonzero(np.isfinite(value))
+                out.append(pd.DataFrame({"target": targets[start + at], "source": sources[best[at, place]], "similarity": value[at, place]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"target": [], "source": [], "similarity": []}).astype({"target": "int64", "source": "int64", "similarity": "float64"})
 
     return run
 
 
-def nearest_eligible(pages: DataFrame, links: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+def nearest_eligible(pages: DataFrame, links: DataFrame, k: int = 10, block: int | None = None) -> DataFrame:
     """(target, source, rank, similarity): the ``k`` nearest pages of the same language that are neither the target nor link to it.
 
     Exact. Pages of a language are dealt to blocks by hash; a task multiplies one block of targets with one block of
-    sources and keeps ``k`` rows a target, which a window merges. Ties go to the smaller id.
+    sources and keeps ``k`` rows a target, which a window merges. A link goes to the one task that could pair its ends, so
+    however many links a page has, they are split by their sources. Ties go to the smaller id; a zero vector scores 0.
     """
-    linked = links.groupBy(F.col("target").alias("page")).agg(F.collect_set("source").alias("linked"))
-    counts = pages.groupBy("language").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = pages.select("page", "language", "vector").join(counts, "language").withColumn("own", F.pmod(F.xxhash64("page"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    targets = dealt.join(linked, "page", "left").select("language", "page", "vector", "linked", F.col("own").alias("t"), every)
-    targets = targets.select("language", "t", F.col("other").alias("s"), "page", "vector", "linked", F.lit(0).alias("side"))
-    sources = dealt.select("language", "page", "vector", F.col("own").alias("s"), every)
-    sources = sources.select("language", F.col("other").alias("t"), "s", "page", "vector", F.lit(None).cast("array<bigint>").alias("linked"), F.lit(1).alias("side"))
-    found = targets.unionByName(sources).groupBy("language", "t", "s").applyInPandas(_top(k), "target bigint, source bigint, similarity double")
+    size = F.lit(block) if block else F.when(F.count("*") > MANY, BIG_BLOCK).otherwise(BLOCK)
+    counts = pages.groupBy(F.col("language").alias("l9")).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = pages.select("page", "language", "vector").join(counts, F.col("language").eqNullSafe(F.col("l9"))).drop("l9")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("page"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other_block")
+    none = F.lit(None).cast("bigint").alias("other")
+    targets = dealt.select("language", F.col("own").alias("t"), every, "page", "vector").select("language", "t", F.col("other_block").alias("s"), "page", "vector", none, F.lit(0).alias("side"))
+    sources = dealt.select("language", F.col("own").alias("s"), every, "page", "vector").select("language", F.col("other_block").alias("t"), "s", "page", "vector", none, F.lit(1).alias("side"))
+    place = dealt.select("page", "language", "own")
+    ends = links.where("source <> target").select("source", "target").distinct()
+    ends = ends.join(place.select(F.col("page").alias("target"), "language", F.col("own").alias("t")), "target").join(place.select(F.col("page").alias("source"), F.col("language").alias("l2"), F.col("own").alias("s")), "source")
+    ruled = ends.where(F.col("language").eqNullSafe(F.col("l2"))).select("language", "t", "s", F.col("target").alias("page"), F.lit(None).cast(pages.schema["vector"].dataType).alias("vector"), F.col("source").alias("other"), F.lit(2).alias("side"))
+    found = targets.unionByName(sources).unionByName(ruled).groupBy("language", "t", "s").applyInPandas(_top(k), FOUND)
     rank = F.row_number().over(Window.partitionBy("target").orderBy(F.col("similarity").desc(), "source"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("target", "source", F.col("rank").cast("int").alias("rank"), "similarity")
+
+
+def link_cosines(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """source, target, language, similarity of the distinct links between two pages of one language."""
+    a = pages.select(F.col("page").alias("source"), "language", F.col("vector").alias("va"))
+    b = pages.select(F.col("page").alias("target"), F.col("language").alias("lb"), F.col("vector").alias("vb"))
+    pairs = links.where("source <> target").select("source", "target").distinct().join(a, "source").join(b, "target").where(F.col("language").eqNullSafe(F.col("lb")))
+    return pairs.select("source", "target", "language", F.round(cosine("va", "vb"), 6).alias("similarity"))
+
+
+def target_facts(pages: DataFrame, links: DataFrame, candidates: DataFrame) -> DataFrame:
+    """target, eligible, linked, linked_nearer: pages it could take, same-language pages that link to it, and how many of those are nearer than its last candidate."""
+    pool = pages.groupBy("language").agg(F.count("*").alias("pool"))
+    cosines = link_cosines(pages, links)
+    last = candidates.groupBy("target").agg(F.min("similarity").alias("last"))
+    near = cosines.join(last, "target", "left").groupBy("target").agg(F.count("*").alias("linked"), F.count_if(F.col("similarity") > F.col("last")).alias("nearer"))
+    rows = pages.select(F.col("page").alias("target"), "language").join(pool.withColumnRenamed("language", "l2"), F.col("language").eqNullSafe(F.col("l2"))).join(near, "target", "left")
+    linked = F.coalesce("linked", F.lit(0))
+    return rows.select("target", (F.col("pool") - 1 - linked).alias("eligible"), linked.alias("linked"), F.coalesce("nearer", F.lit(0)).alias("linked_nearer"))
+
+
+def pillar_floors(cosines: DataFrame, candidates: DataFrame, quantile: float, least: int) -> DataFrame:
+    """(language, floor, basis, links): per language with ``least`` links or more, and one row without a language for all others.
+
+    That row's floor is the quantile over every link if they are enough, else over the candidates; without either there is none.
+    """
+    own = quantiles(cosines, "similarity", (quantile,), ["language"]).where((F.col("n") >= least) & F.col("language").isNotNull())
+    own = own.select("language", F.col("q0").alias("floor"), F.lit("existing_links").alias("basis"), F.col("n").alias("links"))
+    every = quantiles(cosines, "similarity", (quantile,)).select("n", F.col("q0").alias("a"))
+    pairs = quantiles(candidates, "similarity", (quantile,)).select(F.col("n").alias("m"), F.col("q0").alias("b"))
+    both = every.crossJoin(pairs)  # one row each
+    enough = F.coalesce(F.col("n") >= least, F.lit(False))
+    rest = both.select(
+        F.lit(None).cast("string").alias("language"), F.when(enough, F.col("a")).otherwise(F.col("b")).alias("floor"), F.when(enough, "existing_links").otherwise("candidate_pairs").alias("basis"),
+        F.coalesce("n", F.lit(0)).alias("links"),
+    )
+    return own.unionByName(rest.where("floor is not null"))
+
+
+def pillar_pairs(pages: DataFrame, links: DataFrame, candidates: DataFrame, pillars: DataFrame, quantile: float = 0.25, least: int = 50) -> DataFrame:
+    """(target, source, similarity): for every hub's pillar the pages of its hub and language that don't link to it, are no candidates yet and reach the floor.
+
+    ``pillars`` has hub and page. A pillar is one row per hub, so the join makes one row per page of a hub.
+    """
+    floors = materialize(pillar_floors(materialize(link_cosines(pages, links), "link-cosines"), candidates, quantile, least), "pillar-floors")
+    t = pages.join(pillars.select("page", F.col("hub").alias("h")), "page").where("hub = h")
+    t = t.select(F.col("page").alias("target"), F.col("language").alias("lt"), F.col("hub").alias("ht"), F.col("vector").alias("vt"))
+    found = pages.select(F.col("page").alias("source"), "language", "hub", F.col("vector").alias("vs")).join(t, F.col("language").eqNullSafe(F.col("lt")) & (F.col("hub") == F.col("ht"))).where("source <> target")
+    taken = links.select("source", "target").union(candidates.select("source", "target")).distinct()
+    found = found.join(taken, ["source", "target"], "left_anti").withColumn("similarity", F.round(cosine("vs", "vt"), 6))
+    own = floors.where("language is not null").select(F.col("language").alias("l1"), F.col("floor").alias("own"))
+    rest = floors.where("language is null").agg(F.max("floor")).scalar()
+    held = found.join(own, F.col("language") == F.col("l1"), "left").where(F.col("similarity") >= F.coalesce("own", rest))
+    return held.select("target", "source", "similarity")
+
+
+def pair_pool(candidates: DataFrame, bridges: DataFrame) -> DataFrame:
+    """(target, source, similarity, bridge): candidates, then bridge pairs that are none of them."""
+    own = candidates.select("target", "source", "similarity", F.lit(False).alias("bridge"))
+    more = bridges.groupBy("target", "source").agg(F.max("similarity").alias("similarity")).join(candidates.select("target", "source"), ["target", "source"], "left_anti")
+    return own.unionByName(more.withColumn("bridge", F.lit(True)))
+
+
+def knn_graph(pages: DataFrame, k: int = 10) -> DataFrame:
+    """(a, b, weight) with a < b: each page with its ``k`` nearest ones of any language, the greater similarity where both found the other, positive ones only."""
+    alone = pages.select("page", F.lit("").alias("language"), "vector")
+    none = pages.select(F.col("page").alias("source"), F.col("page").alias("target")).limit(0)
+    near = nearest_eligible(alone, none, k)
+    ends = near.where("similarity > 0").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "similarity")
+    return ends.groupBy("a", "b").agg(F.max("similarity").alias("weight"))

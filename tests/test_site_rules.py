@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import audit, bridges, features, recommend, text_tables
+from linkloom.operators import audit, bridges, features, listings, recommend, text_tables
 
 EDGE = "source long, position long, target long, anchor_key string, generic boolean, exact_match boolean, keyword_jaccard double, keyword_cosine double, is_follow boolean, context_relevance double, anchor_target_fit double, source_percentile double, target_percentile double, source_words int, target_placeholder boolean, target_status int, target_indexable boolean, target_hub int, target_canonical long"
 
@@ -145,3 +145,17 @@ def test_copies_and_titles(spark):
     assert [tuple(r) for r in text_tables.crawl_duplicates(crawl).collect()] == [("k", "https://k/long", 200, 3)]
     titles = spark.createDataFrame([("Shoes | Acme",), ("Boots |  ACME",), ("Hats - Acme",), ("Alone",), (None,), (" ",)], "t string")
     assert [tuple(r) for r in text_tables.title_affixes(titles, F.col("t")).collect()] == [("last", "Acme", 3)]
+
+
+def test_listings(spark):
+    rows = spark.createDataFrame([(i, i % 3 if i % 4 else None) for i in range(10)], "k long, v long")
+    page, total = listings.listing(rows, ["k"], (2,), 3, {"v": [1, 2]})
+    assert [r["k"] for r in page.collect()] == [5, 7] and total == 4
+    assert listings.listing(rows, ["k"], None, 2, {"v": None})[1] == 3 and [r["k"] for r in listings.listing(rows, ["k"], None, 2, {"v": ...})[0].collect()] == [1, 2, 3]
+    groups = spark.createDataFrame([(1, 1, True), (2, 1, False), (5, 5, False), (6, 5, True)], "page long, duplicate_group long, is_canonical boolean")
+    assert sorted(tuple(r) for r in listings.duplicate_listing(groups).collect()) == [(1, 1, 2), (5, 6, 2)]
+    with pytest.raises(Exception, match="2 canonical pages"):
+        listings.duplicate_listing(groups.withColumn("is_canonical", F.lit(True))).collect()
+    links = spark.createDataFrame([(1, 0, 9, "a", False, [1.0, 0.0]), (1, 1, 9, "a", True, None), (1, 2, 8, "b", False, [0.0, 1.0])], "source long, position long, target long, anchor_key string, generic boolean, sentence_vector array<double>")
+    scored = listings.link_scores(links, spark.createDataFrame([(9, [0.0, 2.0])], "page long, vector array<double>"), spark.createDataFrame([("a", [0.0, 1.0])], "anchor_key string, vector array<double>"))
+    assert {r["position"]: (r["context_relevance"], r["anchor_target_fit"]) for r in scored.collect()} == {0: (0.5, 1.0), 1: (None, None), 2: (None, None)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,16 +67,45 @@ def crawl_depth(links: DataFrame, pages: DataFrame, roots: list[int], together:
     return pages.select("page").join(reached, "page", "left")
 
 
-def pagerank(links: DataFrame, pages: DataFrame, damping: float = 0.85, steps: int = 100, tolerance: float | None = 1e-10) -> DataFrame:
+#: Votes that one task walks by itself.
+SMALL = 2_000_000
+
+
+def _walk_in_one(votes: DataFrame, nodes: DataFrame, damping: float, steps: int, tolerance: float | None) -> DataFrame:
+    """The rounds of :func:`pagerank` over arrays in one task; its size is bounded by ``SMALL`` votes."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = pdf[pdf["target"].notna()]
+        names = np.unique(pdf["page"].to_numpy())
+        n = len(names)
+        a, b = np.searchsorted(names, edges["page"].to_numpy()), np.searchsorted(names, edges["target"].to_numpy().astype("int64"))
+        share, rank = edges["share"].to_numpy(float), np.full(n, 1.0 / n)
+        loose = np.ones(n, dtype=bool)
+        loose[a] = False
+        for _ in range(steps):
+            new = (1 - damping) / n + damping * (np.bincount(b, rank[a] * share, minlength=n) + rank[loose].sum() / n)
+            moved, rank = np.abs(new - rank).sum(), new
+            if tolerance is not None and moved < tolerance:
+                break
+        return pd.DataFrame({"page": names, "rank": rank})
+
+    rows = votes.select("page", F.col("target").cast("string").alias("target"), "share").unionByName(nodes.select("page", F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("share")))
+    return rows.withColumn("site", F.lit("all")).groupBy("site").applyInPandas(run, "page bigint, rank double")
+
+
+def pagerank(links: DataFrame, pages: DataFrame, damping: float = 0.85, steps: int = 100, tolerance: float | None = 1e-10, small: int = SMALL) -> DataFrame:
     """page, rank from 1/n until a round moves less than ``tolerance`` in all (None: exactly ``steps`` rounds).
 
-    Placeholders take part, dangling mass is spread evenly, repeated links are one vote. A round is one join on the linking
-    page and a pre-aggregated sum per target; the dangling mass is a scalar subquery of the same plan.
+    Placeholders take part, dangling mass is spread evenly, repeated links are one vote. Up to ``small`` votes one task
+    walks over arrays. Beyond, a round is one join on the linking page and a pre-aggregated sum per target; the dangling
+    mass is a scalar subquery of the same plan.
     """
     edges = links.where("source <> target").select("source", "target").distinct()
     out = edges.groupBy("source").agg(F.count("*").alias("out"))
     votes = materialize(edges.join(out, "source").select(F.col("source").alias("page"), "target", (1 / F.col("out")).alias("share")), "rank-votes")
     nodes = pages.select("page").union(votes.select(F.col("target").alias("page"))).distinct()
+    if votes.count() <= small:
+        return _walk_in_one(votes, nodes, damping, steps, tolerance)
     linking = materialize(nodes.join(votes.select("page").distinct().withColumn("links", F.lit(True)), "page", "left"), "rank-linking")
     n = linking.count()
     rank = linking.select("page", "links", F.lit(1.0 / max(n, 1)).alias("rank"))

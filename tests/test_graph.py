@@ -27,10 +27,11 @@ def test_depth_of_long_chains(spark):
     assert got == {i: i if i < 9 else i - 1 for i in range(last + 1)} | {50: None, 51: None}
 
 
-def test_pagerank_closed_form(spark):
+@pytest.mark.parametrize("small", [graph.SMALL, 0])
+def test_pagerank_closed_form(spark, small):
     pages = spark.createDataFrame([(1,), (2,), (3,)], "page long")
     links = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (2, 3)], "source long, target long")
-    got = {r["page"]: r["rank"] for r in graph.pagerank(links, pages).collect()}
+    got = {r["page"]: r["rank"] for r in graph.pagerank(links, pages, small=small).collect()}
     assert got == pytest.approx({1: 800 / 4049, 2: 1140 / 4049, 3: 2109 / 4049}, abs=1e-9)
 
 

@@ -515,12 +515,15 @@ def hub_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every page of the tenant brings to its pairs, stored once."""
+    """What every page of the tenant brings to its pairs."""
+    return tenant.stored(spark, sf_dir, "page-contexts", lambda: _built_contexts(spark, sf_dir))
+
+
+def _built_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, rows = tenant.pages(spark, sf_dir), search_rows(spark, sf_dir)
     strategic = tenant.strategic_rows(spark, sf_dir)
     signals = features.page_signals(pages, rows, strategic)
-    found = features.page_contexts(pages, signals, site_links(spark, sf_dir), tenant.page_metrics(spark, sf_dir), strategic, scoring.fitted_curve(rows))
-    return materialize(found, "page-contexts")
+    return features.page_contexts(pages, signals, site_links(spark, sf_dir), tenant.page_metrics(spark, sf_dir), strategic, scoring.fitted_curve(rows))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

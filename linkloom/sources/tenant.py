@@ -6,6 +6,8 @@ keywords, which a tenant brings along, are derived from ids.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ from linkloom.plans.scratch import materialize
 from linkloom.sources.site import search_rows, site_links, site_pages, table
 
 STEPS = 5
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What a stage of the tenant leaves behind for the queries after it: built by the first that asks, once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = materialize(build(), name)
+    return _stored[key]
 
 
 def strategic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +45,11 @@ def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The structure of every page, stored once: what the crawl and the graph stages leave behind."""
+    """The structure of every page: what the crawl and the graph stages leave behind."""
+    return stored(spark, sf_dir, "tenant-pages", lambda: _pages(spark, sf_dir))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     site, links = site_pages(spark, sf_dir), site_links(spark, sf_dir)
     rank = graph.pagerank(links, site, steps=STEPS, tolerance=None)
     known = site.select("page").join(rank.select("page", F.round("rank", 9).alias("rank")), "page")
@@ -46,13 +61,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     for other in (graph.structure(links, site), ranked, depth, pillar):
         base = base.join(other, "page", "left")
     p = F.col("page")
-    return materialize(
-        base.select(
-            "page", "language", "hub", "words", "inbound", "outbound", "rank_percentile", "depth", F.coalesce("is_pillar", F.lit(False)).alias("is_pillar"),
-            F.lit(None).cast("boolean").alias("is_orphan"), F.when(p % 13 > 0, p % 5).cast("int").alias("link_community"),
-            F.when(p % 4 > 0, p % 3).cast("int").alias("keyword_community"), F.when(p % 17 > 0, p % 7).cast("int").alias("content_community"),
-        ),
-        "tenant-pages",
+    return base.select(
+        "page", "language", "hub", "words", "inbound", "outbound", "rank_percentile", "depth", F.coalesce("is_pillar", F.lit(False)).alias("is_pillar"),
+        F.lit(None).cast("boolean").alias("is_orphan"), F.when(p % 13 > 0, p % 5).cast("int").alias("link_community"),
+        F.when(p % 4 > 0, p % 3).cast("int").alias("keyword_community"), F.when(p % 17 > 0, p % 7).cast("int").alias("content_community"),
     )
 
 

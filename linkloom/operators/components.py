@@ -1,7 +1,9 @@
 """Connected components of an edge table, without gathering edges on one machine.
 
-Every partition first contracts its own edges with union-find to spanning forests of at most ``HELD`` nodes. Then
-large-star and small-star steps alternate until the edge set no longer changes. Grouped minima are pre-aggregated. A node
+Every partition first contracts its own edges with union-find to spanning forests of at most ``HELD`` nodes. Forests of
+at most ``ONE`` edges are then joined by one task, which writes two tables in all; a loop over small tables mostly writes
+files, and a local file system starts processes for each of them. Of larger ones, large-star and small-star steps
+alternate until the edge set no longer changes. Grouped minima are pre-aggregated. A node
 with very many larger neighbours (the centre of a star) is joined under ``SALTS`` keys, its minimum once under each, so
 no task gets all its edges.
 """
@@ -20,6 +22,8 @@ from linkloom.plans.scratch import materialize
 
 #: Nodes that a contracting task holds at most; edges of a node that are dealt under salts; the number of salts.
 HELD, HOT, SALTS = 1_000_000, 1024, 64
+#: Edges that one task joins at most, so that it holds less than ``HELD`` nodes.
+ONE = 200_000
 
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,6 +52,15 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from forest()
 
 
+def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, component) of all edges of a table that fits one task; every root once, as its own component."""
+    known: set[int] = set()
+    for part in _contract(batches):
+        roots = set(part["v"].tolist()) - known
+        known |= roots
+        yield pd.DataFrame({"node": [*part["u"].tolist(), *roots], "component": [*part["v"].tolist(), *roots]}, dtype="int64")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours, linked to its smallest neighbour. ``edges`` run from the larger to the smaller end."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))  # nodes without a smaller neighbour are their own minimum
@@ -74,6 +87,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most: int
     """(node, component) for every node that has an edge; the component is its smallest node. Nodes are longs."""
     now = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u <> v")
     now = materialize(now.mapInPandas(_contract, "u bigint, v bigint"), "edges")  # the root is the smaller end
+    if now.count() <= min(ONE, HELD // 2):
+        return materialize(now.coalesce(1).mapInPandas(_labelled, "node bigint, component bigint"), "components")
     seen = None
     for _ in range(most):
         now = materialize(_small_star(_large_star(now)), "edges")

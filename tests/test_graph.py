@@ -56,6 +56,15 @@ def test_components_match_union_find(spark, monkeypatch, hot, held):
     assert {r["node"]: r["component"] for r in got} == {x: root(x) for x in linked}
 
 
+def test_small_components_write_few_tables(spark, monkeypatch):
+    names, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: names.append(name) or write(df, name))
+    edges = [(i, i + 1) for i in range(400)] + [(5000, 5000 + i) for i in range(1, 300)]
+    got = connected_components(spark.createDataFrame(edges, "u long, v long").repartition(9))
+    assert {r["node"]: r["component"] for r in got.collect()} == {i: 0 for i in range(401)} | {5000 + i: 5000 for i in range(300)}
+    assert got.count() == 701 and len(got.inputFiles()) == 1 and len(names) == 2
+
+
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 

@@ -105,3 +105,53 @@ ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach(a, b) AS (SELECT row_id, row_id FROM sizes UNION SELECT r.a, w.y FROM reach r JOIN ways w ON w.x = r.b),
 classes AS (SELECT r.a, min(s.doc_id) AS component_id FROM reach r JOIN sizes s ON s.row_id = r.b GROUP BY r.a)
 SELECT s.doc_id, s.n AS n_shingles, c.component_id, s.doc_id IS NOT DISTINCT FROM c.component_id AS kept FROM sizes s JOIN classes c ON c.a = s.row_id"""
+
+
+def filter_audit() -> str:
+    """Every part, order and step by counting its documents; orders are five letters picked without repeats."""
+    masks = " + ".join(f"CAST({x} AS INTEGER) * {1 << i}" for i, x in enumerate("abcde"))
+    bits = lambda text: "(" + " + ".join(f"CASE WHEN contains({text}, '{x}') THEN {1 << i} ELSE 0 END" for i, x in enumerate("ABCDE")) + ")"
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+firsts AS (SELECT text, min(doc_id) AS first FROM texts GROUP BY text),
+failed AS (
+  SELECT part, t.doc_id, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * len(regexp_replace(t.text, '[^A-Z]+', '', 'g')) > 5 * len(t.text) AS c,
+    regexp_matches(t.text, '[#$%&*|]') AS d, coalesce(t.doc_id > f.first, false) AS e FROM texts t JOIN firsts f ON f.text = t.text),
+judged AS (SELECT part, {masks} AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM failed f LEFT JOIN marks m ON m.doc_id = f.doc_id),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM judged GROUP BY part, mask),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, {bits("substr(filter_order, step, 1)")} AS own, {bits("substr(filter_order, 1, step - 1)")} AS gone FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+out_ AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN mask & (own | gone) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & own <> 0 AND mask & gone = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & own <> 0 AND mask & gone <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & own <> 0 AND mask & gone = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & own <> 0 AND mask & gone = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM out_"""
+
+
+def exact_top_k(k: int = 5, every: int = 50) -> str:
+    """All inner products of the stated queries, sorted."""
+    return f"""
+WITH whole AS (SELECT row_number() OVER () AS row_id, vec_id, embedding AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ints AS (SELECT row_id, vec_id, list_transform(v, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM whole),
+scored AS (SELECT q.row_id, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM ints q JOIN ints c ON c.row_id <> q.row_id AND len(c.v) = len(q.v) WHERE q.vec_id % {every} = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS r FROM scored) WHERE r <= {k}"""
+
+
+def ranked_search(k: int = 10) -> str:
+    """The score of every document for every item by its definition."""
+    terms = f"regexp_extract_all({_LOWER.format('text')}, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce({terms}, []) AS terms FROM documents),
+items AS (SELECT row_number() OVER () AS item_row, item_id, unnest({terms}) AS term FROM benchmark),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM docs WHERE len(terms) > 0),
+counted AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM items) GROUP BY row_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted, totals GROUP BY term, n_docs),
+lengths AS (SELECT row_id, doc_id, 100 - 75 + (75 * len(terms) * n_docs) // n_terms AS m FROM docs, totals WHERE len(terms) > 0),
+impacts AS (SELECT c.row_id, c.term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS impact FROM counted c JOIN weights USING (term) JOIN lengths l ON l.row_id = c.row_id),
+scored AS (SELECT item_row, any_value(item_id) AS item_id, row_id, CAST(sum(impact) AS BIGINT) AS score FROM items JOIN impacts USING (term) GROUP BY item_row, row_id)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id NULLS LAST, s.row_id) AS r FROM scored s JOIN lengths l ON l.row_id = s.row_id WHERE score > 0) WHERE r <= {k}"""

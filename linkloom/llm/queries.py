@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, html_extract, mixing, neardup, oracles, pii, pu_quality, quality_rules, toxicity, url_filter, warc
+from linkloom.llm import ball_tree, decontaminate, filter_audit, html_extract, lexical, mixing, neardup, oracles, pii, pu_quality, quality_rules, toxicity, url_filter, warc
 from linkloom.llm.sampling import fold
 
 
@@ -66,16 +66,31 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of five of the ten. Positions of overlapping patterns, page structure, learned models and rounded rates have none; tests use brute force."""
+    """SQL of eight of the thirteen. Positions of overlapping patterns, page structure, learned models and rounded rates have none; tests use brute force."""
     return {
         "op1_quality_rules": oracles.quality(),
         "op4_url_verdicts": oracles.urls(),
         "op5_benchmark_containment": oracles.containment(),
         "op7_warc_round_trip": oracles.archives(),
         "op10_near_duplicates": oracles.near_duplicates(),
+        "op11_filter_audit": oracles.filter_audit(),
+        "op12_exact_top_k": oracles.exact_top_k(),
+        "op13_ranked_search": oracles.ranked_search(),
     }

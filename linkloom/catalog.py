@@ -923,3 +923,7 @@ def site_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour"))
     return rows.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# The queries of the other module register themselves with these.
+from linkloom import catalog_scale  # noqa: E402, F401

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,58 +65,34 @@ def crawl_depth(links: DataFrame, pages: DataFrame, roots: list[int], together:
     return pages.select("page").join(reached, "page", "left")
 
 
-#: Votes that one task walks by itself.
-SMALL = 2_000_000
+def pagerank(links: DataFrame, pages: DataFrame, damping: float = 0.85, steps: int = 100, tolerance: float | None = 1e-10, by: tuple[str, ...] = ()) -> DataFrame:
+    """page, rank from 1/n until a round moves less than ``tolerance`` in all, which every fourth is asked (None: exactly ``steps`` rounds).
 
-
-def _walk_in_one(votes: DataFrame, nodes: DataFrame, damping: float, steps: int, tolerance: float | None) -> DataFrame:
-    """The rounds of :func:`pagerank` over arrays in one task; its size is bounded by ``SMALL`` votes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = pdf[pdf["target"].notna()]
-        names = np.unique(pdf["page"].to_numpy())
-        n = len(names)
-        a, b = np.searchsorted(names, edges["page"].to_numpy()), np.searchsorted(names, edges["target"].to_numpy().astype("int64"))
-        share, rank = edges["share"].to_numpy(float), np.full(n, 1.0 / n)
-        loose = np.ones(n, dtype=bool)
-        loose[a] = False
-        for _ in range(steps):
-            new = (1 - damping) / n + damping * (np.bincount(b, rank[a] * share, minlength=n) + rank[loose].sum() / n)
-            moved, rank = np.abs(new - rank).sum(), new
-            if tolerance is not None and moved < tolerance:
-                break
-        return pd.DataFrame({"page": names, "rank": rank})
-
-    rows = votes.select("page", F.col("target").cast("string").alias("target"), "share").unionByName(nodes.select("page", F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("share")))
-    return rows.withColumn("site", F.lit("all")).groupBy("site").applyInPandas(run, "page bigint, rank double")
-
-
-def pagerank(links: DataFrame, pages: DataFrame, damping: float = 0.85, steps: int = 100, tolerance: float | None = 1e-10, small: int = SMALL) -> DataFrame:
-    """page, rank from 1/n until a round moves less than ``tolerance`` in all (None: exactly ``steps`` rounds).
-
-    Placeholders take part, dangling mass is spread evenly, repeated links are one vote. Up to ``small`` votes one task
-    walks over arrays. Beyond, a round is one join on the linking page and a pre-aggregated sum per target; the dangling
-    mass is a scalar subquery of the same plan.
+    Placeholders take part, dangling mass is spread evenly, repeated links are one vote. A round is one join on the linking
+    page and a pre-aggregated sum per target; the dangling mass is a scalar subquery of the same plan. With ``by``, columns of
+    both tables that are not null, every group is a graph of its own, and one loop walks them all until none moves.
     """
-    edges = links.where("source <> target").select("source", "target").distinct()
-    out = edges.groupBy("source").agg(F.count("*").alias("out"))
-    votes = materialize(edges.join(out, "source").select(F.col("source").alias("page"), "target", (1 / F.col("out")).alias("share")), "rank-votes")
-    nodes = pages.select("page").union(votes.select(F.col("target").alias("page"))).distinct()
-    if votes.count() <= small:
-        return _walk_in_one(votes, nodes, damping, steps, tolerance)
-    linking = materialize(nodes.join(votes.select("page").distinct().withColumn("links", F.lit(True)), "page", "left"), "rank-linking")
-    n = linking.count()
-    rank = linking.select("page", "links", F.lit(1.0 / max(n, 1)).alias("rank"))
+    by = list(by)
+    edges = links.where("source <> target").select(*by, "source", "target").distinct()
+    out = edges.groupBy(*by, "source").agg(F.count("*").alias("out"))
+    votes = materialize(edges.join(out, [*by, "source"]).select(*by, F.col("source").alias("page"), "target", (1 / F.col("out")).alias("share")), "rank-votes")
+    nodes = pages.select(*by, "page").union(votes.select(*by, F.col("target").alias("page"))).distinct()
+    linking = materialize(nodes.join(votes.select(*by, "page").distinct().withColumn("links", F.lit(True)), [*by, "page"], "left"), "rank-linking")
+    linking = linking.join(linking.groupBy(*by).agg(F.count("*").alias("n")), by) if by else linking.withColumn("n", F.lit(linking.count()))
+    state = [*by, "page", "links", "n"]
+    rank = materialize(linking.select(*state, (F.lit(1.0) / F.col("n")).alias("rank")), "rank")
     for step in range(steps):
-        loose = rank.where("links is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
-        moved = rank.join(votes, "page").groupBy(F.col("target").alias("page")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)
-        before, rank = rank, materialize(rank.select("page", "links", F.col("rank").alias("old")).join(moved, "page", "left").select("page", "links", new.alias("rank"), "old"), "rank")
-        if step:
-            release(before)
-        if tolerance is not None and (rank.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tolerance:
+        idle = F.coalesce(F.sum(F.when(F.col("links").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")
+        moved = rank.join(votes, [*by, "page"]).groupBy(*by, F.col("target").alias("page")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        known = rank.select(*state, F.col("rank").alias("old")).join(moved, [*by, "page"], "left")
+        known = known.join(rank.groupBy(*by).agg(idle), by) if by else known.withColumn("loose", rank.agg(idle).scalar())
+        new = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))
+        before, rank = rank, materialize(known.select(*state, new.alias("rank"), "old"), "rank")
+        release(before)
+        change = rank.groupBy(*by).agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved"))
+        if tolerance is not None and step % 4 == 3 and (change.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             break
-    return rank.select("page", "rank")
+    return rank.select(*by, "page", "rank")
 
 
 def _over_budget(counts: DataFrame, budget: int) -> DataFrame:
@@ -181,15 +155,3 @@ def hub_pillars(pages: DataFrame, ranks: DataFrame | None = None, least: int = 1
     near = near.join(ranks.select("page", "rank"), "page", "left") if ranks is not None else near.withColumn("rank", F.lit(0.0))
     best = near.groupBy("hub").agg(F.max(F.struct("cosine", F.coalesce("rank", F.lit(0.0)).alias("rank"), (-F.col("page")).alias("p"))).alias("b"))
     return best.select("hub", (-F.col("b.p")).alias("page"), F.col("b.cosine").alias("cosine"))
-
-
-def hub_pairs(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Ordered pairs of hubs with distinct links between them, pages linking out, and link density; noise left out."""
-    hubs = pages.where("hub >= 0").select("page", "hub", "language")
-    sizes = hubs.groupBy("hub").agg(F.count("*").alias("size"))
-    a = hubs.select(F.col("page").alias("source"), F.col("hub").alias("hub_a"), F.col("language").alias("la"))
-    b = hubs.select(F.col("page").alias("target"), F.col("hub").alias("hub_b"), F.col("language").alias("lb"))
-    edges = links.select("source", "target").distinct().join(a, "source").join(b, "target").where("hub_a <> hub_b and la = lb")
-    found = edges.groupBy("hub_a", "hub_b").agg(F.count("*").alias("links"), F.count_distinct("source").alias("linking_pages"))
-    sized = found.join(sizes.select(F.col("hub").alias("hub_a"), F.col("size").alias("size_a")), "hub_a").join(sizes.select(F.col("hub").alias("hub_b"), F.col("size").alias("size_b")), "hub_b")
-    return sized.withColumn("density", F.round(F.col("links") / (F.col("size_a") * F.col("size_b")), 6))

@@ -27,12 +27,16 @@ def test_depth_of_long_chains(spark):
     assert got == {i: i if i < 9 else i - 1 for i in range(last + 1)} | {50: None, 51: None}
 
 
-@pytest.mark.parametrize("small", [graph.SMALL, 0])
-def test_pagerank_closed_form(spark, small):
+def test_pagerank_closed_form(spark):
     pages = spark.createDataFrame([(1,), (2,), (3,)], "page long")
     links = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (2, 3)], "source long, target long")
-    got = {r["page"]: r["rank"] for r in graph.pagerank(links, pages, small=small).collect()}
-    assert got == pytest.approx({1: 800 / 4049, 2: 1140 / 4049, 3: 2109 / 4049}, abs=1e-9)
+    want = {1: 800 / 4049, 2: 1140 / 4049, 3: 2109 / 4049}
+    assert {r["page"]: r["rank"] for r in graph.pagerank(links, pages).collect()} == pytest.approx(want, abs=1e-9)
+    # Two graphs side by side walk as they would alone.
+    both = [d.withColumn("side", F.lit("a")).unionByName(d.where(F.col(c) != 2).withColumn("side", F.lit("b"))) for d, c in ((links, "source"), (pages, "page"))]
+    got = graph.pagerank(both[0].where("side = 'a' or target <> 2"), both[1], by=("side",)).collect()
+    assert {r["page"]: r["rank"] for r in got if r["side"] == "a"} == pytest.approx(want, abs=1e-9)
+    assert {r["page"]: r["rank"] for r in got if r["side"] == "b"} == pytest.approx({1: 20 / 57, 3: 37 / 57}, abs=1e-9)
 
 
 @pytest.mark.parametrize(("hot", "held"), [(1024, 1_000_000), (8, 20)])

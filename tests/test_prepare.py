@@ -47,6 +47,43 @@ def test_small_parts():
         M.clean("x", "ftp://a.test")
 
 
+def body(text, **known):
+    return M.clean(text, "https://www.shop.test/blog/post/", **known).body
+
+
+def test_blocks():
+    assert body("Report\n======\n\nInside\n------\n\nText.\n\n* * *\n\n---\nEnd") == "Report\n\nInside\n\nText.\n\nEnd"
+    assert M.clean("Report\n======\n\nInside\n------\n\n### Sub ###\nx\n\n---\n\ny", "https://a.test").headings == [(1, "Report"), (2, "Inside"), (3, "Sub")]
+    assert body("*   *   Nested\n> “Quote”\n1. One\n- two\n^ up\n• dot\n☐ box\n– dash\n*   **Tools\n    ** – live") == "Nested\n“Quote”\nOne\ntwo\nup\ndot\nbox\ndash\nTools\nlive"
+    assert body("|   |   |\n| --- | :---: |\n| a | **b** |\n|c|d|") == "a; b\nc; d"
+    assert body("one\n\n\n\ntwo\n, three\n;\n.\n.NET four") == "one\n\ntwo, three\n.NET four"
+    assert body("› trail\n\nBody\n#notag\n1984. was a year") == "Body\n#notag\n1984. was a year"
+
+
+def test_inlines():
+    assert body("**A**: the *k* __p__ and _n_, `%w%\\S\\x`<br>Set &amp; HK\\_L\\_M 2*3*4 x_y_z ***b*** **open") == "A: the k p and n, %w%\\S\\x Set & HK_L_M 2*3*4 x_y_z b open"
+    assert body("See https://x.test/a?b=1 or <https://x.test> or www.x.test now, a < b > c") == "See or or now, a < b > c"
+    assert body("In ![cover](/a.png) text\n[![icon](data:image/svg+xml,%3Csvg%20v='0%200'%3E)](/install/)\nstray tail]( ) here\npa\u200btch\ufeff \ufffdnow") == "In text\nstray tail here\npatch now"
+    got = M.clean("Read [**Bold** guide](/g/#s) now. Then [t](https://w.test/P_(c) \"W\") [m](mailto:a@b.c) [top](#top) [a [in](/in) b](/out) [x][y] [open", "https://www.shop.test/p")
+    assert got.body == "Read Bold guide now. Then t m top [a in b](/out) [x][y] [open"
+    assert got.links == [
+        ("https://www.shop.test/g/", "Bold guide", "Read Bold guide now.", True), ("https://w.test/P_(c)", "t", "Then t m top [a in b](/out) [x][y] [open", False), ("https://www.shop.test/in", "in", "Then t m top [a in b](/out) [x][y] [open", True),
+    ]
+    assert body("[[" * 20_000 + "x" + "](y)" * 20_000).startswith("[") and body("*" * 30_000 + "a_" * 30_000)
+    text = body("# T\n\n**A** [b](/b/) ![i](/i.png) https://x.com\n\n| c | d |")
+    assert body(text) == text
+
+
+def test_template_lines_by_zone():
+    root, banner, related = "[Home](https://www.shop.test/)", "**Try it free for 30 days.** [Sign up](/signup/)", "[New](/blog/) [Old](/blog/?page=2) [Partner](https://o.test/) [Mail](mailto:a@b.c) [](/e/) ![l](/l.png) [Top](#t)"
+    page = "\n".join([root, " 5 [Blog](/blog/)", "› [Guides](/g/) › Guide", "", "# Guide", "Read [notes](/n/).", root, "Last words.", "", banner, related])
+    got = M.clean(page, "https://www.shop.test/blog/post/", frozenset(M.template_key(x) for x in (root, banner, related)))
+    assert got.body == "Guide\nRead notes.\nLast words."
+    assert [(z, t.removeprefix("https://www.shop.test")) for t, z in got.template] == [("menu", "/"), ("menu", "/blog/"), ("menu", "/g/"), ("menu", "/"), ("footer", "/signup/"), ("footer", "/blog/"), ("footer", "/blog/?page=2")]
+    assert {z for _, z in M.clean(root, "https://www.shop.test/x", frozenset({M.template_key(root)})).template} == {"menu"}
+    assert [M.is_navigation(x) for x in ("*   [A](https://x.test/a/)", "5 [Blog](/b/)", "### By P", "- Topic", "A [link](/x) inside.", "Plain text.")] == [True] * 4 + [False] * 2
+
+
 def test_a_crawl(spark):
     menu = "[Start page of shop](/) menu"
     rows = [(f"https://www.shop.test/p{i}", f"T{i}", f"{menu}\n# Page {i}\nText number {i} is here, see [next](/p{i + 1}).", 200, True) for i in range(6)]

@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted: the span of the ids is cut into equal intervals, as many as give ``shard_rows`` records each
-on average; an interval is a shard, and a shard is sorted by ``page_id``.
+Records are range-sorted: every ``shard_rows``-th row in the order of ``page_id`` and payload digest begins a shard, so
+shards are even however the ids lie, and the same rows give the same shards. A shard is sorted in that order.
 Each record is one gzip member with regenerated headers, dates and digests, so the same rows give the same bytes. A
 shard rolls to a new file before a record would lift the compressed file over ``roll_bytes``. Tasks write to temporary
 names that carry a random part and report them in a manifest table; only files of that manifest are renamed to their
@@ -23,20 +23,25 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.arrow import slices
+from linkloom.operators.percentiles import places
 from linkloom.plans.scratch import materialize, new_path
 
 #: Fixed, so that a rewrite of the same rows gives the same bytes.
 DATE = "1970-01-01T00:00:00Z"
 #: Tasks of the range sort at most; beyond that a task writes several shards, one after another.
 MOST_TASKS = 20_000
+#: Shards at most; of more rows, a shard takes more.
+MOST_SHARDS = 20_000
 #: Namespace of the record ids.
 NAMESPACE = uuid.UUID("6f1d3a0e-3c9b-5a52-9f0b-8f1f6f0c2d11")
 FILE_SCHEMA = "shard bigint, roll int, temporary string, name string, records bigint, bytes bigint, sha256 string"
@@ -80,10 +85,15 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def plan_revisits(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
-    """(page_id, digest, first) of every revisit record. Only ids and digests move; groups are pre-aggregated."""
+def payload_keys(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, size) of every row, stored: all that planning moves."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size")).where(F.col("size") >= min_revisit)
+    return materialize(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size")), "warc-keys")
+
+
+def plan_revisits(keys: DataFrame, min_revisit: int = 100) -> DataFrame:
+    """(page_id, digest, first) of every revisit record, from :func:`payload_keys`. Groups are pre-aggregated."""
+    rows = keys.where(F.col("size") >= min_revisit).select("page_id", "digest")
     firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
     found = rows.join(firsts, F.col("digest") == F.col("d")).where(~F.col("page_id").eqNullSafe(F.col("first")))
     return found.select("page_id", "digest", "first").distinct()
@@ -154,31 +164,44 @@ def _commit_files(root: str):
     return commit
 
 
-def _shard_of(pages: DataFrame, shard_rows: int) -> tuple:
-    """The shard of a row as a column of page_id and digest, and the number of shards."""
-    seen = pages.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.count("page_id").alias("n"), F.count("*").alias("all")).first()
-    many, nulls = max(1, -(-seen["n"] // shard_rows)), -(-(seen["all"] - seen["n"]) // shard_rows)
-    lo, hi = (seen["lo"], seen["hi"]) if seen["n"] else (0, 0)
-    width = -(-(hi - lo + 1) // many)
-    wide = lambda x: F.lit(str(x)).cast("decimal(20,0)")
-    own = F.floor((F.col("page_id").cast("decimal(20,0)") - wide(lo)) / wide(width)).cast("long")
-    dealt = -1 - F.pmod(F.xxhash64("digest"), F.lit(max(1, nulls)))
-    return F.coalesce(own, dealt).cast("long"), many + nulls
+def _shard_of(keys: DataFrame, shard_rows: int) -> tuple[Column, Column, int]:
+    """The shard of a row as a column of page_id and digest, its place among all shards, and their number.
+
+    Rows are placed exactly, from ids and digests alone; the first row of every shard, at most ``MOST_SHARDS``, goes to the
+    tasks. Rows without an id have shards behind the others, dealt by digest.
+    """
+    seen = keys.agg(F.count("page_id").alias("n"), F.count("*").alias("all")).first()
+    nulls = -(-(seen["all"] - seen["n"]) // shard_rows)
+    size = max(shard_rows, -(-seen["n"] // MOST_SHARDS))
+    placed = places(keys.where("page_id is not null").select("page_id", "digest"), [F.col("page_id"), F.col("digest")])
+    bounds = placed.where((F.col("place") - 1) % size == 0).orderBy("place").select("page_id", "digest").toArrow()
+    ids, digests = bounds["page_id"].to_numpy(), bounds["digest"].to_pylist()
+
+    def find(page: pa.Array, digest: pa.Array) -> pa.Array:
+        own = page.fill_null(0).to_numpy(zero_copy_only=False)
+        low, high = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+        for i in np.flatnonzero(high > low):  # shards that begin within one id
+            high[i] = bisect_right(digests, digest[i].as_py(), low[i], high[i])
+        return pa.array(np.maximum(high, 1) - 1, mask=page.is_null().to_numpy(zero_copy_only=False), type=pa.int64())
+
+    shard = F.coalesce(F.arrow_udf(find, "bigint")("page_id", "digest"), -1 - F.pmod(F.xxhash64("digest"), F.lit(max(1, nulls))))
+    return shard, F.when(F.col("shard") >= 0, F.col("shard")).otherwise(len(ids) - 1 - F.col("shard")), len(ids) + nulls
 
 
 def write_archives(pages: DataFrame, root: str, shard_rows: int = 2000, roll_bytes: int = 32 << 20, min_revisit: int = 100) -> DataFrame:
     """Writes ``pages`` below ``root`` and returns the committed manifest (also stored there as ``manifest``).
 
-    A task holds one slice of a batch and one open file. There are as many tasks as shards, up to ``MOST_TASKS``.
+    A task holds one slice of a batch and one open file. Every shard is a task of its own, up to ``MOST_TASKS``.
     """
-    spark = pages.sparkSession
-    shard, shards = _shard_of(pages, shard_rows)
+    spark, keys = pages.sparkSession, payload_keys(pages)
+    shard, place, shards = _shard_of(keys, shard_rows)
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.lit(None).cast("long").alias("first"), F.lit(True).alias("written"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.lit(None).cast("long").alias("first"), F.lit(True).alias("written"))
     # A mark sorts right before the page that it turns into a revisit, so the texts move once, for the range sort.
-    marks = plan_revisits(pages, min_revisit).select("page_id", F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), "digest", "first", F.lit(False).alias("written"))
-    tasks = min(MOST_TASKS, max(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = rows.unionByName(marks).withColumn("shard", shard).repartition(tasks, "shard")
+    marks = plan_revisits(keys, min_revisit).select("page_id", F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), "digest", "first", F.lit(False).alias("written"))
+    tasks = min(MOST_TASKS, max(1, shards))
+    dealt = rows.unionByName(marks).withColumn("shard", shard)
+    dealt = dealt.repartitionById(tasks, F.call_function("div", place * tasks, F.lit(max(1, shards))).cast("int"))
     dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "written", "url")
     written = materialize(dealt.mapInArrow(_write_shards(root, roll_bytes), FILE_SCHEMA), "warc-written")
     committed = written.repartition(min(tasks, MOST_TASKS), "name").mapInArrow(_commit_files(root), FILE_SCHEMA).drop("temporary")

@@ -26,6 +26,8 @@ import html
 import re
 from bisect import bisect_right
 from collections import Counter
+from heapq import heappop, heappush
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,6 @@ from linkloom.llm.arrow import map_text
 WINDOW, SURGE = 3, 60
 #: Weight of a window, and share of links in it, from which an element with a weak word is prose.
 PROSE, LINKED = 180, 0.25
-#: Judged elements within each other; further ones go with those around them.
-NESTED = 16
 #: Elements whose content is no text, and elements that are never part of an article.
 RAW = frozenset("script style noscript template textarea title iframe svg object math".split())
 DROPPED = frozenset("head nav footer aside button select dialog menu audio video canvas".split())
@@ -157,10 +157,10 @@ def to_lines(page: str) -> list[tuple[str, int, int]]:
     """(text, characters of links in it, container or -1) of every line, in page order, boilerplate elements cut."""
     tokens = _tokens(page)
     ends = _ends(tokens)
-    lines: list[tuple[str, int, int, tuple[int, ...]]] = []
-    groups: list[tuple[str, bool, bool]] = []  # kind, whether it holds an unmarked container, whether within one
+    lines: list[tuple[str, int, int]] = []
+    groups: list[list] = []  # kind, whether it holds an unmarked container, whether within one, its first line, the line behind its last
     text: list[str] = []
-    inside: list[tuple[int, int]] = []  # (group, end) of the judged elements that are open
+    inside: list[tuple[int, int]] = []  # (end, group) of the judged elements that are open, as a heap
     held: list[tuple[int, int]] = []  # (container, end)
     links: list[int] = []
     linked = containers = 0
@@ -171,7 +171,7 @@ def to_lines(page: str) -> list[tuple[str, int, int]]:
         nonlocal text, linked
         line = " ".join("".join(text).split())
         if line:
-            lines.append((line, linked, held[-1][0] if held else -1, tuple(g for g, _ in inside)))
+            lines.append((line, linked, held[-1][0] if held else -1))
         text, linked = [], 0
 
     def first_plain(start: int, end: int) -> int | None:
@@ -179,9 +179,12 @@ def to_lines(page: str) -> list[tuple[str, int, int]]:
         return plain[at] if at < len(plain) and plain[at] < end else None
 
     for i, (kind, tag, what) in enumerate(tokens):
-        if inside and inside[-1][1] <= i or held and held[-1][1] <= i:
+        if inside and inside[0][0] <= i or held and held[-1][1] <= i:
             flush()
-            inside, held = [x for x in inside if x[1] > i], [x for x in held if x[1] > i]
+            while inside and inside[0][0] <= i:
+                groups[heappop(inside)[1]][4] = len(lines)
+            while held and held[-1][1] <= i:
+                held.pop()
         if i < skip:
             continue
         if kind == TEXT:
@@ -213,43 +216,51 @@ def to_lines(page: str) -> list[tuple[str, int, int]]:
         if tag in ("html", "body", "main"):
             marks = set()
         if comments or tag == "form" or marks & (STRONG | WEAK):
-            if not (tag == "header" and held) and len(inside) < NESTED:
+            if not (tag == "header" and held):
                 flush()
                 kind_ = "comments" if comments else "strong" if tag == "form" or marks & STRONG else "weak"
-                groups.append((kind_, inner is not None and inner < end, bool(held)))
-                inside.append((len(groups) - 1, end))
+                heappush(inside, (end, len(groups)))
+                groups.append([kind_, inner is not None and inner < end, bool(held), len(lines), None])
         if tag in CONTAINERS:
             containers += 1
             held.append((held[-1][0] if held else containers, ends[i][0]))
     flush()
-    cut = _cut(lines, groups)
-    return [(t, n, c) for t, n, c, g in lines if not cut.intersection(g)]
+    gone = _cut(lines, groups)
+    return [x for x, g in zip(lines, gone, strict=True) if not g]
 
 
 def _weight(text: str, linked: int) -> float:
     return len(text) - min(len(text), linked) * 0.9
 
 
-def _cut(lines: list[tuple[str, int, int, tuple[int, ...]]], groups: list[tuple[str, bool, bool]]) -> set[int]:
-    """The judged elements whose lines go."""
-    total = sum(_weight(t, n) for t, n, _, _ in lines)
-    some = any(c >= 0 for _, _, c, g in lines if not any(groups[x][0] == "comments" for x in g))
-    own: list[list[tuple[str, int]]] = [[] for _ in groups]
-    for t, n, _, g in lines:
-        for x in g:
-            own[x].append((t, n))
-    cut = set()
-    for x, (kind, wraps, within) in enumerate(groups):
-        weights = [_weight(t, n) for t, n in own[x]]
-        chars = sum(len(t) for t, _ in own[x])
-        density = sum(min(n, len(t)) for t, n in own[x]) / chars if chars else 0.0
-        if wraps or (kind != "comments" and (within or not some) and 2 * sum(weights) > total and density < 0.5):
+def _covered(n: int, spans: list[tuple[int, int]]) -> list[bool]:
+    """Which of ``n`` lines lie in one of the spans."""
+    steps = [0] * (n + 1)
+    for a, b in spans:
+        steps[a] += 1
+        steps[b] -= 1
+    return [depth > 0 for depth in accumulate(steps[:n])]
+
+
+def _cut(lines: list[tuple[str, int, int]], groups: list[list]) -> list[bool]:
+    """Whether a line goes with a judged element that is cut. An element's lines are a run, so sums come from running totals."""
+    weights = [_weight(t, n) for t, n, _ in lines]
+    weight, chars, links = (list(accumulate(x, initial=0)) for x in (weights, [len(t) for t, _, _ in lines], [min(n, len(t)) for t, n, _ in lines]))
+    window = [weight[min(len(lines), i + WINDOW)] - weight[i] for i in range(len(lines))]
+    spans = [(a, len(lines) if b is None else b) for *_, a, b in groups]
+    comments = _covered(len(lines), [x for x, g in zip(spans, groups, strict=True) if g[0] == "comments"])
+    some = any(c >= 0 and not hidden for (_, _, c), hidden in zip(lines, comments, strict=True))
+    cut = []
+    for (a, b), (kind, wraps, within, *_) in zip(spans, groups, strict=True):
+        own = weight[b] - weight[a]
+        density = (links[b] - links[a]) / (chars[b] - chars[a]) if chars[b] > chars[a] else 0.0
+        if wraps or (kind != "comments" and (within or not some) and 2 * own > weight[-1] and density < 0.5):
             continue
-        best = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
+        best = max(window[a : b - WINDOW + 1]) if b - a >= WINDOW else own
         if kind == "weak" and (within or not some) and best >= PROSE and density < LINKED:
             continue
-        cut.add(x)
-    return cut
+        cut.append((a, b))
+    return _covered(len(lines), cut)
 
 
 def stretches(weight: list[float], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:

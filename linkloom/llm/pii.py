@@ -67,10 +67,16 @@ KINDS = {
 }
 
 
+#: Matches whose positions are summed in one piece.
+PIECE = 256
+
+
 def _spans(text: Column, pattern: Column) -> Column:
-    """(start, end, value) of the leftmost matches that do not overlap; code points, end exclusive."""
+    """(start, end, value) of the leftmost matches that do not overlap; code points, end exclusive.
+
+    Appending to an array copies it, so matches are listed in pieces of ``PIECE``, and the pieces joined at the end.
+    """
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["pos"] + F.length(x["gap"])
@@ -78,7 +84,20 @@ def _spans(text: Column, pattern: Column) -> Column:
         one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("value")))
         return F.struct(end.alias("pos"), F.when(x["match"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    def piece(found: Column):
+        def add(acc: Column, at: Column) -> Column:
+            start = F.struct(acc["pos"].alias("pos"), F.array().cast(SPAN).alias("out"))
+            own = F.aggregate(F.slice(found, at, F.lit(PIECE)), start, step)
+            return F.aggregate(F.array(own), acc, lambda _, x: F.struct(x["pos"].alias("pos"), F.concat(acc["parts"], F.array(x["out"])).alias("parts")))
+
+        return add
+
+    def listed(found: Column) -> Column:
+        start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("parts"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(found), F.lit(PIECE)), start, piece(found), lambda acc: F.flatten(acc["parts"]))
+
+    # The matches are an element of an array here, so that they are found once and not again for each piece.
+    return F.get(F.transform(F.array(both), listed), 0)
 
 
 def _kind_spans(text: Column, kind: str) -> Column:

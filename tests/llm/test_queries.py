@@ -1,4 +1,4 @@
-"""The ten queries as registered: against DuckDB where there is SQL, and their digests against plain Python where there is none."""
+"""The queries as registered: against DuckDB where there is SQL, and their digests against plain Python where there is none."""
 
 import hashlib
 import re
@@ -16,7 +16,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import url as U
 from linkloom.functions import vector as V
+from linkloom.functions.terms import GENERIC
 from linkloom.operators import anchors, audit, bridges, communities, evaluation, features, graph, keywords, listings, percentiles, recommend, retrieval, scoring, semantic, text_tables
 from linkloom.plans.scratch import materialize
 from linkloom.sources import site, tenant
@@ -219,27 +220,55 @@ def hub_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("language", "hub_a", "hub_b", "size_a", "size_b", "pages_ab", "pages_ba", *[F.round(c, 6).alias(c) for c in ("density", "cosine", "query_jaccard", "gap")])
 
 
-@query(f"""{_HUBS}, ends AS (SELECT language, hub_a, hub_b, hub_a AS own, hub_b AS other, cosine FROM gapped UNION ALL SELECT language, hub_a, hub_b, hub_b, hub_a, cosine FROM gapped),
+_COVERED = f"""{_HUBS}, ends AS (SELECT language, hub_a, hub_b, hub_a AS own, hub_b AS other, cosine FROM gapped UNION ALL SELECT language, hub_a, hub_b, hub_b, hub_a, cosine FROM gapped),
 near2 AS (SELECT DISTINCT language, hub_a, hub_b FROM (SELECT *, row_number() OVER (PARTITION BY language, own ORDER BY cosine DESC, other) AS r FROM ends) WHERE r <= 2),
-wide3 AS (SELECT language, hub_a, hub_b FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY gap DESC, hub_a, hub_b) AS r FROM gapped) WHERE r <= 3)
-SELECT g.language, g.hub_a, g.hub_b, n.hub_a IS NOT NULL AS nearest, w.hub_a IS NOT NULL AS widest FROM gapped g
-LEFT JOIN near2 n ON n.language = g.language AND n.hub_a = g.hub_a AND n.hub_b = g.hub_b LEFT JOIN wide3 w ON w.language = g.language AND w.hub_a = g.hub_a AND w.hub_b = g.hub_b""")
+wide3 AS (SELECT language, hub_a, hub_b FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY gap DESC, hub_a, hub_b) AS r FROM gapped) WHERE r <= 3),
+numbered AS (SELECT language, hub_a, hub_b, row_number() OVER (PARTITION BY language ORDER BY cosine DESC, hub_a, hub_b) AS n FROM gapped),
+nearer(language, n, goal, hub) AS (SELECT language, n, hub_b, hub_a FROM numbered UNION SELECT r.language, r.n, r.goal, CASE WHEN e.hub_a = r.hub THEN e.hub_b ELSE e.hub_a END FROM nearer r JOIN numbered e ON e.language = r.language AND e.n < r.n AND r.hub IN (e.hub_a, e.hub_b)),
+covered AS (
+  SELECT g.*, NOT EXISTS (SELECT 1 FROM nearer r WHERE r.language = g.language AND r.n = x.n AND r.hub = r.goal) AS tree, n.hub_a IS NOT NULL AS nearest, w.hub_a IS NOT NULL AS widest FROM gapped g JOIN numbered x ON x.language = g.language AND x.hub_a = g.hub_a AND x.hub_b = g.hub_b
+  LEFT JOIN near2 n ON n.language = g.language AND n.hub_a = g.hub_a AND n.hub_b = g.hub_b LEFT JOIN wide3 w ON w.language = g.language AND w.hub_a = g.hub_a AND w.hub_b = g.hub_b)"""
+
+
+@query(f"{_COVERED} SELECT language, hub_a, hub_b, tree, nearest, widest FROM covered")
 def covered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bridges.covered_pairs(_hub_pairs(spark, sf_dir)[0])
-    return found.select("language", "hub_a", "hub_b", F.array_contains("reasons", "NEAREST_HUB").alias("nearest"), F.array_contains("reasons", "BRIDGE_GAP").alias("widest"))
+    return found.select("language", "hub_a", "hub_b", *[F.array_contains("reasons", r).alias(n) for r, n in zip(bridges.REASONS, ("tree", "nearest", "widest"), strict=True)])
 
 
-@query()
+_WAYS = """
+ways AS (SELECT language, hub_a AS hub_from, hub_b AS hub_to, size_a AS size, pages_ab AS have, {0} FROM {1} UNION ALL SELECT language, hub_b, hub_a, size_b, pages_ba, {0} FROM {1}),
+slotted AS (SELECT *, greatest(1, CAST(ceil(round(0.05 * size, 9)) AS BIGINT)) - have AS slots FROM ways)"""
+
+
+@query(f"""{_COVERED}, {_WAYS.format("concat_ws(',', CASE WHEN tree THEN 'SPANNING_TREE' END, CASE WHEN nearest THEN 'NEAREST_HUB' END, CASE WHEN widest THEN 'BRIDGE_GAP' END) AS reasons", "(SELECT * FROM covered WHERE tree OR nearest OR widest)")},
+copies AS (SELECT page FROM (SELECT page, min(page) OVER (PARTITION BY sha256(body), language) AS first FROM site_pages) WHERE page <> first),
+members AS (SELECT p.page, p.language, p.hub, p.rank_percentile, p.outbound, p.words, s.vector FROM tenant_pages p JOIN site_pages s ON s.page = p.page WHERE p.hub >= 0 AND p.page NOT IN (SELECT page FROM copies)),
+free AS (SELECT w.*, m.page AS source, m.vector AS vs, m.rank_percentile, m.outbound FROM slotted w JOIN members m ON m.language = w.language AND m.hub = w.hub_from
+  WHERE w.slots > 0 AND NOT EXISTS (SELECT 1 FROM crossings c WHERE c.source = m.page AND c.hub_to = w.hub_to)),
+tried AS (SELECT f.*, t.page AS target, round(list_dot_product(f.vs, t.vector) / (sqrt(list_dot_product(f.vs, f.vs)) * sqrt(list_dot_product(t.vector, t.vector))), 6) AS similarity FROM free f JOIN members t ON t.language = f.language AND t.hub = f.hub_to WHERE t.words >= 100),
+best AS (SELECT *, row_number() OVER (PARTITION BY language, hub_from, hub_to, source ORDER BY similarity DESC, target) AS rank FROM tried QUALIFY rank <= 3),
+chosen AS (SELECT language, hub_from, hub_to, source, row_number() OVER (PARTITION BY language, hub_from, hub_to ORDER BY round(CAST(similarity AS DECIMAL(9, 6)), 2) DESC, rank_percentile DESC NULLS LAST, outbound, source) AS slot, slots FROM best WHERE rank = 1 QUALIFY slot <= slots)
+SELECT b.language, b.hub_from, b.hub_to, CAST(c.slot AS INTEGER) AS slot, CAST(b.rank AS INTEGER) AS rank, b.source, b.target, b.similarity, b.reasons FROM best b JOIN chosen c ON c.language = b.language AND c.hub_from = b.hub_from AND c.hub_to = b.hub_to AND c.source = b.source""")
 def bridge_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bridges into pages of a hundred words or more; copies of other pages neither give nor take any."""
     pairs, pages = _hub_pairs(spark, sf_dir)
-    targets, copies = pages.where(F.col("page") % 9 > 0).select("page"), pages.where(F.col("page") % 25 == 3).select("page")
-    return bridges.bridge_links(bridges.covered_pairs(pairs), pages, site_links(spark, sf_dir), targets, copies)
+    targets = tenant.pages(spark, sf_dir).where("words >= 100").select("page")
+    copies = text_tables.duplicate_groups(site_pages(spark, sf_dir), "page", "body", "language").where("page <> canonical").select("page")
+    found = bridges.bridge_links(bridges.covered_pairs(pairs), pages, site_links(spark, sf_dir), targets, copies)
+    return found.withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query()
+@query(f"""{_HUBS}, {_WAYS.format("hub_a, hub_b", "gapped")},
+met AS (SELECT language, hub_a, hub_b FROM slotted GROUP BY language, hub_a, hub_b HAVING max(slots) <= 0),
+joined(language, hub, other) AS (SELECT language, hub, hub FROM sizes UNION SELECT j.language, j.hub, CASE WHEN m.hub_a = j.other THEN m.hub_b ELSE m.hub_a END FROM joined j JOIN met m ON m.language = j.language AND j.other IN (m.hub_a, m.hub_b))
+SELECT language, hub, min(other) AS component FROM joined GROUP BY language, hub""")
 def hub_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hub with the smallest hub that it is joined with."""
     pairs, pages = _hub_pairs(spark, sf_dir)
-    return bridges.components(pages, pairs).groupBy("language").agg(F.count_distinct("component").alias("components"))
+    found = materialize(bridges.components(pages, pairs), "hub-components")
+    first = found.groupBy("language", "component").agg(F.min("hub").alias("first"))
+    return found.join(first, ["language", "component"]).select("language", "hub", F.col("first").alias("component"))
 
 
 @query()
@@ -264,7 +293,13 @@ def keyword_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.keyword_projection(rows)[0]
 
 
-@query()
+@query("""
+, ends AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM site_links WHERE source <> target AND source IN (SELECT page FROM site_pages) AND target IN (SELECT page FROM site_pages)),
+ways AS (SELECT a AS x, b AS y FROM ends UNION ALL SELECT b, a FROM ends),
+walks(step, s, v, n) AS (SELECT 0, page, page, CAST(1 AS DOUBLE) FROM site_pages UNION ALL SELECT any_value(w.step) + 1, w.s, y, sum(n) FROM walks w JOIN ways ON ways.x = w.v WHERE w.step < 8 GROUP BY w.s, y),
+near AS (SELECT s, v, min(step) AS d, arg_min(n, step) AS paths FROM walks GROUP BY s, v),
+loads AS (SELECT x.v AS page, sum(x.paths * y.paths / z.paths) AS load FROM near x JOIN near y ON y.s = x.v JOIN near z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.s < y.v AND x.v <> x.s AND x.v <> y.v GROUP BY x.v)
+SELECT p.page, round(coalesce(l.load, 0.0), 6) AS betweenness FROM site_pages p LEFT JOIN loads l ON l.page = p.page""")
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return communities.betweenness(site_links(spark, sf_dir), site_pages(spark, sf_dir)).select("page", F.round("betweenness", 6).alias("betweenness"))
 
@@ -339,7 +374,9 @@ def body_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("body_hash"))
 
 
-@query()
+@query("""
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS "at", sentence FROM (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents))""", site_tables=False)
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_tables.sentences(F.col("text")).alias("s"))
     return docs.select("doc_id", F.posexplode_outer("s").alias("at", "sentence")).where("sentence is not null")
@@ -834,19 +871,33 @@ def latest_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyword_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pages as the keyword chain reads them, strategic rows of every third page, and search rows as usable queries."""
+    """Pages as the keyword chain reads them, a client's keywords that are primary, and search rows of ten impressions or more."""
     first = F.element_at(F.filter(F.split("body", "[ \\t-\\r]+"), lambda w: w != ""), 1)
     line = F.trim(F.get(F.split("body", "\n"), F.lit(0)))
     pages = site_pages(spark, sf_dir).select(
-        "page", "language", F.substring(line, 1, 60).alias("h1"), F.array(F.struct(F.lit(1).alias("level"), first.alias("text"))).alias("headings"), F.concat(first, F.lit(" | Example")).alias("meta_title"),
+        "page", "language", line.alias("h1"), F.array(F.struct(F.lit(1).alias("level"), first.alias("text"))).alias("headings"), F.concat(first, F.lit(" | Example")).alias("meta_title"),
         F.sha2("body", 256).alias("body_hash"), "body",
     )
-    strategic = tenant.strategic_rows(spark, sf_dir).where("page % 3 = 0")
-    queries = search_rows(spark, sf_dir).where("page % 3 = 1").select("page", "query", F.col("impressions").cast("double").alias("opportunity"))
+    strategic = tenant.strategic_rows(spark, sf_dir).where("is_primary")
+    queries = search_rows(spark, sf_dir).where("impressions >= 10").select("page", "query", F.col("impressions").cast("double").alias("opportunity"))
     return pages, strategic, queries
 
 
-@query()
+_NO_TOPIC = ", ".join("'" + x.replace("'", "''") + "'" for x in sorted(GENERIC | keywords.PLACEHOLDERS))
+
+
+@query(f"""{tenant.SQL}
+, usable AS (SELECT page, trim(regexp_replace(keyword, '\\s+', ' ', 'g')) AS text, lower(trim(regexp_replace(keyword, '\\s+', ' ', 'g'))) AS k, language, priority, is_primary FROM strategic WHERE is_primary AND length(language) >= 2 AND trim(keyword) <> ''),
+one AS (SELECT page, k, language, arg_min(text, (NOT is_primary, -coalesce(priority, 0), k, text)) AS keyword, max(priority) AS priority FROM usable GROUP BY page, k, language),
+first_keyword AS (SELECT page, keyword, language FROM one QUALIFY row_number() OVER (PARTITION BY page ORDER BY coalesce(priority, 0) DESC, k, keyword, language) = 1),
+first_query AS (SELECT page, query, CAST(impressions AS DOUBLE) AS opportunity FROM search_rows WHERE impressions >= 10 QUALIFY row_number() OVER (PARTITION BY page ORDER BY impressions DESC, lower(query), query) = 1),
+texts AS (SELECT page, sha256(body) AS body_hash, trim(regexp_replace(string_split(body, chr(10))[1], '\\s+', ' ', 'g')) AS line, list_filter(regexp_split_to_array(body, '[ \\t-\\r]+'), lambda w: w <> '')[1] AS word FROM site_pages),
+heads AS (SELECT page, body_hash, 0 AS place, 'H1' AS rung, line AS text FROM texts WHERE line <> '' UNION ALL SELECT page, body_hash, 1, 'H1', word FROM texts WHERE word <> line UNION ALL SELECT page, body_hash, 2, 'TITLE', word FROM texts),
+keyed AS (SELECT *, lower(text) AS k FROM heads WHERE text IS NOT NULL),
+spread AS (SELECT k FROM keyed GROUP BY k HAVING count(DISTINCT body_hash) >= 3),
+fit AS (SELECT page, rung, text FROM keyed WHERE regexp_matches(text, '\\pL') AND regexp_replace(k, '^\\pP+|\\pP+$', '', 'g') NOT IN ({_NO_TOPIC}) AND k NOT IN (SELECT k FROM spread) AND k <> 'example' QUALIFY row_number() OVER (PARTITION BY page ORDER BY place) = 1)
+SELECT p.page, coalesce(b.keyword, q.query, f.text) AS keyword, coalesce(b.language, p.language) AS language, CASE WHEN b.page IS NOT NULL THEN 'STRATEGIC' WHEN q.page IS NOT NULL THEN 'GSC' ELSE f.rung END AS rung, CASE WHEN b.page IS NULL THEN q.opportunity END AS opportunity
+FROM site_pages p LEFT JOIN first_keyword b ON b.page = p.page LEFT JOIN first_query q ON q.page = p.page LEFT JOIN fit f ON f.page = p.page WHERE coalesce(b.keyword, q.query, f.text) IS NOT NULL""")
 def keyword_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, strategic, queries = _keyword_tables(spark, sf_dir)
     return keywords.resolve(pages, strategic, queries, ["Example"])
@@ -854,10 +905,9 @@ def keyword_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def anchor_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ladder over the candidate pairs: two words that a target's text begins with are its keyword."""
-    pages, _, _ = _keyword_tables(spark, sf_dir)
-    start = F.slice(F.filter(F.split("body", "[ \\t-\\r]+"), lambda w: w != ""), 1, 2)
-    asked = pages.select("page", F.array_join(start, " ").alias("keyword"), F.lit(1).alias("rank")).where("keyword <> ''")
+    """The ladder over the candidate pairs, with the keywords that the chain gives their targets."""
+    pages, strategic, queries = _keyword_tables(spark, sf_dir)
+    asked = keywords.ranked_keywords(materialize(keywords.resolve(pages, strategic, queries, ["Example"]), "keywords"), strategic, queries).select("page", "keyword", "rank")
     texts = pages.select("page", "body", F.array().cast("array<string>").alias("headings"), "language")
     links = site_links(spark, sf_dir).select("source", "anchor", F.col("anchor").alias("around"))
     return anchors.extract(_candidates(spark, sf_dir), texts, asked, links)

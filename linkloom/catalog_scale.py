@@ -5,17 +5,20 @@ Registered with those of :mod:`linkloom.catalog`; stores are built below the sha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.catalog import _LINK_COSINES, query
+from linkloom.catalog import _LINK_COSINES, _candidates, _contexts, _feature_sql, _score_sql, _scores, query
 from linkloom.functions.vector import cosine
-from linkloom.operators import batches, digests, heldout, negatives, retrieval, semantic, url_variants, vector_index
+from linkloom.operators import batches, digests, features, heldout, negatives, outputs, percentiles, reports, retrieval, scoring, semantic, url_variants, vector_index
 from linkloom.plans.scratch import materialize, new_path
+from linkloom.sources import inputs, tenant
 from linkloom.sources.keyed import KeyedTable
 from linkloom.sources.site import site_links, site_pages, table
 from linkloom.sources.store import Snapshot, Store
 from linkloom.sources.vectors import VectorStore, text_key
+from linkloom.streaming import upserts
+from linkloom.streaming.metrics import read_events
 
 # Indexed retrieval
 
@@ -272,3 +275,112 @@ SELECT f.fold, (SELECT count(*) FROM hidden h WHERE h.fold = f.fold) AS hidden,
 def held_out_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the links that each fold hides, those that retrieval finds again."""
     return heldout.rounds(site_links(spark, sf_dir), site_pages(spark, sf_dir), FOLDS)
+
+
+# Reports and served rows
+
+
+@query("""
+SELECT count(*) FILTER (state = 'placeholder') AS placeholder, count(*) FILTER (state = 'non_2xx') AS non_2xx, count(*) FILTER (state = 'up_to_date') AS up_to_date, count(*) FILTER (state = 'target') AS target FROM (
+  SELECT CASE WHEN d.text IS NULL THEN 'placeholder' WHEN n_chars < 200 THEN 'non_2xx' WHEN e.vec_id IS NOT NULL AND e.label <> 9 THEN 'up_to_date' ELSE 'target' END AS state FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)""", site_tables=False)
+def work_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to embed: short documents stand for pages that answer with an error, vectors of one label for those of older texts."""
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    body = F.md5(F.col("text").cast("binary"))
+    pages = docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select(
+        F.col("text").isNull().alias("placeholder"), F.when(F.col("n_chars") < 200, 404).otherwise(200).alias("status"), body.alias("body_hash"),
+        F.when(F.col("label") == 9, F.lit("old")).when(F.col("vec_id").isNotNull(), body).alias("embedded_hash"), F.col("embedding").alias("vector"),
+    )
+    return reports.state_counts(reports.work_selection(pages))
+
+
+@query(f"""{_LINK_COSINES}, pools AS (SELECT language, count(*) AS pool FROM site_pages GROUP BY language),
+scored AS (SELECT t.page AS target, s.page AS source, round(list_dot_product(t.vector, s.vector) / (sqrt(list_dot_product(t.vector, t.vector)) * sqrt(list_dot_product(s.vector, s.vector))), 6) AS similarity
+  FROM site_pages t JOIN site_pages s ON t.language = s.language AND t.page <> s.page LEFT JOIN pairs l ON l.source = s.page AND l.target = t.page WHERE l.source IS NULL),
+near10 AS (SELECT target, similarity FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY similarity DESC, source) AS r FROM scored) WHERE r <= 10),
+lasts AS (SELECT target, min(similarity) AS last, count(*) AS n FROM near10 GROUP BY target),
+linking AS (SELECT count(*) AS linked, count(*) FILTER (c.similarity > l.last) AS nearer FROM cosines c LEFT JOIN lasts l ON l.target = c.target),
+counts AS (SELECT coalesce(l.n, 0) AS n FROM site_pages p LEFT JOIN lasts l ON l.target = p.page)
+SELECT count(*) AS targets, CAST(sum(n) AS BIGINT) AS candidates, count(*) FILTER (n >= 10) AS full_targets, count(*) FILTER (n > 0 AND n < 10) AS short_targets, count(*) FILTER (n = 0) AS empty_targets,
+  min(n) AS min_per_target, quantile_cont(n, 0.5) AS median_per_target, max(n) AS max_per_target, any_value(linked) AS linked_pairs, any_value(nearer) AS linked_nearer, CAST(0 AS BIGINT) AS pillar_pairs,
+  (SELECT count(*) FROM site_pages) AS source_pages, round(any_value(nearer) / (sum(n) + any_value(nearer)), 6) AS drop_rate FROM counts, linking""")
+def candidate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, links = site_pages(spark, sf_dir), site_links(spark, sf_dir)
+    found = materialize(retrieval.nearest_eligible(pages, links), "candidates")
+    report = reports.candidate_report(pages, pages, found, retrieval.target_facts(pages, links, found), found.limit(0), 10)
+    return report.withColumn("drop_rate", F.round("drop_rate", 6))
+
+
+@query(f"""{tenant.SQL} SELECT count(*) AS keywords, round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) AS share FROM (
+  SELECT lower(trim(keyword)) AS k, language, count(*) AS n FROM (SELECT DISTINCT page, lower(trim(keyword)) AS keyword, language FROM strategic) GROUP BY ALL)""")
+def unique_keyword_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tenant.strategic_rows(spark, sf_dir).select("page", F.lower(F.trim("keyword")).alias("keyword"), "language").distinct()
+    return reports.unique_share(rows).select("keywords", F.round("share", 6).alias("share"))
+
+
+@query("SELECT page FROM site_pages WHERE page IN (SELECT source FROM site_links WHERE anchor = 'topic 3')")
+def linking_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.linking_sources(site_pages(spark, sf_dir), site_links(spark, sf_dir).where("anchor = 'topic 3'"))
+
+
+@query(f"""{_score_sql()},
+scored4 AS (SELECT source, target, round(score, 4) AS score FROM tiered),
+ranked4 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC NULLS LAST, target) AS place, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 - 1) / (count(*) OVER () - 1) AS percentile FROM scored4)
+SELECT source, target, place AS rank_in_source, row_number() OVER (ORDER BY round(percentile, 9) DESC, source, place, target) AS best_rank, round(100 * round(percentile, 9), 1) AS score FROM ranked4 WHERE place <= 3""")
+def best_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site-wide ranks of the three best links of every source."""
+    by = Window.partitionBy("source").orderBy(F.col("score").desc_nulls_last(), "target")
+    rows = _scores(spark, sf_dir).select("source", "target", F.round("score", 4).alias("score"))
+    rows = percentiles.average_rank(materialize(rows.withColumn("place", F.row_number().over(by)), "ranked-pairs"), "score", [], "percentile")
+    facts = rows.select("source", "target", F.round("percentile", 9).alias("percentile"), F.lit(1).alias("tier"), F.lit(1).alias("candidates"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("advice"))
+    emitted = rows.where("place <= 3").select("source", "target", F.lit("ADD_LINK").alias("action"), F.col("place").cast("bigint").alias("place"), F.lit(True).alias("suggested"), F.lit(False).alias("orphan_slot"))
+    return outputs.new_links(emitted, facts, "site").select("source", "target", "rank_in_source", "best_rank", "score")
+
+
+@query(f"""{_score_sql()} SELECT count(*) AS pairs, count(*) FILTER (tier = 1) AS tier_1, count(*) FILTER (tier = 2) AS tier_2, count(*) FILTER (tier = 3) AS tier_3,
+round(quantile_cont(score, 0.1), 4) AS score_p10, round(quantile_cont(score, 0.5), 4) AS score_p50, round(quantile_cont(score, 0.9), 4) AS score_p90 FROM tiered""")
+def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.score_summary(_scores(spark, sf_dir))
+    return found.select("pairs", "tier_1", "tier_2", "tier_3", *[F.round(c, 4).alias(c) for c in ("score_p10", "score_p50", "score_p90")])
+
+
+_WEIGHTED = [c for c, *_ in scoring.WEIGHTS]
+
+
+@query(f"{_feature_sql()} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS share FROM features" for c in _WEIGHTED))
+def missing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = features.pair_features(_candidates(spark, sf_dir), _contexts(spark, sf_dir))
+    return reports.missing_shares(pairs, _WEIGHTED).select("feature", F.round("share", 6).alias("share"))
+
+
+# Seeded draws
+
+
+@query("""
+, hashed AS (SELECT DISTINCT source, sha256('7' || chr(9) || source) AS a, sha256('8' || chr(9) || source) AS b FROM site_links)
+SELECT source, CASE WHEN a < '3333333333333400000000000000000000000000000000000000000000000000' THEN 'test' WHEN b < '4000000000000000000000000000000000000000000000000000000000000000' THEN 'valid' ELSE 'train' END AS fold FROM hashed""")
+def seed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.split(site_links(spark, sf_dir).select("source").distinct(), "source", 0.2, 0.25, 7)
+
+
+@query("""
+SELECT doc_id, source FROM documents ORDER BY sha256('42' || chr(9) || doc_id), doc_id LIMIT 100""", site_tables=False)
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.sample(table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"], 100, 42)
+
+
+# Streams
+
+
+@query("SELECT user_id AS page, event_type AS query, count(*) AS impressions, CAST(sum(CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS clicks FROM events GROUP BY user_id, event_type", site_tables=False)
+def streamed_search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search rows kept by a stream over files of events, a tenth of which arrive twice."""
+    events, folder = table(spark, sf_dir, "events"), new_path(spark, "event-files")
+    for part in (events.repartition(4), events.where("event_id % 10 = 0").repartition(2)):
+        part.write.mode("append").parquet(folder)
+    stored = KeyedTable(spark, new_path(spark, "streamed"), "page bigint, query string, impressions bigint, clicks bigint", ["page", "query"], 8)
+    sums = {"impressions": F.count("*"), "clicks": F.sum((F.col("event_id") % 7 == 0).cast("bigint"))}
+    named = lambda rows: rows.select(F.col("user_id").alias("page"), F.col("event_type").alias("query"), "event_id")
+    run = upserts.totals(read_events(spark, folder, events.schema, 2), stored, sums, new_path(spark, "stream-state"), "event_id", "ts", "3650 days", named)
+    run.awaitTermination()
+    return stored.read()

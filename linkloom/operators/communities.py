@@ -25,8 +25,12 @@ def _neighbours(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=n))]), other[order]
 
 
+#: Numbers of a block of sources by edges that a task handles at once; sources of a block; levels after which paths are followed one source at a time.
+CELLS, COLUMNS, DEEP = 4_000_000, 128, 64
+
+
 def _flow(start: int, offset: np.ndarray, near: np.ndarray, n: int) -> np.ndarray:
-    """How many shortest paths from ``start`` pass each node, in shares (Brandes, 2001)."""
+    """How many shortest paths from ``start`` pass each node, in shares (Brandes, 2001); a queue, for graphs of very many levels."""
     far, paths = np.full(n, -1), np.zeros(n)
     far[start], paths[start] = 0, 1
     order, queue = [], deque([start])
@@ -47,10 +51,40 @@ def _flow(start: int, offset: np.ndarray, near: np.ndarray, n: int) -> np.ndarra
     return load
 
 
+def _flows(starts: np.ndarray, offset: np.ndarray, near: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the loads of a block of sources, one column each, level by level; every node has a neighbour.
+
+    A level adds up, for every node, what its neighbours hold: one gather along the edges and one sum per node for the whole
+    block. On the way out these are numbers of shortest paths, on the way back shares of paths.
+    """
+    column = np.arange(len(starts))
+    over = lambda x: np.add.reduceat(x[near], offset[:-1], axis=0)
+    far, paths = np.full((n, len(starts)), -1, np.int16), np.zeros((n, len(starts)))
+    far[starts, column], paths[starts, column] = 0, 1
+    front, level = paths.copy(), 0
+    while True:
+        reached = over(front)
+        fresh = (far < 0) & (reached > 0)
+        if not fresh.any():
+            break
+        level += 1
+        if level > DEEP:
+            return sum((_flow(s, offset, near, n) for s in starts.tolist()), np.zeros(n))
+        far[fresh] = level
+        front = np.where(fresh, reached, 0)
+        paths += front
+    load = np.zeros_like(paths)
+    for at in range(level, 1, -1):
+        share = np.where(far == at, (1 + load) / np.where(paths > 0, paths, 1), 0)
+        load += np.where(far == at - 1, over(share) * paths, 0)
+    return load.sum(axis=1)
+
+
 def betweenness(links: DataFrame, pages: DataFrame) -> DataFrame:
     """page, betweenness: exact, unweighted and undirected, over crawled pages; each pair counts once.
 
-    The graph goes to every task, after a check of its size; the sources are dealt over the tasks and their loads summed.
+    The graph goes to every task as two arrays, after a check of its size: all pairs of a larger one are out of reach. The
+    sources are dealt over the tasks in blocks, and their loads summed.
     """
     known = pages.select("page").distinct()
     ends = links.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
@@ -69,8 +103,9 @@ def betweenness(links: DataFrame, pages: DataFrame) -> DataFrame:
         for batch in batches:
             at = np.searchsorted(names, batch["page"])
             at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == batch["page"])] if len(names) else at[:0]
-            for start in at.tolist():
-                total += _flow(start, offset, near, len(names))
+            step = min(COLUMNS, max(1, CELLS // max(1, len(near))))
+            for start in range(0, len(at), step):
+                total += _flows(at[start : start + step], offset, near, len(names))
         some = np.flatnonzero(total)
         yield pd.DataFrame({"page": names[some], "load": total[some]})
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,20 +57,40 @@ def relevance_groups(rows: DataFrame, group: str, value: str) -> DataFrame:
     return mean.join(middle, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
+#: Chances that a Poisson number of mean 1 is no greater than 0, 1, 2, ...
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(19)])
+
+
+def _weights(hashes: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    """How often each cluster is drawn in each sample: Poisson numbers that follow from the cluster's hash and the sample alone."""
+    x = hashes.astype(np.uint64)[:, None] + (samples.astype(np.uint64)[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.searchsorted(_POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right").astype(float)
+
+
 def bootstrap_interval(rows: DataFrame, value: str, cluster: str, seed: int, samples: int = 1000, level: float = 0.95) -> tuple[float, float]:
     """Percentile interval of the mean when whole clusters are drawn again with all their values; the same seed gives the same one.
 
-    Sums and counts per cluster reach the driver, in cluster order; a cluster is a source page of the evaluation.
+    A Poisson bootstrap: every cluster comes as often into a sample as a Poisson number of mean 1 says, so clusters need not
+    meet. Tasks add up their clusters; two sums a sample reach the driver.
     """
-    per = rows.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("_s"), F.count("*").alias("_n")).orderBy(cluster).toPandas()
-    if not len(per):
+    per = rows.where(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("c")).agg(F.sum(value).cast("double").alias("s"), F.count("*").cast("double").alias("n"))
+    hashed = per.select(F.xxhash64("c", F.lit(seed)).alias("h"), "s", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, total = np.arange(samples), np.zeros((samples, 2))
+        for batch in batches:
+            h, both = batch.column("h").to_numpy(), np.stack([batch.column("s").to_numpy(), batch.column("n").to_numpy()], axis=1)
+            step = max(1, 2_000_000 // samples)
+            for start in range(0, len(h), step):
+                total += _weights(h[start : start + step], every).T @ both[start : start + step]
+        yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["sample", "s", "n"])
+
+    found = hashed.mapInArrow(run, "sample bigint, s double, n double").groupBy("sample").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0").toPandas()
+    if not len(found):
         raise ValueError("no values")
-    sums, counts, rng = per["_s"].to_numpy(float), per["_n"].to_numpy(float), np.random.default_rng(seed)
-    means, step = [], max(1, 4_000_000 // len(sums))
-    for start in range(0, samples, step):
-        drawn = rng.integers(0, len(sums), size=(min(step, samples - start), len(sums)))
-        means.append(sums[drawn].sum(axis=1) / counts[drawn].sum(axis=1))
-    low, high = np.quantile(np.concatenate(means), [(1 - level) / 2, (1 + level) / 2])
+    low, high = np.quantile(found["s"] / found["n"], [(1 - level) / 2, (1 + level) / 2])
     return float(low), float(high)
 
 

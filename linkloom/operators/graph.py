@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,34 +69,78 @@ def crawl_depth(links: DataFrame, pages: DataFrame, roots: list[int], together:
     return pages.select("page").join(reached, "page", "left")
 
 
-def pagerank(links: DataFrame, pages: DataFrame, damping: float = 0.85, steps: int = 100, tolerance: float | None = 1e-10, by: tuple[str, ...] = ()) -> DataFrame:
-    """page, rank from 1/n until a round moves less than ``tolerance`` in all, which every fourth is asked (None: exactly ``steps`` rounds).
+#: Rounds of PageRank that one job walks; targets of a page that lie in one row.
+TOGETHER, TARGETS = 8, 1024
+
 
-    Placeholders take part, dangling mass is spread evenly, repeated links are one vote. A round is one join on the linking
-    page and a pre-aggregated sum per target; the dangling mass is a scalar subquery of the same plan. With ``by``, columns of
-    both tables that are not null, every group is a graph of its own, and one loop walks them all until none moves.
+def _spread(start: DataFrame, near: DataFrame, by: list[str], rounds: int, damping: float) -> DataFrame:
+    """(by, page, y1, ..., y``rounds``): ``start`` (by, page, y0) moved along the links once, twice and so on, without any teleport.
+
+    A round is one join with the links and one sum per page. Every page has a row of ``near`` without targets, which carries its
+    earlier values on, so a round refers to the one before once and a chain of them stays one plan of that length.
+    """
+    now, held = start, []
+    for i in range(1, rounds + 1):
+        row = lambda page, y, old: F.struct(page.alias("p"), y.alias("y"), *[c.alias(n) for n, c in zip(held, old, strict=True)])
+        none = [F.lit(None).cast("double")] * len(held)
+        own = F.array(row(F.col("page"), F.lit(0.0), [F.col(n) for n in held]))
+        given = F.transform("targets", lambda t: row(t, damping * F.col(f"y{i - 1}") * F.col("share"), none))
+        sent = now.join(near, [*by, "page"]).select(*by, F.explode(F.when(F.col("targets").isNull(), own).otherwise(given)).alias("x")).select(*by, "x.*")
+        now = sent.groupBy(*by, F.col("p").alias("page")).agg(F.sum("y").alias(f"y{i}"), *[F.sum(n).alias(n) for n in held])
+        held.append(f"y{i}")
+    return now.select(*by, "page", *held)
+
+
+def pagerank(links: DataFrame, pages: DataFrame, damping: float = 0.85, steps: int = 100, tolerance: float | None = 1e-10, by: tuple[str, ...] = (), together: int = TOGETHER) -> DataFrame:
+    """page, rank from 1/n until a round moves less than ``tolerance`` in all (None: exactly ``steps`` rounds).
+
+    Placeholders take part, dangling mass is spread evenly, repeated links are one vote. ``together`` rounds are one job: what is
+    spread evenly in a round is a multiple of the same vector, so the job only moves ranks along the links, and the multiples
+    follow from the sums of its rounds afterwards. The tolerance is asked once a job. With ``by``, columns of both tables
+    that are not null, every group is a graph of its own, and all of them walk together until none moves.
     """
     by = list(by)
     edges = links.where("source <> target").select(*by, "source", "target").distinct()
     out = edges.groupBy(*by, "source").agg(F.count("*").alias("out"))
-    votes = materialize(edges.join(out, [*by, "source"]).select(*by, F.col("source").alias("page"), "target", (1 / F.col("out")).alias("share")), "rank-votes")
-    nodes = pages.select(*by, "page").union(votes.select(*by, F.col("target").alias("page"))).distinct()
-    linking = materialize(nodes.join(votes.select(*by, "page").distinct().withColumn("links", F.lit(True)), [*by, "page"], "left"), "rank-linking")
-    linking = linking.join(linking.groupBy(*by).agg(F.count("*").alias("n")), by) if by else linking.withColumn("n", F.lit(linking.count()))
-    state = [*by, "page", "links", "n"]
-    rank = materialize(linking.select(*state, (F.lit(1.0) / F.col("n")).alias("rank")), "rank")
-    for step in range(steps):
-        idle = F.coalesce(F.sum(F.when(F.col("links").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")
-        moved = rank.join(votes, [*by, "page"]).groupBy(*by, F.col("target").alias("page")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        known = rank.select(*state, F.col("rank").alias("old")).join(moved, [*by, "page"], "left")
-        known = known.join(rank.groupBy(*by).agg(idle), by) if by else known.withColumn("loose", rank.agg(idle).scalar())
-        new = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))
-        before, rank = rank, materialize(known.select(*state, new.alias("rank"), "old"), "rank")
-        release(before)
-        change = rank.groupBy(*by).agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved"))
-        if tolerance is not None and step % 4 == 3 and (change.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
-            break
-    return rank.select(*by, "page", "rank")
+    votes = edges.join(out, [*by, "source"]).withColumn("part", F.pmod(F.xxhash64("target"), F.ceil(F.col("out") / TARGETS)))
+    listed = votes.groupBy(*by, F.col("source").alias("page"), "part").agg(F.collect_list("target").alias("targets"), F.max(1 / F.col("out")).alias("share")).drop("part")
+    listed = materialize(listed, "rank-votes")
+    nodes = materialize(pages.select(*by, "page").union(listed.select(*by, F.explode("targets"))).union(listed.select(*by, "page")).distinct(), "rank-nodes")
+    near = materialize(listed.unionByName(nodes.select(*by, "page", F.lit(None).cast(listed.schema["targets"].dataType).alias("targets"), F.lit(0.0).alias("share"))), "rank-links")
+    sizes = nodes.groupBy(*by).agg(F.count("*").alias("n"))
+    even = nodes.join(sizes, by) if by else nodes.crossJoin(sizes)  # one row on the right
+    even = even.select(*by, "page", (F.lit(1.0) / F.col("n")).alias("y0"))
+    m = max(1, min(together, steps))
+    base = materialize(even.join(_spread(even, near, by, m - 1, damping), [*by, "page"]) if m > 1 else even, "rank-base")
+    base = base.select(*by, "page", *[F.col(f"y{i}").alias(f"v{i}") for i in range(m)])
+    masses = materialize(base.groupBy(*by).agg(*[F.sum(f"v{i}").alias(f"m{i}") for i in range(m)]), "rank-masses")
+
+    def after(moved: DataFrame, rounds: int) -> DataFrame:
+        """(by, page, y0, before): ranks after the rounds of ``moved``, and those of the round before."""
+        shares = moved.groupBy(*by).agg(*[F.sum(f"y{i}").alias(f"e{i}") for i in range(1, rounds + 1)])
+        shares = shares.join(masses, by) if by else shares.crossJoin(masses)  # one row each
+        for i in range(1, rounds + 1):  # whatever a round does not move along the links it spreads evenly
+            kept = F.col(f"e{i}") + sum((F.col(f"c{k}") * F.col(f"m{i - k}") for k in range(1, i)), F.lit(0.0))
+            shares = shares.withColumn(f"c{i}", 1 - kept)
+        shares = materialize(shares.select(*by, *[f"c{i}" for i in range(1, rounds + 1)]), "rank-shares")
+        whole = moved.join(base, [*by, "page"])
+        whole = whole.join(shares, by) if by else whole.crossJoin(shares)  # one row on the right
+        at = lambda i: F.col(f"y{i}") + sum((F.col(f"c{k}") * F.col(f"v{i - k}") for k in range(1, i + 1)), F.lit(0.0))
+        return whole.select(*by, "page", at(rounds).alias("y0"), (at(rounds - 1) if rounds > 1 else F.lit(None).cast("double")).alias("before"))
+
+    rank, done, old = even, 0, None
+    while done < steps:
+        rounds = min(m, steps - done)
+        moved = materialize(_spread(rank.select(*by, "page", "y0"), near, by, rounds, damping), "rank-moved")
+        rank, done = after(moved, rounds), done + rounds
+        if old is not None:
+            release(old)
+        old = moved
+        if tolerance is not None and rounds > 1:
+            change = rank.groupBy(*by).agg(F.sum(F.abs(F.col("y0") - F.col("before"))).alias("moved"))
+            if (change.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
+                break
+    return rank.select(*by, "page", F.col("y0").alias("rank"))
 
 
 def _over_budget(counts: DataFrame, budget: int) -> DataFrame:
@@ -114,10 +162,14 @@ def _over_budget(counts: DataFrame, budget: int) -> DataFrame:
     return counts.limit(0)
 
 
+#: Pages of a keyword that meet the others in one part of the join.
+HOT = 1024
+
+
 def keyword_projection(rows: DataFrame, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(a, b, shared): pages that share keywords; and (keyword, k): the keywords left out, with their pages.
 
-    Without ``budget`` none is left out. With it (5,000,000 in the reference), while keywords make more pairs of pages than
+    Without ``budget`` none is left out. With it, while keywords make more pairs of pages than
     that, the most shared is left out, ties by keyword.
     """
     part = rows.where("page is not null and keyword is not null").select("page", "keyword").distinct()
@@ -125,8 +177,12 @@ def keyword_projection(rows: DataFrame, budget: int | None = None) -> tuple[Data
     counts = counts if budget is None else materialize(counts, "projection-keywords")
     dropped = counts.limit(0) if budget is None else materialize(_over_budget(counts, budget), "projection-dropped")
     part = part if budget is None else part.join(dropped, "keyword", "left_anti")
-    other = part.select(F.col("page").alias("b"), "keyword")
-    pairs = part.withColumnRenamed("page", "a").join(other, "keyword").where("a < b")
+    # The pages of a hot keyword are dealt to parts on one side and copied to each of them on the other.
+    hot = counts.where(F.col("k") > HOT).select("keyword", F.ceil(F.col("k") / HOT).cast("int").alias("parts"))
+    dealt = part.join(hot, "keyword", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    one = dealt.select(F.col("page").alias("a"), "keyword", F.pmod(F.xxhash64("page"), F.col("parts")).cast("int").alias("part"))
+    other = dealt.select(F.col("page").alias("b"), "keyword", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = one.join(other, ["keyword", "part"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")), dropped
 
 
@@ -136,10 +192,40 @@ def unit_vector(vector: str) -> Column:
     return F.when(size > 0, F.transform(vector, lambda x: x / size)).otherwise(F.col(vector))
 
 
+def _hub_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, at, x, n): sums of the unit vectors of a partition, per hub and place, given out when ``HUBS`` hubs are held and at the end."""
+    held: dict[int, tuple[np.ndarray, int]] = {}
+
+    def rows() -> pa.RecordBatch:
+        hubs, width = list(held), [len(x) for x, _ in held.values()]
+        out = np.repeat(np.array(hubs, np.int32), width), np.concatenate([np.arange(w, dtype=np.int32) for w in width]), np.concatenate([x for x, _ in held.values()]), np.repeat(np.array([n for _, n in held.values()], np.int64), width)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["hub", "at", "x", "n"])
+
+    for batch in batches:
+        hub, lists = batch.column("hub").to_numpy(), batch.column("vector")
+        x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(hub), -1)
+        size = np.linalg.norm(x, axis=1)
+        x = x / np.where(size > 0, size, 1)[:, None]
+        for h in np.unique(hub).tolist():
+            own = x[hub == h]
+            total, n = held.get(h, (np.zeros(x.shape[1]), 0))
+            held[h] = (total + own.sum(axis=0), n + len(own))
+            if len(held) >= HUBS:
+                yield rows()
+    if held:
+        yield rows()
+
+
+#: Hubs whose sums a task holds at most.
+HUBS = 4096
+
+
 def hub_centroids(pages: DataFrame) -> DataFrame:
-    """hub, centroid: the mean of the unit vectors of every hub's pages, as a unit vector. Sums per hub and place are pre-aggregated."""
-    parts = pages.where("hub >= 0").select("hub", F.posexplode(unit_vector("vector")).alias("at", "x"))
-    means = parts.groupBy("hub", "at").agg(F.avg("x").alias("m"))
+    """hub, centroid: the mean of the unit vectors of every hub's pages, as a unit vector. A task adds up its pages; one row per task, hub and place moves."""
+    rows = pages.where("hub >= 0 and vector is not null").select(F.col("hub").cast("int").alias("hub"), F.col("vector").cast("array<double>").alias("vector"))
+    parts = rows.mapInArrow(_hub_sums, "hub int, at int, x double, n bigint")
+    means = parts.groupBy("hub", "at").agg((F.sum("x") / F.sum("n")).alias("m"))
     listed = means.groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("c"))
     return listed.select("hub", F.transform("c", lambda x: x["m"]).alias("c")).select("hub", unit_vector("c").alias("centroid"))
 

@@ -1,18 +1,15 @@
 """Recommendations per source page: links up to its budget, reserves, content gaps, the inbound cap and the orphan guarantee.
 
-Percentiles, tiers, places and budgets are plans over the whole table. The cap and the guarantee look at every earlier
-decision of a tenant, so a tenant's placed links (``limit`` per source at most) go through one task each, in order.
+Percentiles, tiers, places and budgets are plans over the whole table. The cap and the guarantee are rules that go through
+links and pages in order; :mod:`linkloom.operators.allocation` gives the same choices in rounds over all of them at once.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter, defaultdict
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.operators.allocation import chosen
 from linkloom.operators.percentiles import average_rank
 from linkloom.operators.scoring import TIER_SHARES, tiers
 from linkloom.plans.scratch import materialize
@@ -56,62 +53,67 @@ def placed(rows: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("place", at).where(F.col("place") <= limit)
 
 
-def capped(links: pd.DataFrame, cap: int, exempt: set) -> pd.Series:
-    """Which links are suggested once no page but the exempt ones takes more than ``cap``: best first, an overflow moves to its source's first reserve with room."""
-    suggested = links["suggested"].to_numpy(dtype=bool, copy=True)
+def capped(links: DataFrame, cap: int, exempt: DataFrame) -> DataFrame:
+    """``links`` (source, target, place, percentile, suggested) once no page but the ``exempt`` ones (page) takes more than ``cap`` suggestions.
+
+    The best link is placed first, by percentile, source, place and target; one that its page has no room for moves to its
+    source's first reserve whose page has. A ``cap`` of 0 leaves all as it is.
+    """
     if cap == 0:
-        return pd.Series(suggested, index=links.index)
-    source, target = links["source"].to_numpy(), links["target"].to_numpy()
-    own = defaultdict(list)
-    for i in links.reset_index(drop=True).sort_values(["source", "place"]).index:
-        own[source[i]].append(i)
-    room = Counter()
-    queue = links.reset_index(drop=True).sort_values(["percentile", "source", "place", "target"], ascending=[False, True, True, True]).index
-    for i in queue[suggested[queue]]:
-        choice = i
-        if target[i] not in exempt and room[target[i]] >= cap:
-            suggested[i] = False
-            choice = next((j for j in own[source[i]] if not suggested[j] and (target[j] in exempt or room[target[j]] < cap)), None)
-        if choice is not None:
-            suggested[choice] = True
-            room[target[choice]] += 1
-    return pd.Series(suggested, index=links.index)
-
-
-def guaranteed(links: pd.DataFrame, pairs: pd.DataFrame, wanted: list, guarantee: int, limit: int) -> tuple[pd.DataFrame, dict]:
-    """Links (source, target, rank_in_source, suggested, orphan_slot) with a slot for pages short of links, and why a page stays short.
+        return links
+    own = materialize(links, "cap-links")
+    key = F.struct("source", "place", "target")
+    free = exempt.select(F.col("page").alias("_t")).distinct()
+    agents = own.where("suggested").select(key.alias("agent"), "source", F.struct((-F.col("percentile")).alias("p"), F.col("source").alias("s"), F.col("place").alias("n"), F.col("target").alias("t")).alias("priority"))
+    first = agents.select("agent", "priority", F.lit(0).alias("rank"), F.col("agent").alias("object"))
+    reserves = own.where("not suggested").select(F.col("source").alias("_s"), F.col("place").alias("rank"), key.alias("object"))
+    options = first.unionByName(agents.join(reserves, F.col("source") == F.col("_s")).select("agent", "priority", "rank", "object"))
+    pool = options.join(free, F.col("object.target") == F.col("_t"), "left").withColumn("pool", F.when(F.col("_t").isNull(), F.col("object.target"))).drop("_t")
+    taken = chosen(pool.withColumn("demand", F.lit(1)), cap).select(F.col("object.source").alias("source"), F.col("object.place").alias("place"), F.col("object.target").alias("target"), F.lit(True).alias("_taken"))
+    return own.join(taken, ["source", "place", "target"], "left").withColumn("suggested", F.coalesce("_taken", F.lit(False))).drop("_taken").select(*links.columns)
+
+
+def guaranteed(links: DataFrame, pairs: DataFrame, wanted: DataFrame, guarantee: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Links (source, target, rank_in_source, suggested, orphan_slot) with a slot for the ``wanted`` pages (page) short of links, and (page, reason) of those that stay short.
 
     ``pairs`` are the tier 1 and 2 pairs into wanted pages (source, target, rank_in_source, percentile, strength, anchored).
     Pages with the fewest sources to ask go first. A source gives one slot, taking back its lowest suggestion into a page
     that is not wanted; a slot beyond its ``limit`` links drops its lowest reserve.
     """
-    wish = set(wanted)
-    book = {s: {t: [r, sug, False] for t, r, sug in g[["target", "rank_in_source", "suggested"]].itertuples(index=False)} for s, g in links.groupby("source")}
-    inbound = Counter(t for s in book.values() for t, (_, sug, _) in s.items() if sug)
-    gives = {s for s, own in book.items() if any(sug and t not in wish for t, (_, sug, _) in own.items())}
-    offers = defaultdict(list)
-    for s, t, r, p, st in pairs.loc[pairs["anchored"] & pairs["source"].isin(gives), ["source", "target", "rank_in_source", "percentile", "strength"]].itertuples(index=False):
-        heapq.heappush(offers[t], (-p, -st, s, r))
-    ask = lambda t: sum(not book[s].get(t, (0, False))[1] for *_, s, _ in offers[t])
-    used = set()
-    for t in sorted(wanted, key=lambda t: (ask(t), t)):
-        while offers[t] and inbound[t] < guarantee:
-            *_, s, rank = heapq.heappop(offers[t])
-            own = book[s]
-            if s in used or own.get(t, (0, False))[1]:
-                continue
-            used.add(s)
-            lost = max((x for x in own if own[x][1] and x not in wish), key=lambda x: own[x][0])
-            own[lost][1] = False
-            inbound[lost] -= 1
-            own.setdefault(t, [rank, True, True])[1:] = [True, True]
-            inbound[t] += 1
-            if len(own) > limit:
-                del own[max((x for x in own if not own[x][1]), key=lambda x: own[x][0])]
-    rows = [(s, t, r, sug, slot) for s, own in book.items() for t, (r, sug, slot) in own.items()]
-    relevant, with_anchor = set(pairs["target"]), set(pairs.loc[pairs["anchored"], "target"])
-    why = {t: "NO_RELEVANT_SOURCE" if t not in relevant else "NO_ANCHOR" if t not in with_anchor else "SOURCES_FULL" for t in wanted if inbound[t] < guarantee}
-    return pd.DataFrame(rows, columns=["source", "target", "rank_in_source", "suggested", "orphan_slot"]), why
+    wish = materialize(wanted.select("page").distinct(), "walk-wanted")
+    mark = wish.select(F.col("page").alias("target"), F.lit(True).alias("_wish"))
+    book = materialize(links.select("source", "target", "rank_in_source", "suggested").join(mark, "target", "left").withColumn("_wish", F.coalesce("_wish", F.lit(False))), "walk-book")
+    inbound = book.where("suggested and _wish").groupBy("target").agg(F.count("*").alias("has"))
+    gives = book.where("suggested and not _wish").select("source").distinct()
+    here = book.where("suggested").select("source", "target", F.lit(True).alias("_has"))
+    offers = pairs.where("anchored").join(gives, "source", "left_semi").join(here, ["source", "target"], "left_anti").select("source", "target", "rank_in_source", "percentile", "strength")
+    offers = materialize(offers, "walk-offers")
+    agents = wish.select(F.col("page").alias("target")).join(inbound, "target", "left").join(offers.groupBy("target").agg(F.count("*").alias("ask")), "target", "left")
+    agents = agents.select("target", (F.lit(guarantee) - F.coalesce("has", F.lit(0))).cast("int").alias("demand"), F.struct(F.coalesce("ask", F.lit(0)).alias("n"), F.col("target").alias("t")).alias("priority")).where("demand > 0")
+    order = F.struct((-F.col("percentile")).alias("p"), (-F.col("strength")).alias("st"), F.col("source").alias("s"), F.col("rank_in_source").alias("r"))
+    options = offers.join(agents, "target").select(F.col("target").alias("agent"), "priority", "demand", order.alias("rank"), F.col("source").alias("object"), F.lit(None).cast("bigint").alias("pool"))
+    slots = materialize(chosen(options).select(F.col("agent").alias("target"), F.col("object").alias("source")), "walk-slots")
+    ranks = offers.groupBy("source", "target").agg(F.min("rank_in_source").alias("_rank"))
+    slots = slots.join(ranks, ["source", "target"])
+    # A source gives one slot at most, so its links change once, by themselves.
+    giving = slots.select("source", F.col("target").alias("_slot"), "_rank")
+    down = Window.partitionBy("source").orderBy(F.col("_losable").desc(), F.col("rank_in_source").desc(), "target")
+    changed = book.join(giving, "source").withColumn("_losable", F.col("suggested") & ~F.col("_wish"))
+    changed = changed.withColumn("_lost", F.col("_losable") & (F.row_number().over(down) == 1)).withColumn("suggested", F.col("suggested") & ~F.col("_lost"))
+    known = changed.withColumn("orphan_slot", F.col("target") == F.col("_slot")).withColumn("suggested", F.col("suggested") | F.col("orphan_slot"))
+    held = known.where("orphan_slot").select("source").distinct()
+    fresh = giving.join(held, "source", "left_anti").select("source", F.col("_slot").alias("target"), F.col("_rank").alias("rank_in_source"), F.lit(True).alias("suggested"), F.lit(True).alias("orphan_slot"))
+    both = known.select("source", "target", "rank_in_source", "suggested", "orphan_slot").unionByName(fresh)
+    size, low = Window.partitionBy("source"), Window.partitionBy("source").orderBy(F.col("suggested"), F.col("rank_in_source").desc(), "target")
+    both = both.withColumn("_size", F.count("*").over(size)).withColumn("_low", F.row_number().over(low))
+    both = both.where(~((F.col("_size") > limit) & (F.col("_low") == 1) & ~F.col("suggested"))).drop("_size", "_low")
+    rest = book.join(giving.select("source"), "source", "left_anti").select("source", "target", "rank_in_source", "suggested", F.lit(False).alias("orphan_slot"))
+    done = materialize(rest.unionByName(both), "walk-guaranteed")
+    got = done.where("suggested").join(wish.withColumnRenamed("page", "target"), "target", "left_semi").groupBy("target").agg(F.count("*").alias("n"))
+    into = pairs.groupBy("target").agg(F.max(F.col("anchored").cast("int")).alias("any"))
+    short = wish.withColumnRenamed("page", "target").join(got, "target", "left").where(F.coalesce("n", F.lit(0)) < guarantee).join(into, "target", "left")
+    reason = F.when(F.col("any").isNull(), "NO_RELEVANT_SOURCE").when(F.col("any") == 0, "NO_ANCHOR").otherwise("SOURCES_FULL")
+    return done, short.select(F.col("target").alias("page"), reason.alias("reason"))
 
 
 def walk(rows: DataFrame, pages: DataFrame, limit: int, gap_limit: int, cap: int = 5, guarantee: int = 2, below: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -125,28 +127,13 @@ def walk(rows: DataFrame, pages: DataFrame, limit: int, gap_limit: int, cap: int
     short = short.join(rows.where("excluded").select(F.col("target").alias("page")).distinct(), "page", "left_anti")
     into = rows.where("tier <= 2 and hub_ok and not excluded").join(short.select(F.col("page").alias("target")), "target", "left_semi")
     into = into.join(pages.select(F.col("page").alias("source"), F.coalesce("rank_percentile", F.lit(-1.0)).alias("strength")), "source", "left").fillna({"strength": -1.0})
-    kinds = [
-        links.select(F.lit("link").alias("kind"), "source", "target", "rank_in_source", "percentile", "place", "suggested", F.lit(True).alias("anchored"), F.lit(0.0).alias("strength")),
-        into.select(F.lit("into"), "source", "target", "rank_in_source", "percentile", F.lit(0), F.lit(False), "anchored", "strength"),
-        short.select(F.lit("short"), F.lit(0).cast("long"), F.col("page"), F.lit(0), F.lit(0.0), F.lit(0), F.lit(False), F.lit(False), F.lit(0.0)),
-        pages.where("is_pillar").select(F.lit("free"), F.lit(0).cast("long"), F.col("page"), F.lit(0), F.lit(0.0), F.lit(0), F.lit(False), F.lit(False), F.lit(0.0)),
-    ]
-    together = kinds[0].union(kinds[1]).union(kinds[2]).union(kinds[3])
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["kind"] == "link"].reset_index(drop=True)
-        own["suggested"] = capped(own, cap, set(pdf.loc[pdf["kind"] == "free", "target"]))
-        done, why = guaranteed(own, pdf[pdf["kind"] == "into"], pdf.loc[pdf["kind"] == "short", "target"].tolist(), guarantee, limit)
-        lost = pd.DataFrame([(0, t, 0, False, False, r) for t, r in why.items()], columns=["source", "target", "rank_in_source", "suggested", "orphan_slot", "why"])
-        return pd.concat([done.assign(why=None), lost], ignore_index=True)
-
-    out = together.withColumn("tenant", F.lit("all")).groupBy("tenant").applyInPandas(decide, "source bigint, target bigint, rank_in_source int, suggested boolean, orphan_slot boolean, why string")
-    out = materialize(out, "walk-links")
-    kept = placed(out.where("why is null"), limit).drop("why")
+    links = capped(links.select("source", "target", "rank_in_source", "percentile", "place", "suggested"), cap, pages.where("is_pillar"))
+    done, lost = guaranteed(links, materialize(into, "walk-into"), short, guarantee, limit)
+    kept = placed(done, limit)
     last = kept.where("suggested").groupBy("source").agg(F.max("rank_in_source").alias("last"))
     gaps = rows.where("action = 'CONTENT_GAP' and budget >= 1").join(last, "source", "left").where("last is null or rank_in_source < last")
     gaps = placed(gaps, gap_limit).select("source", "target", "rank_in_source", F.lit(False).alias("suggested"), F.lit(False).alias("orphan_slot"), "place", F.lit("CONTENT_GAP").alias("action"))
-    return kept.withColumn("action", F.lit("ADD_LINK")).unionByName(gaps), out.where("why is not null").select(F.col("target").alias("page"), F.col("why").alias("reason"))
+    return kept.withColumn("action", F.lit("ADD_LINK")).unionByName(gaps), lost
 
 
 def target_fixes(emitted: DataFrame, rows: DataFrame, best: int = 5) -> DataFrame:

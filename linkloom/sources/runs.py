@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.operators.percentiles import places
 from linkloom.plans.scratch import drop
 
 MARKER = "run_id string, table_name string, rows bigint, completed_at timestamp"
@@ -20,9 +21,13 @@ class Runs:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
-    def write(self, run_id: str, table: str, rows: DataFrame) -> int:
-        """Writes one table of a run and returns its rows; Spark's commit leaves all files or none."""
+    def write(self, run_id: str, table: str, rows: DataFrame, order: list[Column] | None = None) -> int:
+        """Writes one table of a run and returns its rows; Spark's commit leaves all files or none.
+
+        With ``order``, rows get an ``ordinal`` from 1 in that order, by which a reader pages through them.
+        """
         path = f"{self.root}/runs/{run_id}/{table}"
+        rows = rows if order is None else places(rows, order, "ordinal")
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path).count()
 

@@ -19,9 +19,16 @@ STEPS = 5
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def _listing(spark: SparkSession, sf_dir: str) -> str:
+    """The files of a folder with their lengths and times, so that a changed folder is another one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return "|".join(sorted(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in found))
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """What a stage of the tenant leaves behind for the queries after it: built by the first that asks, once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """What a stage of the tenant leaves behind for the queries after it: built by the first that asks, once per session and state of the folder."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}|{_listing(spark, sf_dir)}", name)
     if key not in _stored:
         _stored[key] = materialize(build(), name)
     return _stored[key]

@@ -1,7 +1,10 @@
 """Features, audit, bridges and recommendations on planted tenants."""
 
+import random
+
 import pandas as pd
 import pytest
+import sequential_walk as sequential
 from pyspark.sql import functions as F
 
 from linkloom.operators import audit, bridges, features, listings, recommend, text_tables
@@ -109,21 +112,47 @@ def test_agreement_and_bands(spark):
 LINK = ["source", "target", "rank_in_source", "percentile", "place", "suggested"]
 
 
-def test_inbound_cap():
+def test_sequential_rules():
     links = pd.DataFrame([(1, 9, 1, 0.9, 1, True), (2, 9, 1, 0.8, 1, True), (2, 8, 2, 0.5, 2, False), (3, 9, 1, 0.7, 1, True), (4, 7, 1, 0.6, 1, True), (5, 7, 1, 0.4, 1, True)], columns=LINK)
-    assert recommend.capped(links, 1, {7}).tolist() == [True, False, True, False, True, True]
-    assert recommend.capped(links, 0, set()).tolist() == links["suggested"].tolist()
-
-
-def test_orphan_guarantee():
+    assert sequential.capped(links, 1, {7}).tolist() == [True, False, True, False, True, True]
+    assert sequential.capped(links, 0, set()).tolist() == links["suggested"].tolist()
     links = pd.DataFrame([(1, 5, 1, 0.9, 1, True), (1, 6, 2, 0.8, 2, True), (2, 5, 1, 0.7, 1, True), (2, 70, 2, 0.2, 2, False)], columns=LINK)
-    pairs = pd.DataFrame([(1, 70, 5, 0.3, 0.5, True), (2, 70, 2, 0.2, 0.9, True), (3, 71, 1, 0.2, 0.1, True), (1, 72, 4, 0.2, 0.1, False)], columns=["source", "target", "rank_in_source", "percentile", "strength", "anchored"])
-    done, why = recommend.guaranteed(links, pairs, [70, 71, 72, 73], 2, 2)
+    pairs = pd.DataFrame([(1, 70, 5, 0.3, 0.5, True), (2, 70, 2, 0.2, 0.9, True), (3, 71, 1, 0.2, 0.1, True), (1, 72, 4, 0.2, 0.1, False)], columns=PAIR)
+    done, why = sequential.guaranteed(links, pairs, [70, 71, 72, 73], 2, 2)
     rows = {(r.source, r.target): (r.suggested, r.orphan_slot) for r in done.itertuples()}
     assert rows == {(1, 5): (True, False), (1, 70): (True, True), (2, 5): (False, False), (2, 70): (True, True)}  # 6 made room, then fell out as the lowest reserve
     assert why == {71: "SOURCES_FULL", 72: "NO_ANCHOR", 73: "NO_RELEVANT_SOURCE"}
 
 
+PAIR = ["source", "target", "rank_in_source", "percentile", "strength", "anchored"]
+
+
+def site_of_links(seed, sources=40, targets=12):
+    rng = random.Random(seed)
+    links, pairs = [], []
+    for s in range(sources):
+        own = rng.sample(range(100, 100 + targets), 6)
+        links += [(s, t, i * 2, rng.choice([0.2, 0.5, 0.5, 0.9, round(rng.random(), 2)]), i, i <= 3) for i, t in enumerate(own, 1)]
+        pairs += [(s, t, rng.randrange(1, 20), round(rng.random(), 1), round(rng.random(), 1), rng.random() < 0.7) for t in rng.sample(range(95, 103), 3)]
+    return links, pairs
+
+
+@pytest.mark.parametrize(("seed", "cap"), [(1, 1), (2, 3), (3, 8), (4, 0)])
+def test_cap_and_guarantee_equal_the_sequential_rules(spark, seed, cap):
+    links, pairs = site_of_links(seed)
+    exempt, wanted = {101, 105}, list(range(95, 103))
+    frame, own = pd.DataFrame(links, columns=LINK), pd.DataFrame(pairs, columns=PAIR)
+    frame["suggested"] = sequential.capped(frame, cap, exempt)
+    done, why = sequential.guaranteed(frame, own, wanted, 3, 6)
+    rows = spark.createDataFrame(links, "source long, target long, rank_in_source int, percentile double, place int, suggested boolean").repartition(3)
+    got = recommend.capped(rows, cap, spark.createDataFrame([(x,) for x in exempt], "page long")).cache()
+    assert {(r["source"], r["target"]): r["suggested"] for r in got.collect()} == {(r.source, r.target): r.suggested for r in frame.itertuples()}
+    asked = spark.createDataFrame(pairs, "source long, target long, rank_in_source int, percentile double, strength double, anchored boolean")
+    kept, short = recommend.guaranteed(got, asked, spark.createDataFrame([(x,) for x in wanted], "page long"), 3, 6)
+    assert sorted(tuple(r) for r in kept.collect()) == sorted((r.source, r.target, r.rank_in_source, r.suggested, r.orphan_slot) for r in done.itertuples())
+    assert {r["page"]: r["reason"] for r in short.collect()} == why
+
+
 def test_walk(spark):
     ranked = spark.createDataFrame([(1, t, 100.0 - t, t) for t in range(2, 8)], "source long, target long, score double, rank_in_source int")
     choices = spark.createDataFrame([(1, 2, "good"), (1, 4, "good"), (1, 6, "good"), (1, 7, "x" * 121)], "source long, target long, phrase string")

@@ -35,13 +35,14 @@ def facts(docs: DataFrame) -> DataFrame:
     """(doc_id, part, digest, mask) per row: the SHA-256 of its text and bits 0 to 3 for the failing filters A to D.
 
     Texts are dealt by a row number, so no key is hot, and one exchange serves both sides: words explode, are counted by
-    (row, word) and then by row, and the counts meet the row's other flags in an outer join without another shuffle.
+    (row, word) and then by row, and the counts meet the row's other flags in an outer join without another shuffle. A word
+    stands as its 64-bit hash there: two of the n words of a text share one with probability n * n / 2**65.
     """
     own = F.array(F.struct("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), own.alias("d")).repartition(_partitions(docs), "row")
     field = lambda name: F.get(F.transform("d", lambda x: x[name]), 0)  # noqa: E731  a plain field would be pruned below the exchange, and each side would get its own
     text = field("text")
-    word = rows.select("row", F.explode(words(text)).alias("word"))
+    word = rows.select("row", F.explode(words(text)).alias("w")).select("row", F.xxhash64("w").alias("word"))
     totals = word.groupBy("row", "word").agg(F.count("*").alias("times")).groupBy("row").agg(F.sum("times").alias("n_words"), F.count("*").alias("n_distinct"))
     flags = rows.select(
         "row", field("doc_id").alias("doc_id"), F.coalesce(field("source"), F.lit("")).alias("part"), F.sha2(text.cast("binary"), 256).alias("digest"),

@@ -40,7 +40,7 @@ def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of a search of some cells against the exact one, with as many probes as the other half of the queries asks for; and the pairs it compares."""
     index, links, page = vector_index.build(site_pages(spark, sf_dir), cells=32), site_links(spark, sf_dir), F.col("page")
     truth = materialize(vector_index.nearest(index, page % 50 == 0, links), "index-truth")
-    probes = vector_index.needed_probes(index, truth.where("target % 100 = 0"), 0.93)
+    probes = vector_index.needed_probes(index, truth.where("target % 100 = 0"), 0.97)
     asked = page % 100 == 50
     found = materialize(vector_index.nearest(index, asked, links, probes=probes, exact=False), "index-some")
     measured = vector_index.recall(found, truth.where("target % 100 = 50")).withColumn("probes", F.lit(probes))

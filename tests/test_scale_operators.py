@@ -91,6 +91,18 @@ def test_negatives_do_not_depend_on_partitions(spark):
     assert negatives.negative_pairs(pages, related, count=100_000).count() == 50 * 25 - 25 and negatives.negative_pairs(pages.limit(0), related).count() == 0
 
 
+@pytest.mark.parametrize(("block", "levels", "roots"), [(4, 2, True), (4, 3, True), (4, None, False), (300, None, False)])
+def test_digest_of_more_rows_than_the_levels_hold(spark, block, levels, roots):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    tree, up = [sha(f"{len(str(i))}:{i}") for i in range(203)], 0
+    while up < levels if levels else len(tree) > 1:
+        tree, up = [sha("".join(tree[i : i + block])) for i in range(0, len(tree), block)], up + 1
+    rows = spark.createDataFrame([(i,) for i in range(203)], "id bigint").repartition(3)
+    assert tuple(digests.table_digest(rows, ["id"], ["id"], block, levels, roots).first()) == (203, max(tree))
+
+
 def test_digest_of_a_table(spark, tmp_path):
     rows = [(i, f"t{i}" if i % 5 else None, i / 3) for i in range(200)] + [(3, "again", None), (3, "again", None), (None, "", 0.0)]
     frame = lambda r, n=3: spark.createDataFrame(r, "id bigint, text string, x double").repartition(n)

@@ -13,9 +13,74 @@ from linkloom.functions.vector import cosine
 from linkloom.operators.percentiles import quantiles
 from linkloom.plans.scratch import materialize
 
-#: Pages in a block, in languages of fewer and of more than ``MANY`` pages; rows of a block that are compared at once.
-BLOCK, BIG_BLOCK, MANY, ROWS = 1024, 4096, 50_000, 512
+#: Pages in a block at most and at least, and numbers of its vectors; pairs of pages that are compared at once; groups of sources whose best ones bound the rest.
+BLOCK, LEAST, NUMBERS, PAIRS, GROUPS = 16_384, 1024, 4_000_000, 2_000_000, 128
 FOUND = "target bigint, source bigint, similarity double"
+#: What stands for a pair that is ruled out.
+OUT = -2.0
+
+
+def _units(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pages and unit vectors, without those that have no finite direction."""
+    x = np.stack(pdf["vector"]).astype(float)
+    size = np.linalg.norm(x, axis=1)
+    with np.errstate(invalid="ignore"):
+        x /= np.where(size > 0, size, 1)[:, None]
+    good = np.isfinite(x).all(axis=1)
+    return pdf["page"].to_numpy()[good], x[good]
+
+
+def _first(row: np.ndarray, col: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` best of every row, ties to the smaller column."""
+    order = np.lexsort((col, -value, row))
+    own = row[order]
+    start = np.flatnonzero(np.diff(own, prepend=-1))
+    return order[np.arange(len(own)) - np.repeat(start, np.diff(start, append=len(own))) < k]
+
+
+def _best(a: np.ndarray, b: np.ndarray, ruled: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and cosine of the ``k`` best columns of every row from all cosines; ``ruled`` are flat places that are out."""
+    cos = np.clip(a @ b.T, -1, 1).round(6)
+    cos.ravel()[ruled] = OUT
+    k = min(k, len(b))
+    least = np.partition(cos, len(b) - k, axis=1)[:, len(b) - k, None]
+    above, tied = cos > least, cos == least
+    open_ = k - above.sum(axis=1, dtype=np.int32)
+    row, col = np.nonzero(above | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= open_[:, None])))
+    value = cos[row, col]
+    kept = value > OUT
+    return row[kept], col[kept], value[kept]
+
+
+def _bounded(a: np.ndarray, b: np.ndarray, a4: np.ndarray, b4: np.ndarray, ruled: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same from cosines in single precision: the ``k``-th best of the groups' best ones bounds what can be among the ``k`` best, and only that is computed in full.
+
+    The bound gives way by twice the error of a product and by a step of the rounding. Rows where very many sources lie on the bound are taken in full.
+    """
+    cos = a4 @ b4.T
+    cos.ravel()[ruled] = OUT
+    wide = len(b) // GROUPS
+    tops = cos[:, : wide * GROUPS].reshape(len(a), wide, GROUPS).max(axis=1)
+    slack = np.float32(2 * (a.shape[1] + 2) * 2.0**-23 + 2e-6)
+    bound = np.maximum(np.partition(tops, GROUPS - k, axis=1)[:, GROUPS - k, None] - slack, np.float32(OUT / 2 - 0.5))
+    row, col = np.divmod(np.flatnonzero(cos >= bound), len(b))
+    count = np.bincount(row, minlength=len(a))
+    full = count > 16 * k
+    out = []
+    if full.any():
+        at = np.flatnonzero(full)
+        place = np.full(len(a), -1)
+        place[at] = np.arange(len(at))
+        r, c = np.divmod(ruled, len(b))
+        mine = place[r] >= 0
+        r, c, v = _best(a[at], b, place[r[mine]] * len(b) + c[mine], k)
+        out.append((at[r], c, v))
+        mine = ~full[row]
+        row, col = row[mine], col[mine]
+    value = np.clip(np.einsum("ij,ij->i", a[row], b[col]), -1, 1).round(6)
+    kept = _first(row, col, value, k)
+    out.append((row[kept], col[kept], value[kept]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _top(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -23,29 +88,26 @@ def _top(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, links = (pdf[pdf["side"] == i] for i in range(3))
-        right = right.sort_values("page")
+        right = right.sort_values("page")  # so that ties go to the smaller source
         out = []
         if len(left) and len(right):
-            a, b = (np.stack(x["vector"]).astype(float) for x in (left, right))
-            na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-            a, b = a / np.where(na > 0, na, 1)[:, None], b / np.where(nb > 0, nb, 1)[:, None]
-            targets, sources = left["page"].to_numpy(), right["page"].to_numpy()
+            (targets, a), (sources, b) = _units(left), _units(right)
             row, col = pd.Index(targets), pd.Index(sources)
             out_row, out_col = row.get_indexer(links["page"]), col.get_indexer(links["other"])
+            out_row, out_col = np.concatenate([out_row, np.arange(len(targets))]), np.concatenate([out_col, col.get_indexer(targets)])
             good = (out_row >= 0) & (out_col >= 0)
             out_row, out_col = out_row[good], out_col[good]
-            own = col.get_indexer(targets)
-            for start in range(0, len(a), ROWS):
-                cos = np.clip(a[start : start + ROWS] @ b.T, -1, 1).round(6)
-                n = len(cos)
-                here = (out_row >= start) & (out_row < start + n)
-                cos[out_row[here] - start, out_col[here]] = -np.inf
-                self_ = own[start : start + n]
-                cos[np.flatnonzero(self_ >= 0), self_[self_ >= 0]] = -np.inf
-                best = np.argsort(-cos, axis=1, kind="stable")[:, :k]  # sources are in order, so ties go to the smaller
-                value = np.take_along_axis(cos, best, axis=1)
-                at, place = np.nonzero(np.isfinite(value))
-                out.append(pd.DataFrame({"target": targets[start + at], "source": sources[best[at, place]], "similarity": value[at, place]}))
+            order = np.argsort(out_row, kind="stable")
+            out_row, out_col = out_row[order], out_col[order]
+            small = len(b) < 8 * GROUPS or k > GROUPS // 2
+            a4, b4 = (None, None) if small else (a.astype(np.float32), b.astype(np.float32))
+            step = max(1, PAIRS // max(1, len(b)))
+            for start in range(0, len(a) if len(b) else 0, step):
+                stop = min(len(a), start + step)
+                here = slice(*np.searchsorted(out_row, [start, stop]))
+                ruled = (out_row[here] - start) * len(b) + out_col[here]
+                at, best, value = _best(a[start:stop], b, ruled, k) if small else _bounded(a[start:stop], b, a4[start:stop], b4, ruled, k)
+                out.append(pd.DataFrame({"target": targets[start + at], "source": sources[best], "similarity": value}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"target": [], "source": [], "similarity": []}).astype({"target": "int64", "source": "int64", "similarity": "float64"})
 
     return run
@@ -54,11 +116,11 @@ def _top(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def nearest_eligible(pages: DataFrame, links: DataFrame, k: int = 10, block: int | None = None) -> DataFrame:
     """(target, source, rank, similarity): the ``k`` nearest pages of the same language that are neither the target nor link to it.
 
-    Exact. Pages of a language are dealt to blocks by hash; a task multiplies one block of targets with one block of
-    sources and keeps ``k`` rows a target, which a window merges. A link goes to the one task that could pair its ends, so
+    Exact, every pair is compared. Pages of a language are dealt to blocks by hash; a task multiplies one block of targets with one block of
+    sources in single precision, computes what may be among the best in full, and keeps ``k`` rows a target, which a window merges. A link goes to the one task that could pair its ends, so
     however many links a page has, they are split by their sources. Ties go to the smaller id; a zero vector scores 0.
     """
-    size = F.lit(block) if block else F.when(F.count("*") > MANY, BIG_BLOCK).otherwise(BLOCK)
+    size = F.lit(block) if block else F.greatest(F.lit(LEAST), F.least(F.lit(BLOCK), F.floor(F.lit(NUMBERS) / F.greatest(F.lit(1), F.max(F.size("vector"))))))
     counts = pages.groupBy(F.col("language").alias("l9")).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
     dealt = pages.select("page", "language", "vector").join(counts, F.col("language").eqNullSafe(F.col("l9"))).drop("l9")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("page"), F.col("blocks")).cast("int"))

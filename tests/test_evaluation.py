@@ -130,6 +130,36 @@ def test_betweenness_closed_forms(spark):
     assert got[100] == 10.0 and got[101] == 0.0 and got[50] == 0.0
 
 
+@pytest.mark.parametrize("kind", ["spread", "copies", "zero", "opposed", "broken"])
+def test_blocks_compare_every_pair_but_sort_few(kind):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    left, right = rng.normal(size=(70, 16)), rng.normal(size=(1500, 16))
+    if kind == "copies":
+        right[200:1400], left[:30] = right[200], right[200]
+    elif kind == "zero":
+        right[:900], left[3] = 0, 0
+    elif kind == "opposed":
+        right = -np.abs(right)
+        left = np.abs(left)
+    elif kind == "broken":
+        right[::3, 2], left[4, 1], right[7, 0] = np.nan, np.inf, -np.inf
+    targets, sources = rng.permutation(2000)[:70], rng.permutation(2000)[:1500]
+    ruled = {(t, s) for t, s in zip(targets[rng.integers(0, 70, 900)].tolist(), sources[rng.integers(0, 1500, 900)].tolist(), strict=True)}
+    side = lambda i, page, vector=None, other=None: pd.DataFrame({"side": i, "page": page, "vector": vector, "other": other})
+    t, s = zip(*sorted(ruled), strict=True)
+    got = retrieval._top(10)(pd.concat([side(0, targets, list(left)), side(1, sources, list(right)), side(2, list(t), other=list(s))], ignore_index=True))
+    want = set()
+    with np.errstate(all="ignore"):
+        unit = lambda x: x / np.where(np.linalg.norm(x, axis=1) > 0, np.linalg.norm(x, axis=1), 1)[:, None]
+        cos = np.clip(unit(left) @ unit(right).T, -1, 1).round(6)
+    for i, t in enumerate(targets.tolist()):
+        near = sorted((-c, s) for c, s in zip(cos[i].tolist(), sources.tolist(), strict=True) if np.isfinite(c) and s != t and (t, s) not in ruled)
+        want |= {(t, s, -c) for c, s in near[:10]}
+    assert set(got.itertuples(index=False, name=None)) == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize(("n", "degree", "hub"), [(3000, 8, 0), (400, 3, 300), (600, 1, 0)])
 def test_loads_of_blocks_equal_those_of_single_sources(n, degree, hub):
     rng = np.random.default_rng(n)

@@ -187,9 +187,9 @@ def keyword_projection(rows: DataFrame, budget: int | None = None) -> tuple[Data
 
 
 def unit_vector(vector: str) -> Column:
-    """The vector over its length; a zero vector stays."""
-    size = norm(vector)
-    return F.when(size > 0, F.transform(vector, lambda x: x / size)).otherwise(F.col(vector))
+    """The vector over its length; a zero vector stays. The length is bound to a lambda's variable, since inside a lambda Spark would compute it for every element."""
+    bound = F.array(F.struct(F.col(vector).alias("v"), norm(vector).alias("size")))
+    return F.get(F.transform(bound, lambda b: F.when(b["size"] > 0, F.transform(b["v"], lambda x: x / b["size"])).otherwise(b["v"])), F.lit(0))
 
 
 def _hub_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

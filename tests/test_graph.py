@@ -132,3 +132,11 @@ def test_pair_features_read_whole_texts(spark):
     for (a, b), both in shared.items():
         union = len(terms[a] | terms[b])
         assert got[a, b] == (len(both), pytest.approx(len(both) / union if union else 0.0, abs=6e-7))
+
+
+def test_unit_vectors_take_their_length_once(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [])], "page long, vector array<double>")
+    found = rows.select("page", graph.unit_vector("vector").alias("u"))
+    assert {r["page"]: r["u"] for r in found.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: []}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1

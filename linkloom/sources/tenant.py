@@ -63,8 +63,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = percentiles.share_below(known, "rank", "rank_percentile").drop("rank")
     depth = graph.crawl_depth(links, site, [0])
     pillar = graph.hub_pillars(site).select("page", F.lit(True).alias("is_pillar"))
-    words = F.size(F.filter(F.split("body", "[ \\t-\\r]+"), lambda w: w != "")).alias("words")
-    base = site.select("page", "language", "hub", F.coalesce(words, F.lit(0)).alias("words"))
+    words = F.size(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""))
+    base = site_pages(spark, sf_dir, {"words": F.coalesce(words, F.lit(0))}).select("page", "language", "hub", "words")
     for other in (graph.structure(links, site), ranked, depth, pillar):
         base = base.join(other, "page", "left")
     p = F.col("page")

@@ -162,8 +162,8 @@ def _over_budget(counts: DataFrame, budget: int) -> DataFrame:
     return counts.limit(0)
 
 
-#: Pages of a keyword that meet the others in one part of the join.
-HOT = 1024
+#: Pages of a keyword in one list; rows, and pairs of pages, of a task.
+HOT, ROWS, PAIRS = 1024, 4_000_000, 4_000_000
 
 
 def keyword_projection(rows: DataFrame, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -171,19 +171,38 @@ def keyword_projection(rows: DataFrame, budget: int | None = None) -> tuple[Data
 
     Without ``budget`` none is left out. With it, while keywords make more pairs of pages than
     that, the most shared is left out, ties by keyword.
+
+    A keyword's pages are a list, and each of them takes the greater ones along to where its pairs are counted, so a pair
+    becomes a row in the task that counts it. Tasks are as many as rows and pairs need; pages of very many pairs are dealt by both ends.
     """
-    part = rows.where("page is not null and keyword is not null").select("page", "keyword").distinct()
-    counts = part.groupBy("keyword").agg(F.count("*").alias("k"))
-    counts = counts if budget is None else materialize(counts, "projection-keywords")
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = lambda n, each: max(least, -(-int(n or 0) // each))
+    part = rows.where("page is not null and keyword is not null").select("page", "keyword")
+    part = materialize(part.repartition(tasks(part.count(), ROWS), "keyword", "page").distinct(), "projection-part")
+    counts = materialize(part.groupBy("keyword").agg(F.count("*").alias("k")), "projection-keywords")
     dropped = counts.limit(0) if budget is None else materialize(_over_budget(counts, budget), "projection-dropped")
-    part = part if budget is None else part.join(dropped, "keyword", "left_anti")
-    # The pages of a hot keyword are dealt to parts on one side and copied to each of them on the other.
+    part, counts = (part, counts) if budget is None else (x.join(dropped, "keyword", "left_anti") for x in (part, counts))
+    size = counts.agg(F.sum("k").alias("rows"), F.sum(F.expr("k * cast(k - 1 as double) / 2")).alias("pairs"), F.max("k").alias("k")).first()
+    # The pages of a hot keyword are dealt to several lists, and each of them meets every other.
     hot = counts.where(F.col("k") > HOT).select("keyword", F.ceil(F.col("k") / HOT).cast("int").alias("parts"))
     dealt = part.join(hot, "keyword", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    one = dealt.select(F.col("page").alias("a"), "keyword", F.pmod(F.xxhash64("page"), F.col("parts")).cast("int").alias("part"))
-    other = dealt.select(F.col("page").alias("b"), "keyword", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    pairs = one.join(other, ["keyword", "part"]).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")), dropped
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("page"), F.col("parts")).cast("int")).repartition(tasks(size["rows"], ROWS), "keyword", "part")
+    lists = dealt.groupBy("keyword", "part", "parts").agg(F.sort_array(F.collect_list("page")).alias("pages"))
+    after = lists.where("parts = 1").select("pages", F.posexplode("pages").alias("at", "a")).select("a", F.expr("slice(pages, at + 2, size(pages))").alias("after"))
+    if (size["k"] or 0) > HOT:
+        one = lists.where("parts > 1").select("keyword", "pages", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        other = lists.where("parts > 1").select("keyword", "part", F.col("pages").alias("others"))
+        met = one.repartition(tasks(size["pairs"], PAIRS), "keyword", "part").join(other, ["keyword", "part"]).select(F.explode("pages").alias("a"), "others")
+        after = after.unionByName(met.select("a", F.filter("others", lambda b: b > F.col("a")).alias("after")))
+    after = after.where("size(after) > 0")
+    count = lambda x, *by: x.repartition(tasks(size["pairs"], PAIRS), *by).select("a", F.explode("after").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    most = part.groupBy("page").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most * (size["k"] or 0) <= PAIRS:
+        return count(after, "a"), dropped
+    wide = part.join(counts, "keyword").groupBy(F.col("page").alias("a")).agg(F.sum("k").alias("pairs")).where(F.col("pairs") > PAIRS).select("a")
+    wide = materialize(wide, "projection-wide")
+    spread = after.join(wide, "a", "left_semi").select("a", F.explode("after").alias("b")).select("a", F.array("b").alias("after"), "b")
+    return count(after.join(wide, "a", "left_anti"), "a").unionByName(count(spread, "a", "b")), dropped
 
 
 def unit_vector(vector: str) -> Column:

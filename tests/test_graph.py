@@ -116,6 +116,19 @@ def test_projection_drops_what_the_budget_demands(spark):
         assert ({(r["a"], r["b"]): r["shared"] for r in pairs.collect()}, {r["keyword"] for r in dropped.collect()}) == brute_projection(rows, math.inf if budget is None else budget)
 
 
+def test_projection_takes_tasks_by_its_pairs(spark, monkeypatch):
+    """Hot keywords, pages of very many pairs and few rows a task give the same pairs, and more pairs take more tasks."""
+    rng = random.Random(8)
+    rows = [(p, 1) for p in range(60)] + [(0, k) for k in range(2, 40)] + [(rng.randrange(60), k) for k in range(2, 40) for _ in range(9)]
+    expected = brute_projection(rows, math.inf)[0]
+    for hot, pairs in ((1024, 4_000_000), (8, 100), (1024, 100), (8, 100_000)):
+        for name, value in (("HOT", hot), ("PAIRS", pairs), ("ROWS", pairs)):
+            monkeypatch.setattr(graph, name, value)
+        found = graph.keyword_projection(spark.createDataFrame(rows, "page long, keyword long"))[0]
+        assert {(r["a"], r["b"]): r["shared"] for r in found.collect()} == expected
+        assert pairs > 100 or found.rdd.getNumPartitions() >= sum(expected.values()) / 100
+
+
 def test_every_strategic_page_counts(spark):
     rows = catalog.queries()["merged_keywords"](spark, SF).where("source = 'strategic'").collect()
     customers = spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey", "c_mktsegment").collect()

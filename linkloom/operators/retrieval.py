@@ -13,8 +13,8 @@ from linkloom.functions.vector import cosine
 from linkloom.operators.percentiles import quantiles
 from linkloom.plans.scratch import materialize
 
-#: Pages in a block at most and at least, and numbers of its vectors; pairs of pages that are compared at once; groups of sources whose best ones bound the rest.
-BLOCK, LEAST, NUMBERS, PAIRS, GROUPS = 16_384, 1024, 4_000_000, 2_000_000, 128
+#: Pages in a block, where a language has no more than that many blocks of them, and at least, and numbers of a block's vectors; pairs of pages that are compared in full at once; groups of sources whose best ones bound the rest; targets and sources that are compared in single precision at once.
+BLOCK, BLOCKS, LEAST, NUMBERS, PAIRS, GROUPS, ROWS, PIECE = 16_384, 12, 1024, 4_000_000, 2_000_000, 128, 256, 4096
 FOUND = "target bigint, source bigint, similarity double"
 #: What stands for a pair that is ruled out.
 OUT = -2.0
@@ -52,31 +52,49 @@ def _best(a: np.ndarray, b: np.ndarray, ruled: np.ndarray, k: int) -> tuple[np.n
     return row[kept], col[kept], value[kept]
 
 
-def _bounded(a: np.ndarray, b: np.ndarray, a4: np.ndarray, b4: np.ndarray, ruled: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bounded(a: np.ndarray, b: np.ndarray, a4: np.ndarray, b4: np.ndarray, room: np.ndarray, ruled: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same from cosines in single precision: the ``k``-th best of the groups' best ones bounds what can be among the ``k`` best, and only that is computed in full.
 
-    The bound gives way by twice the error of a product and by a step of the rounding. Rows where very many sources lie on the bound are taken in full.
+    The bound gives way by twice the error of a product and by a step of the rounding. Sources are taken in pieces whose cosines stay in the
+    processor's cache, in ``room``; the bound rises from piece to piece, and of a piece only groups whose best one reaches it are read again.
+    Rows where very many sources lie on the bound are taken in full. ``b4`` is filled up to whole groups.
     """
-    cos = a4 @ b4.T
-    cos.ravel()[ruled] = OUT
-    wide = len(b) // GROUPS
-    tops = cos[:, : wide * GROUPS].reshape(len(a), wide, GROUPS).max(axis=1)
     slack = np.float32(2 * (a.shape[1] + 2) * 2.0**-23 + 2e-6)
-    bound = np.maximum(np.partition(tops, GROUPS - k, axis=1)[:, GROUPS - k, None] - slack, np.float32(OUT / 2 - 0.5))
-    row, col = np.divmod(np.flatnonzero(cos >= bound), len(b))
-    count = np.bincount(row, minlength=len(a))
-    full = count > 16 * k
+    tops = np.full((len(a), GROUPS), OUT, np.float32)
+    out_row, out_col = np.divmod(ruled, len(b))
+    order = np.argsort(out_col, kind="stable")
+    out_row, out_col = out_row[order], out_col[order]
+    found = []
+    for start in range(0, len(b4), room.shape[1]):
+        piece = b4[start : start + room.shape[1]]
+        cos = np.matmul(a4, piece.T, out=room[: len(a), : len(piece)])
+        cos[:, max(0, len(b) - start) :] = OUT
+        here = slice(*np.searchsorted(out_col, [start, start + len(piece)]))
+        cos[out_row[here], out_col[here] - start] = OUT
+        grouped = cos.reshape(len(a), -1, GROUPS)
+        best = grouped.max(axis=1)
+        np.maximum(tops, best, out=tops)
+        bound = np.maximum(np.partition(tops, GROUPS - k, axis=1)[:, GROUPS - k] - slack, np.float32(OUT / 2 - 0.5))
+        held, group = np.nonzero(best >= bound[:, None])
+        near = grouped[held, :, group]
+        at, place = np.nonzero(near >= bound[held, None])
+        found.append((held[at], start + place * GROUPS + group[at], near[at, place]))
+    row, col, near = (np.concatenate(x) for x in zip(*found, strict=True))
+    kept = near >= bound[row]  # that of all pieces
+    row, col = row[kept], col[kept]
+    full = np.bincount(row, minlength=len(a)) > 16 * k
     out = []
-    if full.any():
-        at = np.flatnonzero(full)
+    step = max(1, PAIRS // len(b))
+    every = np.flatnonzero(full)
+    for start in range(0, len(every), step):
+        at = every[start : start + step]
         place = np.full(len(a), -1)
         place[at] = np.arange(len(at))
-        r, c = np.divmod(ruled, len(b))
-        mine = place[r] >= 0
-        r, c, v = _best(a[at], b, place[r[mine]] * len(b) + c[mine], k)
+        mine = place[out_row] >= 0
+        r, c, v = _best(a[at], b, place[out_row[mine]] * len(b) + out_col[mine], k)
         out.append((at[r], c, v))
-        mine = ~full[row]
-        row, col = row[mine], col[mine]
+    mine = ~full[row]
+    row, col = row[mine], col[mine]
     value = np.clip(np.einsum("ij,ij->i", a[row], b[col]), -1, 1).round(6)
     kept = _first(row, col, value, k)
     out.append((row[kept], col[kept], value[kept]))
@@ -100,28 +118,39 @@ def _top(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             order = np.argsort(out_row, kind="stable")
             out_row, out_col = out_row[order], out_col[order]
             small = len(b) < 8 * GROUPS or k > GROUPS // 2
-            a4, b4 = (None, None) if small else (a.astype(np.float32), b.astype(np.float32))
-            step = max(1, PAIRS // max(1, len(b)))
+            step = max(1, PAIRS // max(1, len(b))) if small else ROWS
+            a4 = b4 = room = None
+            if not small:
+                a4, b4 = a.astype(np.float32), np.zeros((-(-len(b) // GROUPS) * GROUPS, b.shape[1]), np.float32)
+                b4[: len(b)] = b
+                room = np.empty((ROWS, PIECE), np.float32)
             for start in range(0, len(a) if len(b) else 0, step):
                 stop = min(len(a), start + step)
                 here = slice(*np.searchsorted(out_row, [start, stop]))
                 ruled = (out_row[here] - start) * len(b) + out_col[here]
-                at, best, value = _best(a[start:stop], b, ruled, k) if small else _bounded(a[start:stop], b, a4[start:stop], b4, ruled, k)
+                at, best, value = _best(a[start:stop], b, ruled, k) if small else _bounded(a[start:stop], b, a4[start:stop], b4, room, ruled, k)
                 out.append(pd.DataFrame({"target": targets[start + at], "source": sources[best], "similarity": value}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"target": [], "source": [], "similarity": []}).astype({"target": "int64", "source": "int64", "similarity": "float64"})
 
     return run
 
 
+def _blocks(pages: DataFrame, block: int | None = None) -> DataFrame:
+    """(l9, blocks): how many blocks a language is dealt to."""
+    most = F.floor(F.lit(NUMBERS) / F.greatest(F.lit(1), F.max(F.size("vector"))))
+    size = F.lit(block) if block else F.greatest(F.lit(LEAST), F.least(F.greatest(F.lit(BLOCK), F.ceil(F.count("*") / BLOCKS)), most))
+    return pages.groupBy(F.col("language").alias("l9")).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+
+
 def nearest_eligible(pages: DataFrame, links: DataFrame, k: int = 10, block: int | None = None) -> DataFrame:
     """(target, source, rank, similarity): the ``k`` nearest pages of the same language that are neither the target nor link to it.
 
     Exact, every pair is compared. Pages of a language are dealt to blocks by hash; a task multiplies one block of targets with one block of
     sources in single precision, computes what may be among the best in full, and keeps ``k`` rows a target, which a window merges. A link goes to the one task that could pair its ends, so
     however many links a page has, they are split by their sources. Ties go to the smaller id; a zero vector scores 0.
+    Blocks grow with a language of more than ``BLOCKS`` of them, up to ``NUMBERS``, so that copies of a vector and rows found for a target do not.
     """
-    size = F.lit(block) if block else F.greatest(F.lit(LEAST), F.least(F.lit(BLOCK), F.floor(F.lit(NUMBERS) / F.greatest(F.lit(1), F.max(F.size("vector"))))))
-    counts = pages.groupBy(F.col("language").alias("l9")).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    counts = _blocks(pages, block)
     dealt = pages.select("page", "language", "vector").join(counts, F.col("language").eqNullSafe(F.col("l9"))).drop("l9")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("page"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other_block")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions.terms import term_key
+from linkloom.functions.terms import term_keys
 from linkloom.operators.scoring import rounded_position
 
 #: Upper ends of the position bands, and the classes of topic and link agreement.
@@ -63,11 +63,11 @@ def page_signals(pages: DataFrame, queries: DataFrame, keywords: DataFrame) -> D
     """page, queries, keywords, keyword_gap. Terms are compared by key; rows of other pages and blank terms are left out.
 
     Without a single row of ``queries`` the gap is unknown. ``queries`` has page and query, ``keywords`` page and keyword.
+    Texts are collected per page as they are; keys are taken of the distinct ones, for the pages of ``pages`` only.
     """
-    sets = lambda rows, text, name: rows.select("page", term_key(F.col(text)).alias("t")).where("t <> ''").groupBy("page").agg(F.collect_set("t").alias(name))
+    sets = lambda rows, text, name: rows.groupBy("page").agg(F.collect_set(text).alias(name))
     joined = pages.select("page").join(sets(queries, "query", "queries"), "page", "left").join(sets(keywords, "keyword", "keywords"), "page", "left")
-    none = F.array().cast("array<string>")
-    joined = joined.select("page", F.coalesce("queries", none).alias("queries"), F.coalesce("keywords", none).alias("keywords"))
+    joined = joined.select("page", *[term_keys(F.col(c)).alias(c) for c in ("queries", "keywords")])
     any_query = queries.select(F.lit(1).alias("x")).limit(1).agg(F.count("*")).scalar() > 0
     return joined.withColumn("keyword_gap", F.when(any_query, F.size(F.array_except("keywords", "queries"))))
 

@@ -44,9 +44,14 @@ def strategic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search rows, stored: the events are read and summed once for all that asks for them."""
+    return stored(spark, sf_dir, "search-rows", lambda: search_rows(spark, sf_dir))
+
+
 def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = F.sum(F.col("impressions") * F.col("position")) / F.sum("impressions")
-    return search_rows(spark, sf_dir).groupBy("page").agg(
+    return searches(spark, sf_dir).groupBy("page").agg(
         F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.round(mean, 6).alias("avg_position"), F.count("*").alias("query_count")
     )
 

@@ -35,9 +35,9 @@ def position_band(position: Column) -> Column:
     return F.when(position.isNotNull(), band)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Share of common elements of two sets given as arrays; 0 where both are empty."""
-    both = F.size(F.array_intersect(a, b))
+def jaccard(a: Column, b: Column, both: Column | None = None) -> Column:
+    """Share of common elements of two sets given as arrays; 0 where both are empty. ``both`` is their number where it is a column."""
+    both = F.size(F.array_intersect(a, b)) if both is None else both
     union = F.size(a) + F.size(b) - both
     return F.when(union > 0, both / union).otherwise(0.0)
 
@@ -124,13 +124,15 @@ def pair_features(pairs: DataFrame, contexts: DataFrame, placements: DataFrame |
     else:
         rows = rows.join(placements.select("source", "target", "context_relevance", "anchor_target_fit"), ["source", "target"], "left")
     both = lambda f: (F.col(f"s.{f}"), F.col(f"t.{f}"))
+    # Common terms are columns of their own: inside the quotient Spark would look for them three times.
+    rows = rows.withColumns({f"_{f}": F.size(F.array_intersect(*both(f))) for f in ("queries", "keywords")})
     cluster = agreement(*both("keyword_community"), *both("link_community"))
     content = agreement(*both("content_community"), *both("link_community"))
     columns = {
         "source_impressions_log": F.col("s.impressions_log"), "target_impressions_log": F.col("t.impressions_log"),
         **{f"target_position_band_{b}": F.col("t.band").eqNullSafe(F.lit(b)) for b in range(len(BANDS) + 1)}, "target_position_band_null": F.col("t.band").isNull(),
         "target_ctr_gap": F.col("t.ctr_gap"), "target_query_count": F.col("t.query_count"), "has_gsc_data": F.col("t.has_gsc"),
-        "pair_query_overlap": jaccard(*both("queries")), "pair_kw_overlap": jaccard(*both("keywords")), "target_kw_count": F.size("t.keywords"),
+        "pair_query_overlap": jaccard(*both("queries"), F.col("_queries")), "pair_kw_overlap": jaccard(*both("keywords"), F.col("_keywords")), "target_kw_count": F.size("t.keywords"),
         "target_max_priority": F.col("t.max_priority"), "target_keyword_gap": F.col("t.keyword_gap"), "target_inbound_count": F.col("t.inbound"),
         "target_is_orphan": F.col("t.is_orphan"), "target_crawl_depth": F.col("t.depth"), "target_page_rank_percentile": F.col("t.rank_percentile"),
         "target_saturation_ratio": F.col("t.saturation"), "source_outbound_count": F.col("s.outbound"), "source_outbound_density": F.col("s.density"),

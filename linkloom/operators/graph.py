@@ -26,9 +26,9 @@ def placeholders(links: DataFrame, pages: DataFrame) -> DataFrame:
     return missing.groupBy("target").agg(F.count("*").alias("inlinks"))
 
 
-def structure(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """page, distinct crawled in- and out-neighbours; zero where there are none."""
-    edges = crawled_edges(links, pages)
+def structure(links: DataFrame, pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """page, distinct crawled in- and out-neighbours; zero where there are none. ``edges`` are the crawled ones where they are stored."""
+    edges = crawled_edges(links, pages) if edges is None else edges
     into = edges.groupBy(F.col("target").alias("page")).agg(F.count("*").alias("inbound"))
     out = edges.groupBy(F.col("source").alias("page")).agg(F.count("*").alias("outbound"))
     joined = pages.select("page").join(into, "page", "left").join(out, "page", "left")
@@ -46,13 +46,13 @@ def inbound_anchors(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(languages, "source").groupBy("target", "language", "anchor").agg(F.count("*").alias("links"))
 
 
-def crawl_depth(links: DataFrame, pages: DataFrame, roots: list[int], together: int = 16) -> DataFrame:
+def crawl_depth(links: DataFrame, pages: DataFrame, roots: list[int], together: int = 16, edges: DataFrame | None = None) -> DataFrame:
     """page, depth: clicks from the nearest of ``roots``, null where out of reach. One frontier join per level, until it is empty.
 
     A level joins the pages found last with the edges; the tables of ``together`` levels become one, so that plans stay
-    short however deep the site is.
+    short however deep the site is. ``edges`` are the crawled ones where they are stored.
     """
-    edges = materialize(crawled_edges(links, pages), "depth-edges")
+    edges = materialize(crawled_edges(links, pages), "depth-edges") if edges is None else edges
     front = reached = materialize(pages.where(F.col("page").isin(roots)).select("page", F.lit(0).alias("depth")), "depth")
     level = 0
     while True:
@@ -111,8 +111,8 @@ def pagerank(links: DataFrame, pages: DataFrame, damping: float = 0.85, steps: i
     even = nodes.join(sizes, by) if by else nodes.crossJoin(sizes)  # one row on the right
     even = even.select(*by, "page", (F.lit(1.0) / F.col("n")).alias("y0"))
     m = max(1, min(together, steps))
-    base = materialize(even.join(_spread(even, near, by, m - 1, damping), [*by, "page"]) if m > 1 else even, "rank-base")
-    base = base.select(*by, "page", *[F.col(f"y{i}").alias(f"v{i}") for i in range(m)])
+    first = materialize(even.join(_spread(even, near, by, m, damping), [*by, "page"]), "rank-base")  # the even vector's rounds are those of the first job, too
+    base = first.select(*by, "page", *[F.col(f"y{i}").alias(f"v{i}") for i in range(m)])
     masses = materialize(base.groupBy(*by).agg(*[F.sum(f"v{i}").alias(f"m{i}") for i in range(m)]), "rank-masses")
 
     def after(moved: DataFrame, rounds: int) -> DataFrame:
@@ -131,11 +131,11 @@ def pagerank(links: DataFrame, pages: DataFrame, damping: float = 0.85, steps: i
     rank, done, old = even, 0, None
     while done < steps:
         rounds = min(m, steps - done)
-        moved = materialize(_spread(rank.select(*by, "page", "y0"), near, by, rounds, damping), "rank-moved")
+        moved = materialize(_spread(rank.select(*by, "page", "y0"), near, by, rounds, damping), "rank-moved") if done else first.drop("y0")
         rank, done = after(moved, rounds), done + rounds
         if old is not None:
             release(old)
-        old = moved
+        old = moved if done > rounds else None
         if tolerance is not None and rounds > 1:
             change = rank.groupBy(*by).agg(F.sum(F.abs(F.col("y0") - F.col("before"))).alias("moved"))
             if (change.agg(F.max("moved")).first()[0] or 0.0) < tolerance:

@@ -70,6 +70,7 @@ WEIGHTS = (
     ("target_hub_coverage", 0.05, True, False), ("target_is_hub_pillar", 0.05, False, False),
 )
 TIER_SHARES = (0.1, 0.3)
+_PARTS = "array<struct<less:double,i:int,feature:string,value:double>>"
 
 
 def normalised(rows: DataFrame, weights: tuple[tuple[str, float, bool, bool], ...]) -> DataFrame:
@@ -84,12 +85,12 @@ def normalised(rows: DataFrame, weights: tuple[tuple[str, float, bool, bool], ..
     for i, (column, _, lower, by_rank) in enumerate(weights):
         x = F.col(column).cast("double")
         if by_rank:
-            own = counts.where(F.col("_f") == i).select(F.col("_x").alias("_w"), "below", "ties", "n")
-            rows = rows.join(own, x == F.col("_w"), "left")
-            value = F.when(F.col("n") < 2, 0.5).otherwise((F.col("below") + (F.col("ties") - 1) / 2) / (F.col("n") - 1))
+            place = F.when(F.col("n") < 2, 0.5).otherwise((F.col("below") + (F.col("ties") - 1) / 2) / (F.col("n") - 1))
+            own = counts.where(F.col("_f") == i).select(F.col("_x").alias("_w"), (1 - place if lower else place).alias(f"_v{i}"))
+            rows = rows.join(own, x == F.col("_w"), "left").drop("_w")
         else:
             value = F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
-        rows = rows.withColumn(f"_v{i}", 1 - value if lower else value).drop("_w", "below", "ties", "n")
+            rows = rows.withColumn(f"_v{i}", 1 - value if lower else value)
     return rows
 
 
@@ -99,19 +100,20 @@ def weighted_score(rows: DataFrame, keys: list[str], weights: tuple[tuple[str, f
     The raw score is the weighted mean over the features that a pair has; the score is its place between the least and
     the greatest raw score, 0 to 100, and 50 where all are equal. A pair without any feature scores 0 in tier 3.
     """
-    found = normalised(rows, weights)
-    present = sum((F.when(F.col(f"_v{i}").isNotNull(), w).otherwise(0.0) for i, (_, w, _, _) in enumerate(weights)), F.lit(0.0))
-    found = found.withColumn("_total", present)
-    parts = [
-        F.when(
-            F.col(f"_v{i}").isNotNull(),
-            F.struct((-F.col(f"_v{i}") * w / F.col("_total")).alias("less"), F.lit(i).alias("i"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")),
-        )
+    given = F.array(*[F.lit(float(w)) for _, w, _, _ in weights])
+    added = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, y: acc + F.coalesce(y, F.lit(0.0)))
+    # Values are one array: as columns, their sums and the joins before make one generated method that the JVM does not compile.
+    values = F.array(*[F.col(f"_v{i}") for i in range(len(weights))]).alias("_v")
+    found = normalised(rows, weights).select(*keys, *([c for c, *_ in weights] if top else []), values)
+    found = found.withColumn("_total", added(F.zip_with("_v", given, lambda v, w: F.when(v.isNotNull(), w))))
+    raw = F.when(F.col("_total") > 0, F.round(added(F.zip_with("_v", given, lambda v, w: v * w / F.col("_total"))), 9))  # sums in any order rank alike
+    named = [
+        F.struct((-F.get("_v", F.lit(i)) * w / F.col("_total")).alias("less"), F.lit(i).alias("i"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
         for i, (c, w, _, _) in enumerate(weights)
     ]
-    found = found.select(*keys, F.array_sort(F.array_compact(F.array(*parts))).alias("_parts"))
-    raw = F.when(F.size("_parts") > 0, F.round(F.aggregate("_parts", F.lit(0.0), lambda acc, x: acc - x["less"]), 9))  # sums in any order rank alike
-    found = materialize(found.withColumn("raw_score", raw), "raw-scores")
+    held = F.filter(F.array(*named), lambda x: x["less"].isNotNull())
+    listed = [F.when(F.col("_total") > 0, F.sort_array(held)).otherwise(F.array().cast(_PARTS)).alias("_parts")] if top else []
+    found = materialize(found.select(*keys, *listed, raw.alias("raw_score")), "raw-scores")
     low, high = found.agg(F.min("raw_score")).scalar(), found.agg(F.max("raw_score")).scalar()
     score = F.when(F.col("raw_score").isNull(), 0.0).when(high == low, 50.0).otherwise((F.col("raw_score") - low) / (high - low) * 100)
     best = []

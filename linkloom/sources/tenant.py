@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators import graph, percentiles
+from linkloom.plans import bitmap
 from linkloom.plans.scratch import materialize
 from linkloom.sources.site import search_rows, site_links, site_pages, table
 
@@ -44,6 +45,15 @@ def strategic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def strategic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategic rows of the site's pages, stored. A bitmap of the pages decides at the scan, so a few rows of other pages may be left."""
+
+    def build() -> DataFrame:
+        return strategic_rows(spark, sf_dir).where(bitmap.may_contain(site(spark, sf_dir), "page", F.col("page").cast("bigint")))
+
+    return stored(spark, sf_dir, "strategic-rows", build)
+
+
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search rows, stored: the events are read and summed once for all that asks for them."""
     return stored(spark, sf_dir, "search-rows", lambda: search_rows(spark, sf_dir))
@@ -56,21 +66,33 @@ def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site's pages with their words in the place of the body, stored: documents are read and meet their embeddings once for all that asks for them."""
+    words = F.size(F.array_remove(F.split("text", "[ \\t-\\r]+"), ""))
+    derived = {"words": F.when(F.col("text").isNull(), 0).otherwise(words)}
+    return stored(spark, sf_dir, "site-pages", lambda: site_pages(spark, sf_dir, derived).withColumn("page", F.col("page").cast("bigint")))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site's links, stored."""
+    return stored(spark, sf_dir, "site-links", lambda: site_links(spark, sf_dir, site(spark, sf_dir)))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The structure of every page: what the crawl and the graph stages leave behind."""
     return stored(spark, sf_dir, "tenant-pages", lambda: _pages(spark, sf_dir))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    site, links = site_pages(spark, sf_dir), site_links(spark, sf_dir)
-    rank = graph.pagerank(links, site, steps=STEPS, tolerance=None)
-    known = site.select("page").join(rank.select("page", F.round("rank", 9).alias("rank")), "page")
+    own, linked = site(spark, sf_dir), links(spark, sf_dir)
+    rank = graph.pagerank(linked, own, steps=STEPS, tolerance=None)
+    known = materialize(own.select("page").join(rank.select("page", F.round("rank", 9).alias("rank")), "page"), "page-ranks")
     ranked = percentiles.share_below(known, "rank", "rank_percentile").drop("rank")
-    depth = graph.crawl_depth(links, site, [0])
-    pillar = graph.hub_pillars(site).select("page", F.lit(True).alias("is_pillar"))
-    words = F.size(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""))
-    base = site_pages(spark, sf_dir, {"words": F.coalesce(words, F.lit(0))}).select("page", "language", "hub", "words")
-    for other in (graph.structure(links, site), ranked, depth, pillar):
+    edges = materialize(graph.crawled_edges(linked, own), "site-edges")
+    depth = graph.crawl_depth(linked, own, [0], edges=edges)
+    pillar = graph.hub_pillars(own).select("page", F.lit(True).alias("is_pillar"))
+    base = own.select("page", "language", "hub", "words")
+    for other in (graph.structure(linked, own, edges), ranked, depth, pillar):
         base = base.join(other, "page", "left")
     p = F.col("page")
     return base.select(
